@@ -34,7 +34,7 @@ def _in_windows(rows: DataFrame, time_col: str, windows: Sequence[int], as_of: T
         start=F.timestamp_micros(end - max(windows) * 60_000_000), time_col=time_col,
     )
     lengths = F.array(*[F.lit(w) for w in sorted(set(windows))])
-    return recent.withColumn("window_mins", F.explode(F.filter(lengths, lambda w: age <= w * 60_000_000)))
+    return recent.withColumn("window_mins", F.explode(F.filter(lengths, lambda w: age <= w.cast("bigint") * 60_000_000)))
 
 
 def alert_metrics(

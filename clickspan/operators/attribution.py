@@ -124,7 +124,7 @@ def linear(
         },
     )
     orphan = F.col("_paid") & (F.col("_k") == 0)
-    return credited.filter(F.col("_touched") | orphan).select(
+    return credited.filter((F.col("_touched") & (F.col("_conversions") > 0)) | orphan).select(
         "app_id", bucket("event_time", granularity).alias("bucket"),
         *[F.when(orphan, F.lit(NO_TOUCH)).otherwise(F.col(c)).alias(c) for c in CHANNEL],
         F.when(orphan, F.lit(1.0)).otherwise(F.col("_conversions")).alias("_conversions"),

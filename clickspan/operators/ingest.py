@@ -21,8 +21,10 @@ MAX_PROPS, MAX_KEY, MAX_VALUE = 50, 256, 1024
 def parse_messages(raw: DataFrame) -> DataFrame:
     """Add ``msg`` (the parsed envelope) and ``error`` (null when the message is usable)."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    value = F.col("value").cast("string")
-    parsed = raw.withColumn("msg", F.from_json(value, ENVELOPE, options))
+    message = F.from_json(F.col("value").cast("string"), ENVELOPE, options)
+    # Generated, not projected: the optimizer copies a projected parse into every later filter and
+    # column, and each copy would parse the message again.
+    parsed = raw.select("*", F.explode_outer(F.array(message)).alias("msg"))
     bad = F.col("msg").isNull() | F.col("msg._corrupt").isNotNull() | F.col("msg.batch.events").isNull()
     events = F.col("msg.batch.events")
 
@@ -269,16 +271,14 @@ def flatten_props(props: Column) -> Column:
 
 def limit_props(props: Column) -> Column:
     """At most 50 keys (in key order), keys of 256 and values of 1024 characters."""
-    trimmed = F.transform(F.sort_array(F.map_entries(props)), lambda e: F.struct(
+    entries = F.transform(F.slice(F.sort_array(F.map_entries(props)), 1, MAX_PROPS), lambda e: F.struct(
         F.substring(e["key"], 1, MAX_KEY).alias("key"),
         F.substring(e["value"], 1, MAX_VALUE).alias("value"),
     ))
-    unique = F.aggregate(
-        trimmed,
-        F.array().cast("array<struct<key: string, value: string>>"),
-        lambda acc, e: F.when(F.exists(acc, lambda a: a["key"] == e["key"]), acc).otherwise(F.array_append(acc, e)),
-    )
-    return F.map_from_entries(F.slice(unique, 1, MAX_PROPS))
+    # Keys are sorted, so keys that become equal by cutting are neighbours: the first one stays.
+    distinct = F.filter(entries, lambda e, i: (i == 0) | (F.get(entries, i - 1)["key"] != e["key"]))
+    too_long = F.exists(F.map_keys(props), lambda k: F.length(k) > MAX_KEY)
+    return F.map_from_entries(F.when(too_long, distinct).otherwise(entries))
 
 
 def extract_attribution(events: DataFrame) -> DataFrame:

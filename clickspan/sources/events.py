@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clickspan.functions.time import TimeLike, scope
 from clickspan.operators.ingest import dedup_events
+from clickspan.plans.ingest import ingest_batch
 from clickspan.schema import EVENTS
 
 PARTITIONS = ["event_date", "app_id"]
@@ -27,13 +28,13 @@ def read_events(
     return scope(events, app_id, start, end)
 
 
-def arrange(events: DataFrame, rows_per_file_slot: int = 16) -> DataFrame:
+def arrange(events: DataFrame, slots: int = 16) -> DataFrame:
     """Place rows for a partitioned write: a few tasks per partition, sorted for file statistics.
 
     A large tenant's day would be one task under ``partitionBy`` alone; the user hash spreads it
-    over ``rows_per_file_slot`` tasks and files.
+    over ``slots`` tasks and files.
     """
-    slot = F.pmod(F.xxhash64("user_id", "device_id"), F.lit(rows_per_file_slot))
+    slot = F.pmod(F.xxhash64("user_id", "device_id"), F.lit(slots))
     return (
         events.withColumn("_slot", slot).repartition(*PARTITIONS, "_slot")
         .sortWithinPartitions("event_date", *SORT_KEY).drop("_slot")
@@ -148,6 +149,4 @@ def replay(
     start: TimeLike | None = None, end: TimeLike | None = None,
 ) -> DataFrame:
     """Events of replayed dead letters that are not stored yet."""
-    from clickspan.plans.ingest import ingest_batch
-
     return new_rows(ingest_batch(replay_messages(dead, start, end), ip_ranges).events, existing)
