@@ -64,7 +64,7 @@ def archive_raw(incoming: DataFrame, path: str) -> None:
     """
     incoming = with_date(incoming)
     spark = incoming.sparkSession
-    if _exists(spark, path):
+    if path_exists(spark, path):
         days = incoming.select("event_date").distinct()
         stored = spark.read.schema(f"{EVENTS}, event_date date").parquet(path)
         touched = stored.select("event_id", "event_date").join(days, "event_date", "left_semi")
@@ -107,7 +107,7 @@ def expire(spark: SparkSession, path: str, days: int, as_of: dt.date, date_col:
     return sorted(removed)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root)
 
