@@ -254,15 +254,14 @@ def normalize_platform(platform: Column) -> Column:
 def flatten_props(props: Column) -> Column:
     """Any JSON value as text: null is empty, numbers are plain decimals, nested values are JSON."""
     def text(_key: Column, value: Column) -> Column:
+        as_text = F.try_variant_get(value, "$", "string")
         plain = F.regexp_replace(
             F.try_variant_get(value, "$", "double").cast("decimal(38,12)").cast("string"),
             r"\.?0+$", "",
         )
-        as_text = F.try_variant_get(value, "$", "string")
-        return F.coalesce(
-            F.when(F.schema_of_variant(value) == "DOUBLE", F.coalesce(plain, as_text)).otherwise(as_text),
-            F.lit(""),
-        )
+        # Only a number can need rewriting, and only when it prints with an exponent.
+        scientific = F.contains(as_text, F.lit("E")) & (F.schema_of_variant(value) == "DOUBLE")
+        return F.coalesce(F.when(scientific, plain), as_text, F.lit(""))
 
     return F.coalesce(
         F.transform_values(props, text), F.create_map().cast("map<string,string>")
@@ -278,7 +277,12 @@ def limit_props(props: Column) -> Column:
     # Keys are sorted, so keys that become equal by cutting are neighbours: the first one stays.
     distinct = F.filter(entries, lambda e, i: (i == 0) | (F.get(entries, i - 1)["key"] != e["key"]))
     too_long = F.exists(F.map_keys(props), lambda k: F.length(k) > MAX_KEY)
-    return F.map_from_entries(F.when(too_long, distinct).otherwise(entries))
+    too_big = too_long | (F.size(props) > MAX_PROPS) | F.exists(
+        F.map_values(props), lambda v: F.length(v) > MAX_VALUE
+    )
+    return F.when(
+        too_big, F.map_from_entries(F.when(too_long, distinct).otherwise(entries))
+    ).otherwise(props)
 
 
 def extract_attribution(events: DataFrame) -> DataFrame:
@@ -318,10 +322,11 @@ def enrich(events: DataFrame, ip_ranges: DataFrame) -> DataFrame:
         ),
         ip_ranges,
     )
-    parsed = ua_enrich(located, F.col("device.user_agent")).withColumn(
-        "props", limit_props(flatten_props(F.col("raw_props")))
+    flat = ua_enrich(located, F.col("device.user_agent")).withColumn(
+        "props", flatten_props(F.col("raw_props"))
     )
-    return to_event_rows(extract_attribution(parsed))
+    limited = flat.withColumn("props", limit_props(F.col("props")))
+    return to_event_rows(extract_attribution(limited))
 
 
 def identify_events(identifies: DataFrame) -> DataFrame:

@@ -13,6 +13,10 @@ RUNTIME_CONF = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
+# Start-up options. Recording the Python call site of every column expression costs more than
+# planning the query.
+STATIC_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -28,6 +32,6 @@ def build_session(master: str | None = None, app_name: str = "clickspan", **conf
     builder = SparkSession.builder.appName(app_name)
     if master is not None:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    for key, value in {**RUNTIME_CONF, **STATIC_CONF, **conf}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())

@@ -30,51 +30,59 @@ MEDIUMS = ["cpc", "social", "referral"]
 CAMPAIGNS = ["spring", "summer", "autumn", "winter"]
 
 
+RAW_EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
 def pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
-def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The driver's events as 18-column fact rows plus ``event_date``."""
+def _pick(values: list[str], index: str) -> str:
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"element_at(array({listed}), CAST({index} + 1 AS INT))"
+
+
+def read_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The driver's event table with ``k``, the number inside ``props``."""
     configure(spark)
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        "event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"),
-        k.alias("k"),
+    return spark.read.schema(RAW_EVENTS).parquet(f"{sf_dir}/events.parquet").selectExpr(
+        "event_id", "user_id", "event_type", "value", "CAST(ts AS timestamp) AS ts",
+        "CAST(get_json_object(props, '$.k') AS bigint) AS k",
     )
-    user, k = F.col("user_id"), F.col("k")
-    money = F.when(F.col("event_type") == "purchase", F.col("value"))
-    source = pick(SOURCES, k % 5)
-    return raw.select(
-        F.concat(F.lit("app_"), user % 3).alias("app_id"),
-        F.col("event_id").cast("string").alias("event_id"),
-        F.concat(F.lit("u_"), user).alias("user_id"),
-        F.concat(F.lit("d_"), user, F.lit("_"), k % 2).alias("device_id"),
-        F.col("event_type").alias("event_name"),
-        F.col("ts").alias("event_time"),
-        F.col("ts").alias("server_time"),
-        F.concat(F.lit("s_"), user, F.lit("_"), F.date_format("ts", "yyyyMMdd")).alias("session_id"),
-        pick(COUNTRIES, user % 8).alias("country_code"),
-        pick(PLATFORMS, k % 3).alias("platform"),
-        F.concat(F.lit("1."), k % 4).alias("app_version"),
-        pick(SYSTEMS, k % 3).alias("os_family"),
-        pick(BROWSERS, k % 4).alias("browser"),
-        F.concat(F.lit("city_"), user % 8).alias("city"),
-        money.alias("revenue"),
-        F.create_map(
-            F.lit("k"), k.cast("string"),
-            F.lit("plan"), pick(["", "free", "Pro", "Team"], k % 4),
-            F.lit("utm_source"), source,
-            F.lit("utm_medium"), F.when(source == "", F.lit("")).otherwise(pick(MEDIUMS, k % 3)),
-            F.lit("utm_campaign"), F.when(source == "", F.lit("")).otherwise(pick(CAMPAIGNS, k % 4)),
-            F.lit("revenue"), F.coalesce(money.cast("string"), F.lit("")),
-            F.lit("currency"), pick(["USD", "EUR"], k % 2),
-            F.lit("screen_name"), F.concat(F.lit("screen_"), k % 5),
-            F.lit("latency_ms"), F.col("value").cast("string"),
-        ).alias("props"),
-        pick(CAMPAIGNS, k % 4).alias("campaign_id"),
-        source.alias("install_source"),
-        F.to_date("ts").alias("event_date"),
+
+
+def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The driver's events as 18-column fact rows plus ``event_date``."""
+    source = _pick(SOURCES, "k % 5")
+    return read_raw(spark, sf_dir).selectExpr(
+        "concat('app_', user_id % 3) AS app_id",
+        "CAST(event_id AS string) AS event_id",
+        "concat('u_', user_id) AS user_id",
+        "concat('d_', user_id, '_', k % 2) AS device_id",
+        "event_type AS event_name",
+        "ts AS event_time",
+        "ts AS server_time",
+        "concat('s_', user_id, '_', date_format(ts, 'yyyyMMdd')) AS session_id",
+        f"{_pick(COUNTRIES, 'user_id % 8')} AS country_code",
+        f"{_pick(PLATFORMS, 'k % 3')} AS platform",
+        "concat('1.', k % 4) AS app_version",
+        f"{_pick(SYSTEMS, 'k % 3')} AS os_family",
+        f"{_pick(BROWSERS, 'k % 4')} AS browser",
+        "concat('city_', user_id % 8) AS city",
+        "CASE WHEN event_type = 'purchase' THEN value END AS revenue",
+        f"""map(
+          'k', CAST(k AS string),
+          'plan', {_pick(["", "free", "Pro", "Team"], "k % 4")},
+          'utm_source', {source},
+          'utm_medium', CASE WHEN k % 5 = 0 THEN '' ELSE {_pick(MEDIUMS, "k % 3")} END,
+          'utm_campaign', CASE WHEN k % 5 = 0 THEN '' ELSE {_pick(CAMPAIGNS, "k % 4")} END,
+          'revenue', CASE WHEN event_type = 'purchase' THEN CAST(value AS string) ELSE '' END,
+          'currency', {_pick(["USD", "EUR"], "k % 2")},
+          'screen_name', concat('screen_', k % 5),
+          'latency_ms', CAST(value AS string)) AS props""",
+        f"{_pick(CAMPAIGNS, 'k % 4')} AS campaign_id",
+        f"{source} AS install_source",
+        "to_date(ts) AS event_date",
     )
 
 
@@ -96,12 +104,7 @@ def raw_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Some messages are broken on purpose: event time far off, blank names, truncated JSON.
     """
-    configure(spark)
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        "event_id", "user_id", "event_type", "value", k.alias("k"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"),
-    )
+    raw = read_raw(spark, sf_dir).withColumn("ms", F.unix_millis("ts"))
     user, k = F.col("user_id"), F.col("k")
     shift = (
         F.when(k % 25 == 1, -8 * 86_400_000).when(k % 25 == 2, 25 * 3_600_000)
@@ -141,8 +144,9 @@ def raw_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ms").alias("server_ts"),
     ))
     broken = F.when(k == 70, F.substring(envelope, 1, 40)).otherwise(envelope)
+    # A topic has several partitions, filled by message key.
     return raw.select(
         F.concat(F.lit("app_"), user % 3, F.lit(":d_"), user, F.lit("_"), k % 2).alias("key"),
         broken.alias("value"),
         F.timestamp_millis("ms").alias("timestamp"),
-    )
+    ).repartition(12, "key")
