@@ -36,6 +36,8 @@ def main() -> None:
         **{
             "spark.ui.enabled": "false",
             "spark.sql.shuffle.partitions": cpus,
+            # The bench tables are small: let post-shuffle tasks be small too.
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
             "spark.driver.memory": "12g",
             "spark.log.level": "ERROR",
         },

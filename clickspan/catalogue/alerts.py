@@ -193,3 +193,15 @@ def funnel_campaign_triggers(events, spark, sf_dir):
     return campaigns.campaign_triggers(rows, active).select(
         "campaign_id", "user_id", "app_id", "event_name", "event_time"
     )
+
+
+@query("scheduled_notifications", EV + """
+SELECT 'weekly' AS campaign_id, app_id, user_id, 'scheduled' AS event_name, 'email' AS channel,
+       TIMESTAMP '2024-01-31' AS event_time
+FROM ev WHERE app_id = 'app_1' GROUP BY app_id, user_id HAVING bool_or(event_name = 'purchase')""")
+def scheduled_notifications(events, spark, sf_dir):
+    weekly = spark.sql("""SELECT 'weekly' AS id, 'app_1' AS app_id, 'weekly' AS name, 'scheduled' AS trigger_type,
+      map('topic', '') AS trigger_conf, 'email' AS channel, map('to', 'x') AS channel_conf, true AS active,
+      'buyers' AS segment_id, 0 AS cooldown_seconds""")
+    members = users.segment_users(events, ["purchase"]).withColumn("segment_id", F.lit("buyers"))
+    return campaigns.scheduled_notifications(weekly, members, "2024-01-31")

@@ -36,38 +36,35 @@ class Running:
         return F.coalesce(local, carry)
 
 
+def in_chunks(df: DataFrame, position: Column, length: int) -> DataFrame:
+    """Add the row's position (an integer) and the chunk it falls into."""
+    return df.withColumn("_pos", position).withColumn(CHUNK, F.floor(F.col("_pos") / F.lit(length)))
+
+
 def running(
-    df: DataFrame,
-    keys: list[str],
-    position: Column,
-    chunk_length: int,
-    measures: dict[str, Running],
+    placed: DataFrame, keys: list[str], measures: dict[str, Running], backwards: bool = False
 ) -> DataFrame:
-    """Add running measures over rows with a position up to and including the current one.
+    """Add running measures over the rows of ``in_chunks`` up to and including the current one.
 
-    ``position`` is an integer (microseconds, or its negation for a suffix scan); rows that share a
-    position see each other.
+    Rows that share a position see each other; ``backwards`` runs from the last row to the first.
+    Chunk and position columns stay, so a second scan finds its rows already partitioned.
     """
-    placed = df.withColumn("_pos", position).withColumn(
-        CHUNK, F.floor(F.col("_pos") / F.lit(chunk_length))
-    )
-    for name, measure in measures.items():
-        placed = placed.withColumn(f"_v_{name}", measure.value)
+    values = placed.select("*", *[m.value.alias(f"_v_{n}") for n, m in measures.items()])
     refs = {n: Running(m.kind, F.col(f"_v_{n}")) for n, m in measures.items()}
+    direction = F.desc if backwards else F.asc
 
-    within = Window.partitionBy(*keys, CHUNK).orderBy("_pos")
-    local = placed
-    for name, ref in refs.items():
-        local = local.withColumn(f"_l_{name}", ref.aggregate().over(within))
-
-    chunks = placed.groupBy(*keys, CHUNK).agg(
-        *[ref.aggregate().alias(f"_v_{name}") for name, ref in refs.items()]
+    within = Window.partitionBy(*keys, CHUNK).orderBy(direction("_pos"))
+    local = values.select(
+        *placed.columns, *[ref.aggregate().over(within).alias(f"_l_{n}") for n, ref in refs.items()]
+    )
+    chunks = values.groupBy(*keys, CHUNK).agg(
+        *[ref.aggregate().alias(f"_v_{n}") for n, ref in refs.items()]
     )
-    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    passed = Window.partitionBy(*keys).orderBy(direction(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
     carries = chunks.select(
-        *keys, CHUNK, *[ref.aggregate().over(before).alias(f"_c_{n}") for n, ref in refs.items()]
+        *keys, CHUNK, *[ref.aggregate().over(passed).alias(f"_c_{n}") for n, ref in refs.items()]
+    )
+    return local.join(carries, [*keys, CHUNK], "left").select(
+        *placed.columns,
+        *[ref.combine(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n, ref in refs.items()],
     )
-    joined = local.join(carries, [*keys, CHUNK], "left")
-    for name, ref in refs.items():
-        joined = joined.withColumn(name, ref.combine(F.col(f"_l_{name}"), F.col(f"_c_{name}")))
-    return joined.select(*df.columns, *measures)

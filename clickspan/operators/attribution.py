@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickspan.functions.scans import Running, running
+from clickspan.functions.scans import Running, in_chunks, running
 from clickspan.functions.stats import safe_ratio
 from clickspan.functions.text import not_blank, prop
 from clickspan.functions.time import bucket
@@ -74,20 +74,20 @@ def first_touch(
 
 def _touches_and_purchases(events: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     paid = vocabulary.is_purchase()
-    return events.filter((_touched() | paid) & not_blank("user_id")).select(
-        *USER, "event_time", F.unix_micros("event_time").alias("_t"), "event_id",
-        _touched().alias("_touched"), paid.alias("_paid"),
+    rows = events.filter((_touched() | paid) & not_blank("user_id")).select(
+        *USER, "event_time", "event_id", _touched().alias("_touched"), paid.alias("_paid"),
         F.when(paid, vocabulary.revenue()).alias("_amount"), *_channel(),
     )
+    return in_chunks(rows, F.unix_micros("event_time"), CHUNK_US)
 
 
 def last_touch(
     events: DataFrame, granularity: str = "day", vocabulary: Vocabulary = DEFAULT_VOCABULARY
 ) -> DataFrame:
     """Purchases by the latest touch at or before each of them, bucketed by purchase time."""
-    touch = F.when(F.col("_touched"), F.struct("_t", "event_id", *CHANNEL))
+    touch = F.when(F.col("_touched"), F.struct("_pos", "event_id", *CHANNEL))
     rows = _touches_and_purchases(events, vocabulary)
-    seen = running(rows, USER, F.col("_t"), CHUNK_US, {"_last": Running("latest", touch)})
+    seen = running(rows, USER, {"_last": Running("latest", touch)})
     purchases = seen.filter("_paid").select(
         *USER, bucket("event_time", granularity).alias("bucket"), "_amount",
         *[F.coalesce(F.col(f"_last.{c}"), F.lit(NO_TOUCH)).alias(c) for c in CHANNEL],
@@ -111,17 +111,15 @@ def linear(
     pairs of touches and purchases are never built.
     """
     rows = _touches_and_purchases(events, vocabulary)
-    counted = running(
-        rows, USER, F.col("_t"), CHUNK_US,
-        {"_k": Running("sum", F.when(F.col("_touched"), F.lit(1)))},
-    )
+    counted = running(rows, USER, {"_k": Running("sum", F.when(F.col("_touched"), F.lit(1)))})
     shared = F.col("_paid") & (F.col("_k") > 0)
     credited = running(
-        counted, USER, -F.col("_t"), CHUNK_US,
+        counted, USER,
         {
             "_conversions": Running("sum", F.when(shared, 1.0 / F.col("_k"))),
             "_revenue": Running("sum", F.when(shared, F.col("_amount") / F.col("_k"))),
         },
+        backwards=True,
     )
     orphan = F.col("_paid") & (F.col("_k") == 0)
     return credited.filter((F.col("_touched") & (F.col("_conversions") > 0)) | orphan).select(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickspan.functions.stats import safe_ratio
+from clickspan.functions.time import TimeLike, timestamp
 from clickspan.operators.alerts import apply_cooldown
 
 DEFAULT_COOLDOWN_S = 1800
@@ -67,6 +68,20 @@ def campaign_triggers(
     )
 
 
+def scheduled_notifications(
+    campaigns: DataFrame, segment_members: DataFrame, as_of: TimeLike
+) -> DataFrame:
+    """A run of the scheduled campaigns: one notification per member of the segment."""
+    due = campaigns.filter(F.col("active") & (F.col("trigger_type") == "scheduled")).select(
+        "app_id", "segment_id", F.col("id").alias("campaign_id"), "channel"
+    )
+    members = segment_members.select("segment_id", "app_id", "user_id").distinct()
+    return members.join(due, ["app_id", "segment_id"]).select(
+        "campaign_id", "app_id", "user_id", F.lit("scheduled").alias("event_name"), "channel",
+        timestamp(as_of).alias("event_time"),
+    )
+
+
 def delivery_outbox(notifications: DataFrame) -> DataFrame:
     """Outbox rows; the id repeats on replay so a consumer can drop doubles."""
     payload = F.to_json(F.struct(

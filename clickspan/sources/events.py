@@ -28,17 +28,13 @@ def read_events(
     return scope(events, app_id, start, end)
 
 
-def arrange(events: DataFrame, slots: int = 16) -> DataFrame:
-    """Place rows for a partitioned write: a few tasks per partition, sorted for file statistics.
+def arrange(events: DataFrame) -> DataFrame:
+    """Place rows for a partitioned write, sorted for file statistics.
 
-    A large tenant's day would be one task under ``partitionBy`` alone; the user hash spreads it
-    over ``slots`` tasks and files.
+    The rebalance hint lets Spark split a tenant's day that is too large for one task and put small
+    ones together, from the sizes it measures in the shuffle.
     """
-    slot = F.pmod(F.xxhash64("user_id", "device_id"), F.lit(slots))
-    return (
-        events.withColumn("_slot", slot).repartition(*PARTITIONS, "_slot")
-        .sortWithinPartitions("event_date", *SORT_KEY).drop("_slot")
-    )
+    return events.hint("rebalance", *PARTITIONS).sortWithinPartitions("event_date", *SORT_KEY)
 
 
 def with_date(events: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from clickspan.functions.scans import Running, running
+from clickspan.functions.scans import Running, in_chunks, running
 from clickspan.functions.stats import two_sided_p
 from clickspan.functions.text import PropertyFilter
 from clickspan.operators import alerts, attribution, campaigns, experiments, users
@@ -27,10 +27,15 @@ def test_running_scans(spark, chunk):
     made = [(f"k{i % 3}", rng.randrange(-500, 500), rng.choice([None, 1, 2, 3])) for i in range(400)]
     frame = spark.createDataFrame(made, "k string, t bigint, v int")
     latest = F.when(F.col("v").isNotNull(), F.struct("t", "v"))
-    got = running(frame, ["k"], F.col("t"), chunk, {"s": Running("sum", F.col("v")), "l": Running("latest", latest)})
+    placed = in_chunks(frame, F.col("t"), chunk)
     plain = Window.partitionBy("k").orderBy("t")
+    got = running(placed, ["k"], {"s": Running("sum", F.col("v")), "l": Running("latest", latest)})
     want = frame.withColumn("s", F.coalesce(F.sum("v").over(plain), F.lit(0))).withColumn("l", F.max(latest).over(plain))
-    assert rows(got) == rows(want)
+    assert rows(got, *want.columns) == rows(want)
+    back = running(placed, ["k"], {"s": Running("sum", F.col("v"))}, backwards=True)
+    after = Window.partitionBy("k").orderBy(F.desc("t"))
+    want = frame.withColumn("s", F.coalesce(F.sum("v").over(after), F.lit(0)))
+    assert rows(back, *want.columns) == rows(want)
 
 
 @pytest.fixture
@@ -192,6 +197,9 @@ def test_campaigns(spark):
     members = spark.createDataFrame([("vip", "a", "v")], "segment_id string, app_id string, user_id string")
     got = campaigns.campaign_triggers(events(spark, made), table, members)
     assert rows(got.groupBy("campaign_id", "user_id").count()) == [("c1", "u", 2), ("c1", "v", 2), ("c2", "v", 1)]
+    weekly = spark.createDataFrame([("c5", "a", "c", "scheduled", {}, "email", {}, True, "vip", None)], CAMPAIGNS)
+    run = campaigns.delivery_outbox(campaigns.scheduled_notifications(weekly, members, at()))
+    assert rows(run, "campaign_id", "user_id", "channel") == [("c5", "v", "email")]
     outbox = campaigns.delivery_outbox(got)
     assert outbox.select("id").distinct().count() == 5
     log = spark.createDataFrame([("1", "c", "a", "u", "push", s, at()) for s in ["sent"] * 4 + ["delivered"] * 3 + ["opened", "failed"]], DELIVERIES)
