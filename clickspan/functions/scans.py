@@ -53,7 +53,7 @@ def running(
     refs = {n: Running(m.kind, F.col(f"_v_{n}")) for n, m in measures.items()}
     direction = F.desc if backwards else F.asc
 
-    within = Window.partitionBy(*keys, CHUNK).orderBy(direction("_pos"))
+    within = Window.partitionBy(CHUNK, *reversed(keys)).orderBy(direction("_pos"))
     local = values.select(
         *placed.columns, *[ref.aggregate().over(within).alias(f"_l_{n}") for n, ref in refs.items()]
     )

@@ -139,7 +139,8 @@ def apply_cooldown(
     """
     keys = list(keys)
     wait = cooldown if isinstance(cooldown, Column) else F.lit(cooldown)
-    timed = fired.withColumn("_sec", F.unix_seconds(time_col)).withColumn("_wait", wait.cast("bigint"))
+    placed = fired.withColumn("_sec", F.unix_seconds(time_col)).withColumn("_wait", wait.cast("bigint"))
+    timed, free = placed.filter(F.col("_wait") > 0), placed.filter(F.col("_wait") <= 0)
     chunks = timed.groupBy(*keys, "_wait", F.floor(F.col("_sec") / F.col("_wait")).alias("_chunk")).agg(
         F.sort_array(F.collect_set("_sec")).alias("_secs")
     )
@@ -161,6 +162,7 @@ def apply_cooldown(
     return (
         timed.join(sent, [*keys, "_sec"], "left_semi")
         .withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") == 1)
+        .unionByName(free, allowMissingColumns=True)
         .select(*fired.columns)
     )
 

@@ -24,6 +24,12 @@ def check_steps(steps: Sequence[str]) -> list[str]:
     return list(steps)
 
 
+def check_window(window: str | int) -> int:
+    if seconds(window) < 1:
+        raise ValueError("a funnel window is at least one second")
+    return seconds(window)
+
+
 def _chunk_lists(step_events: DataFrame, keys: list[str], longest: int) -> DataFrame:
     """Distinct ``(t, step)`` per (key, chunk); a chunk is no longer than the window."""
     length = F.least(F.col("window"), F.lit(longest))
@@ -67,7 +73,7 @@ def window_funnel(
         F.unix_seconds(time_col).alias("t"),
         _step_number(steps).alias("step"),
         F.lit(len(steps)).alias("n"),
-        F.lit(seconds(window)).cast("bigint").alias("window"),
+        F.lit(check_window(window)).cast("bigint").alias("window"),
     )
     return _progress(step_events, USER).select(*USER, "level")
 
@@ -119,21 +125,27 @@ def funnel_overall(
 FUNNEL_USER = ["app_id", "funnel_id", "user_id"]
 
 
-def _definition_events(events: DataFrame, definitions: DataFrame, t: Column, unit: int) -> DataFrame:
-    """Step events of every definition of the app in one pass.
-
-    Invalid definitions (step count, repeated steps) are left out. The join has no forced
-    broadcast: the definition table is small and Spark broadcasts it while it stays so.
-    """
+def definition_steps(definitions: DataFrame, unit: int) -> DataFrame:
+    """One row per step; definitions with bad steps or windows are left out."""
     valid = (
         F.size("steps").between(MIN_STEPS, MAX_STEPS)
         & (F.size(F.array_distinct("steps")) == F.size("steps"))
+        & (F.col("window_seconds") > 0)
     )
-    by_step = definitions.filter(valid).select(
+    return definitions.filter(valid).select(
         "app_id", "funnel_id", F.size("steps").alias("n"),
         (F.col("window_seconds") * unit).alias("window"),
         F.posexplode("steps").alias("step", "event_name"),
     )
+
+
+def _definition_events(events: DataFrame, definitions: DataFrame, t: Column, unit: int) -> DataFrame:
+    """Step events of every definition of the app in one pass.
+
+    The join has no forced broadcast: the definition table is small and Spark broadcasts it while
+    it stays so.
+    """
+    by_step = definition_steps(definitions, unit)
     return (
         events.filter(not_blank("user_id"))
         .select("app_id", "user_id", "event_name", t.alias("t"))

@@ -31,7 +31,7 @@ def path_lists(
     events = events.filter(not_blank("session_id"))
     if filters:
         events = events.filter(all_filters(filters))
-    within = Window.partitionBy(*SESSION, "_chunk").orderBy("event_time", "event_id")
+    within = Window.partitionBy("_chunk", *reversed(SESSION)).orderBy("event_time", "event_id")
     so_far = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     started = F.max((F.col("event_name") == start_event).cast("int")).over(so_far)
     candidates = (

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickspan.operators.funnels import FUNNEL_USER, MAX_STEPS, MIN_STEPS
 from clickspan.functions.text import not_blank
+from clickspan.operators.funnels import FUNNEL_USER, definition_steps
 from clickspan.streaming.base import DELAY, with_watermark
 from clickspan.streaming.ordered import OrderedProcessor
 
@@ -51,15 +51,7 @@ class FunnelProcessor(OrderedProcessor):
 
 def funnel_stream(events: DataFrame, definitions: DataFrame, delay: str = DELAY) -> DataFrame:
     """Conversions of every definition; the stream meets the definitions in a static join."""
-    valid = (
-        F.size("steps").between(MIN_STEPS, MAX_STEPS)
-        & (F.size(F.array_distinct("steps")) == F.size("steps"))
-    )
-    by_step = definitions.filter(valid).select(
-        "app_id", "funnel_id", F.size("steps").alias("n"),
-        (F.col("window_seconds") * 1000).alias("window"),
-        F.posexplode("steps").alias("step", "event_name"),
-    )
+    by_step = definition_steps(definitions, 1000)
     rows = with_watermark(events, "server_time", delay).filter(not_blank("user_id")).join(
         by_step, ["app_id", "event_name"]
     ).select(*FUNNEL_USER, "server_time", F.unix_millis("server_time").alias("t"), "step", "n", "window")

@@ -186,6 +186,12 @@ def test_cooldown_against_fold(spark, seed):
     assert rows(got) == sorted(want, key=repr)
 
 
+def test_no_cooldown_sends_everything(spark):
+    fired = spark.createDataFrame([("r", at(), w) for w in (0, 0, 60, 60)], "rule_id string, fired_at timestamp, w int")
+    got = alerts.apply_cooldown(fired, F.col("w"), ("rule_id",))
+    assert rows(got, "w") == [(0,), (0,), (60,)]
+
+
 def test_campaigns(spark):
     table = spark.createDataFrame([
         ("c1", "a", "c", "event", {"topic": "buy"}, "push", {}, True, None, 60),
