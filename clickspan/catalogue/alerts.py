@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clickspan.catalogue.base import EV, query, sessions_cte
-from clickspan.catalogue.funnels import definitions
+from clickspan.catalogue.base import EV, ORACLES, query, sessions_cte
+from clickspan.catalogue.funnels import CONVERSIONS, definitions, levels
 from clickspan.functions.text import PropertyFilter
 from clickspan.operators import alerts, campaigns, funnels, sessions, users
 from clickspan.sources.testdata import TEST_VOCABULARY as V
@@ -59,12 +59,23 @@ SELECT app_id, window_mins::BIGINT AS window_mins, 'session_count' AS metric, n:
 UNION ALL SELECT app_id, window_mins, 'bounce_rate', round(b / n, 6) FROM agg""")
 def alert_session_metrics(events, spark, sf_dir):
     found = alerts.alert_metrics(
-        events, WINDOWS, AS_OF, V, sessions=sessions.session_summaries(events),
-        funnel_steps=["signup", "click", "purchase"],
+        events, WINDOWS, AS_OF, V, sessions=sessions.session_summaries(events)
     )
     return found.filter(F.col("metric").isin("session_count", "bounce_rate"))
 
 
+RECENT = EV.replace("FROM raw\n)", f"""FROM raw WHERE ts <= TIMESTAMP '{AS_OF}' AND ts >= TIMESTAMP '{AS_OF}' - to_minutes(10080)
+)""")
+
+
+@query("alert_funnel_rate", RECENT + levels(["signup", "click", "purchase"], 604800) + """
+SELECT app_id, 10080::BIGINT AS window_mins, 'funnel_conversion_rate' AS metric,
+       round(count(*) FILTER (level >= 3) / count(*) FILTER (level >= 1), 6) AS value FROM levels GROUP BY 1""")
+def alert_funnel_rate(events, spark, sf_dir):
+    found = alerts.alert_metrics(events, [10080], AS_OF, V, funnel_steps=["signup", "click", "purchase"])
+    return found.filter(F.col("metric") == "funnel_conversion_rate")
+
+
 FIRED = METRICS + """, rules(rule_id, app_id, metric_name, condition, threshold, window_mins) AS (VALUES
  ('r1', 'app_0', 'event_count', 'gt', 10, 1440), ('r2', 'app_0', 'event_count', 'lt', 10, 60),
  ('r3', 'app_1', 'error_rate', '>=', 15, 10080), ('r4', 'app_1', 'p99_latency', '>', 1, 10080),
@@ -179,7 +190,21 @@ def campaign_stats(events, spark, sf_dir):
     return campaigns.campaign_stats(events.select("campaign_id", status.alias("status")))
 
 
-@query("funnel_campaign_triggers")
+def _funnel_triggers() -> str:
+    """Conversions of app_0 and drop-offs of app_2, then the cooldown by recursion."""
+    picked = cooldown_sql("""
+      SELECT 'g0' AS campaign_id, user_id, app_id, 'goal_reached' AS event_name, make_timestamp(e * 1000) AS t,
+             e // 1000 AS sec, 3600 AS wait FROM conv WHERE app_id = 'app_0'
+      UNION ALL
+      SELECT 'd2', user_id, app_id, 'funnel_drop', last_entered_at, epoch_us(last_entered_at) // 1000000, 3600
+      FROM dropped WHERE app_id = 'app_2'""", "campaign_id, user_id")
+    after = picked.split("FROM raw\n)", 1)[1]
+    return CONVERSIONS + f", dropped AS ({ORACLES['funnel_dropoffs']})" + after
+
+
+@query("funnel_campaign_triggers", _funnel_triggers() + """
+SELECT campaign_id, user_id, app_id, event_name, min(t) AS event_time
+FROM rows_in JOIN sent USING (campaign_id, user_id, sec) GROUP BY 1, 2, 3, 4, sec""")
 def funnel_campaign_triggers(events, spark, sf_dir):
     """Goal-reached and funnel-drop triggers through the same matching and cooldown."""
     rows = campaigns.conversion_triggers(

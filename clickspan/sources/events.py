@@ -56,18 +56,20 @@ def new_rows(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 def archive_raw(incoming: DataFrame, path: str) -> None:
     """Append events to the archive; ids that are already there are skipped.
 
-    Only archive partitions of the days present in the batch are read.
+    The days of the batch, a handful after validation, become literal partition predicates, so only
+    those archive partitions are read.
     """
-    incoming = with_date(incoming)
-    spark = incoming.sparkSession
-    if path_exists(spark, path):
-        days = incoming.select("event_date").distinct()
-        stored = spark.read.schema(f"{EVENTS}, event_date date").parquet(path)
-        touched = stored.select("event_id", "event_date").join(days, "event_date", "left_semi")
-        incoming = new_rows(incoming, touched)
-    else:
-        incoming = dedup_events(incoming)
-    arrange(incoming).write.mode("append").partitionBy(*PARTITIONS).parquet(path)
+    incoming = dedup_events(with_date(incoming)).persist()
+    try:
+        fresh, spark = incoming, incoming.sparkSession
+        if path_exists(spark, path):
+            days = [row[0] for row in incoming.select("event_date").distinct().collect()]
+            stored = spark.read.schema(f"{EVENTS}, event_date date").parquet(path)
+            known = stored.filter(F.col("event_date").isin(days)).select("event_id")
+            fresh = incoming.join(known, "event_id", "left_anti")
+        arrange(fresh).write.mode("append").partitionBy(*PARTITIONS).parquet(path)
+    finally:
+        incoming.unpersist()
 
 
 def raw_events_lookup(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -95,9 +95,9 @@ def minute_metrics(
     ).select("app_id", F.col("window.end").alias("minute"), "n", "errors", "revenue", "devices")
 
 
-def rule_values(rules: DataFrame, minutes: DataFrame, as_of) -> DataFrame:
+def rule_values(rules: DataFrame, minutes: DataFrame, as_of: Column) -> DataFrame:
     """Value of each active rule's metric over its own window, from minute rows."""
-    age = F.unix_seconds(F.lit(as_of)) - F.unix_seconds("minute")
+    age = F.unix_seconds(as_of) - F.unix_seconds("minute")
     recent = minutes.filter(age >= 0).withColumn("_age", age).withColumnRenamed("app_id", "_app")
     in_window = (F.col("app_id") == F.col("_app")) & (
         F.col("_age") < F.col("window_mins").cast("bigint") * 60
@@ -145,20 +145,26 @@ def alert_stream(
         spark = batch.sparkSession
         batch.persist()
         try:
-            as_of = batch.agg(F.max("minute")).first()[0]
-            if as_of is None:
+            latest = batch.agg(F.max(F.unix_micros("minute"))).first()[0]
+            if latest is None:
                 return
             write_partials(batch, batch_id, f"{path}/minutes")
         finally:
             batch.unpersist()
-        values = rule_values(rules(), spark.read.parquet(f"{path}/minutes").drop("batch_id"), as_of)
+        as_of = F.timestamp_micros(F.lit(latest))
+        current = rules()
+        longest = current.agg(F.max("window_mins")).first()[0] or 0
+        recent = spark.read.parquet(f"{path}/minutes").drop("batch_id").filter(
+            F.col("minute") > F.timestamp_micros(F.lit(latest - longest * 60_000_000))
+        )
+        values = rule_values(current, recent, as_of)
         fired = values.filter(
             breached(F.col("value"), F.col("condition"), F.col("threshold"))
-        ).withColumn("fired_at", F.lit(as_of))
+        ).withColumn("fired_at", as_of)
         if path_exists(spark, f"{path}/sent"):
             waiting = spark.read.parquet(f"{path}/sent").filter(
                 (F.col("batch_id") < batch_id)
-                & (F.unix_seconds("fired_at") > F.unix_seconds(F.lit(as_of)) - cooldown_s)
+                & (F.unix_seconds("fired_at") > F.unix_seconds(as_of) - cooldown_s)
             ).select("rule_id")
             fired = fired.join(waiting, "rule_id", "left_anti")
         write_partials(fired, batch_id, f"{path}/sent")
