@@ -177,14 +177,18 @@ def trailing_active_users(dau_rollup: DataFrame, days: int = 30) -> DataFrame:
     One merged sketch per day is repeated for the days it counts in; users are never touched.
     """
     daily = dau_rollup.groupBy("app_id", "day").agg(F.hll_union_agg("users").alias("users"))
-    last = daily.groupBy("app_id").agg(F.max("day").alias("_last"))
-    spread = daily.join(last, "app_id").select(
+    span = daily.groupBy("app_id").agg(F.min("day").alias("_first"), F.max("day").alias("_last"))
+    spread = daily.join(span, "app_id").select(
         "app_id", "users",
         F.explode(F.sequence("day", F.least(F.date_add("day", days - 1), F.col("_last")))).alias("day"),
     )
-    return spread.groupBy("app_id", "day").agg(
+    counted = spread.groupBy("app_id", "day").agg(
         F.hll_sketch_estimate(F.hll_union_agg("users")).alias("active_users")
     )
+    calendar = span.select("app_id", F.explode(F.sequence("_first", "_last")).alias("day"))
+    return calendar.join(counted, ["app_id", "day"], "left").select(
+        "app_id", "day", F.coalesce("active_users", F.lit(0)).alias("active_users")
+    )
 
 
 def counts_from_rollup(hourly_counts: DataFrame, granularity: str = "day") -> DataFrame:
