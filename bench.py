@@ -1,7 +1,7 @@
 """Time the headline queries and print one JSON line.
 
 ``BENCH_SF_DIR`` (default /root/testdata/sf0.1) and ``BENCH_CPUS`` (default 8) choose data and cores.
-Each query is run to completion into the no-op sink; the best of ``BENCH_RUNS`` (default 2) counts,
+Each query is run to completion into the no-op sink; the best of ``BENCH_RUNS`` (default 3) counts,
 so that class loading and code generation are not measured.
 """
 
@@ -29,7 +29,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = sys.argv[1:] or HEADLINE
     spark = build_session(
         f"local[{cpus}]", "bench",
