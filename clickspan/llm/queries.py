@@ -1,9 +1,10 @@
 """Registered queries of the operators for training text, with their DuckDB SQL where SQL can express them."""
 
-from clickspan.llm import mixing, quality
+from clickspan.llm import mixing, packing, quality
 
 QUERIES = {f.__name__: f for f in [
     quality.op2_quality_rules,
+    packing.op4_best_fit_packing,
     mixing.op10_mix_sources,
 ]}
 
