@@ -1,11 +1,13 @@
 """Registered queries of the operators for training text, with their DuckDB SQL where SQL can express them."""
 
-from clickspan.llm import mixing, neardup, packing, quality, substring
+from clickspan.llm import chat, mixing, neardup, neighbours, packing, quality, substring
 
 QUERIES = {f.__name__: f for f in [
     quality.op2_quality_rules,
     packing.op4_best_fit_packing,
     substring.op5_substring_dedup,
+    neighbours.op7_multi_index,
+    chat.op8_chat_format,
     neardup.op9_hyperminhash,
     mixing.op10_mix_sources,
 ]}
@@ -13,6 +15,7 @@ QUERIES = {f.__name__: f for f in [
 ORACLES = {
     "op2_quality_rules": quality.OP2_SQL,
     "op5_substring_dedup": substring.OP5_SQL,
+    "op8_chat_format": chat.OP8_SQL,
     "op9_hyperminhash": neardup.OP9_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
 }
