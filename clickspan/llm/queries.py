@@ -1,8 +1,9 @@
 """Registered queries of the operators for training text, with their DuckDB SQL where SQL can express them."""
 
-from clickspan.llm import chat, html, mixing, neardup, neighbours, packing, quality, substring
+from clickspan.llm import chat, html, language, mixing, neardup, neighbours, packing, quality, substring
 
 QUERIES = {f.__name__: f for f in [
+    language.op1_family_svm,
     quality.op2_quality_rules,
     html.op3_min_cut,
     packing.op4_best_fit_packing,
