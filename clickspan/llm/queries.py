@@ -1,6 +1,6 @@
 """Registered queries of the operators for training text, with their DuckDB SQL where SQL can express them."""
 
-from clickspan.llm import chat, html, language, mixing, neardup, neighbours, packing, quality, substring
+from clickspan.llm import chat, html, language, mixing, neardup, neighbours, packing, pii, quality, substring
 
 QUERIES = {f.__name__: f for f in [
     language.op1_family_svm,
@@ -8,6 +8,7 @@ QUERIES = {f.__name__: f for f in [
     html.op3_min_cut,
     packing.op4_best_fit_packing,
     substring.op5_substring_dedup,
+    pii.op6_context_pii,
     neighbours.op7_multi_index,
     chat.op8_chat_format,
     neardup.op9_hyperminhash,
