@@ -10,11 +10,13 @@ a group is what links connect.
   copies cost one row each.
 * Bands of six registers meet in 42 hash tables. Empty registers borrow from others by a fixed probe order,
   so that short documents don't meet by emptiness. A pair at 0.85 misses all bands with probability 2e-9.
-* Every document is first held against the smallest document that it meets; what that links is settled.
-  Then, in each bucket, only pairs of different components are left; large buckets are cut into blocks of
-  512 documents that meet block by block, so no task holds a bucket whole.
 * The Jaccard estimate, corrected for chance collisions of the compressed registers, sorts out pairs that
   lie 5.5 standard deviations below the threshold; all others are verified on the full sets.
+* Every document is first held against the smallest document that it meets; what that links is settled.
+  Only pairs of different components are left then. In each bucket those that the estimate lets through
+  give a spanning forest, not all pairs; what the forests connect is a group, and inside a group documents
+  meet on their full sets. Buckets and groups are cut into chunks of 256 documents that meet chunk by
+  chunk, so no task holds one whole.
 
 Cases: a document without words has an empty set, no link and itself as component; a null doc_id takes no
 part in links and keeps a null component; rows that share a doc_id are judged each by its own text; an
@@ -39,7 +41,7 @@ from clickspan.llm.tables import table, written
 WIDTH = 5
 BUCKETS, BANDS, ROWS = 256, 42, 6
 SIGMAS = 5.5
-CHUNK = 512
+CHUNK = 256
 _random = np.random.Generator(np.random.PCG64(777))
 _PROBES = np.stack([_random.permutation(BUCKETS) for _ in range(BUCKETS)])
 _BAND_BASE = int(_random.integers(2**62, 2**63)) | 1
@@ -162,16 +164,38 @@ def _first_pairs(meeting: DataFrame, nodes: DataFrame, percent: int) -> DataFram
     return joined.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(sift, "a long, b long")
 
 
-def _open_pairs(meeting: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that meet in a bucket, belong to different components and may be linked by their sketches."""
-    placed = meeting.select("key", "id").join(
-        labels.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+def _groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of equal keys from sorted batches."""
+    group: list[pa.RecordBatch] = []
+    last = None
+    for key, part in runs(batches, keys):
+        if key != last and group:
+            yield pa.Table.from_batches(group)
+            group = []
+        last = key
+        group.append(part)
+    if group:
+        yield pa.Table.from_batches(group)
+
+
+def _as_pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _open_groups(meeting: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(id, component): what pairs of different components connect that share a bucket and may be linked.
+
+    A task sees two chunks of a bucket at most and returns a spanning forest of its pairs, so the result
+    has no more rows than the bucket.
+    """
+    placed = meeting.select("key", "id").join(labels.withColumnRenamed("component", "c"), "id", "left").withColumn(
+        "c", F.coalesce("c", "id"))
     several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi")
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     rows = (
         placed.join(several.select("key", chunks.alias("chunks")), "key")
-        .withColumn("own", own)
+        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
         # A row goes to every pair of chunks that its own chunk is part of.
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .join(nodes.select("id", "n", "sketch"), "id")
@@ -180,41 +204,85 @@ def _open_pairs(meeting: DataFrame, labels: DataFrame, nodes: DataFrame, percent
     )
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(group: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-            rows = pa.Table.from_batches(group)
-            own, ids, c, n = (rows.column(k).to_numpy() for k in ("own", "id", "c", "n"))
-            x, y = rows.column("x")[0].as_py(), rows.column("y")[0].as_py()
-            sketches = _sketches(rows.column("sketch"))
-            a, b = [], []
-            for i in range(len(ids)):
-                if own[i] != x:
-                    break
+        found: list[tuple[int, int]] = []
+        for group in _groups(batches, ["key", "x", "y"]):
+            own, ids, c, n = (group.column(k).to_numpy() for k in ("own", "id", "c", "n"))
+            x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+            sketches = _sketches(group.column("sketch"))
+            tree = np.arange(len(ids))
+            second = int(np.searchsorted(own, y))
+            for i in range(len(ids) if x == y else second):
                 # Within a chunk each pair once; else a row of one chunk with all of the other.
-                begin = i + 1 if x == y else int(np.searchsorted(own, y))
-                rest = begin + np.flatnonzero(c[begin:] != c[i])
+                begin = i + 1 if x == y else second
+                rest = begin + np.flatnonzero((c[begin:] != c[i]) & (tree[begin:] != tree[i]))
                 if len(rest):
-                    hit = rest[likely(sketches[i], n[i], sketches[rest], n[rest], percent)]
-                    a.append(np.minimum(ids[i], ids[hit]))
-                    b.append(np.maximum(ids[i], ids[hit]))
-            empty = [np.zeros(0, dtype=np.int64)]
-            return np.concatenate(a or empty), np.concatenate(b or empty)
-
-        group, last, found = [], None, []
-        for key, part in runs(batches, ["key", "x", "y"]):
-            if key != last and group:
-                found.append(pairs(group))
-                group = []
-            last = key
-            group.append(part)
-            if len(found) >= 1000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(s)) for s in zip(*found)], ["a", "b"])
+                    hits = rest[likely(sketches[i], n[i], sketches[rest], n[rest], percent)]
+                    joined, first = np.unique(tree[hits], return_index=True)
+                    found += [(int(ids[i]), int(ids[j])) for j in hits[first]]
+                    tree[np.isin(tree, joined)] = tree[i]
+            if len(found) >= 10_000:
+                yield _as_pairs(found)
                 found = []
-        if group:
-            found.append(pairs(group))
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(s)) for s in zip(*found)], ["a", "b"])
+            yield _as_pairs(found)
 
-    return rows.mapInArrow(meet, "a long, b long").distinct()
+    return components(rows.mapInArrow(meet, "a long, b long"))
+
+
+def _open_links(groups: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Verified links (a, b) between different components inside each group, as far as they join something.
+
+    The documents of a group are dealt into chunks: those of a component with more than CHUNK documents
+    into chunks of its own, all others together by component. Only pairs of chunks that can hold different
+    components meet, so a large settled component is not held against itself.
+    """
+    rows = groups.select("id", F.col("component").alias("g")).join(
+        labels.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    sizes = rows.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m")).withColumn("big", F.col("m") > CHUNK)
+    small = sizes.groupBy("g").agg(F.sum(F.when(~F.col("big"), F.col("m")).otherwise(0)).alias("rest"))
+    slots = lambda m: F.greatest(F.ceil(m / CHUNK), F.lit(1))
+    rows = rows.join(sizes, ["g", "c"]).join(small, "g").select("g", "id", "c", F.when(
+        F.col("big"), F.concat_ws(":", "c", F.pmod(F.xxhash64("id"), slots(F.col("m")))))
+        .otherwise(F.concat_ws(":", F.lit("small"), F.pmod(F.xxhash64("c"), slots(F.col("rest"))))).alias("chunk"),
+        F.when(F.col("big"), F.col("c").cast("string")).otherwise(F.col("id").cast("string")).alias("sole"))
+    rows = written(rows, "chunks")
+    chunks = rows.groupBy("g", "chunk").agg(F.min("sole").alias("lo"), F.max("sole").alias("hi"))
+    other = chunks.select("g", *[F.col(k).alias(f"{k}_2") for k in ("chunk", "lo", "hi")])
+    meetings = chunks.join(other, "g").filter("chunk <= chunk_2 and not (lo = hi and lo = lo_2 and lo_2 = hi_2)").select(
+        "g", F.col("chunk").alias("x"), F.col("chunk_2").alias("y"))
+    ones = rows.withColumnRenamed("chunk", "x").join(meetings, ["g", "x"]).select("g", "x", "y", F.lit(0).alias("side"), "id", "c")
+    others = rows.withColumnRenamed("chunk", "y").join(meetings.filter("x < y"), ["g", "y"]).select(
+        "g", "x", "y", F.lit(1).alias("side"), "id", "c")
+    placed = (
+        ones.unionByName(others).join(texts, "id").select("g", "x", "y", "side", "id", "c", "text")
+        .repartition("g", "x", "y").sortWithinPartitions("g", "x", "y", "side", "id")
+    )
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["g", "x", "y"]):
+            side, ids, tree = (group.column(k).to_numpy() for k in ("side", "id", "c"))
+            tree = tree.copy()
+            alone = group.column("x")[0].as_py() == group.column("y")[0].as_py()
+            whole = [t or b"" for t in byte_texts(group.column("text"))]
+            sets = [s for begin, end in blocks(whole) for s in shingle_sets(whole[begin:end], width)]
+            sketches, n = np.stack([registers(s) for s in sets]), np.array([len(s) for s in sets])
+            second = int(np.searchsorted(side, 1))
+            found = []
+            for i in range(len(ids) if alone else second):
+                begin = i + 1 if alone else second
+                rest = begin + np.flatnonzero(tree[begin:] != tree[i])
+                if not len(rest):
+                    continue
+                for j in rest[likely(sketches[i], n[i], sketches[rest], n[rest], percent)]:
+                    if tree[i] != tree[j]:
+                        shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                        if 100 * shared >= percent * (n[i] + n[j] - shared):
+                            found.append((int(ids[i]), int(ids[j])))
+                            tree[tree == tree[j]] = tree[i]
+            if found:
+                yield _as_pairs(found)
+
+    return placed.mapInArrow(compare, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
@@ -253,7 +321,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         .groupBy("id").agg(F.max("text").alias("text")), "texts")
     first = written(verified(_first_pairs(meeting, nodes, percent), texts, percent), "links")
     labels = components(first)
-    more = written(verified(_open_pairs(meeting, labels, nodes, percent), texts, percent), "links")
+    groups = _open_groups(meeting, labels, nodes, percent)
+    more = written(_open_links(groups, labels, texts, percent, WIDTH), "links")
     labels = components(labels.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more))
     grouped = members.join(labels, "id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
