@@ -110,13 +110,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), ratio: float = 1.5,
     )
 
 
-def emitted(mixed: DataFrame) -> DataFrame:
-    """One row per copy, with the columns of the input."""
-    return (
-        mixed.filter(F.col("copies") > 0)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .drop(*ADDED, "_copy")
-    )
+def mixed(docs: DataFrame, **parameters) -> DataFrame:
+    """The mix itself: one row of ``docs`` per copy taken, with the columns of ``docs``."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "source")
+    taken = mix(rows, **parameters).filter(F.col("copies") > 0)
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,7 +213,7 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     Overlapping spans are replaced once, by the kind that begins first.
     """
-    found = personal_data(docs)
+    found = personal_data(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text"))
     spans = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     found = found.withColumn("_s", spans)
     # How far the spans before reach; a span that begins earlier is only cut to what it adds.
@@ -226,8 +226,9 @@ def redacted(docs: DataFrame) -> DataFrame:
     last = F.coalesce(F.array_max(F.transform("_s", lambda s: s["end"])), F.lit(0).cast("long"))
     text = F.when(F.size("_s") > 0, F.concat(F.array_join(parts, ""), F.substring(
         "text", last.cast("int") + 1, F.length("text")))).otherwise(F.col("text"))
-    new = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
-    return found.withColumns(new).select(*docs.columns)
+    new = {"text": text, "n_chars": F.when(F.size("_s") > 0, F.length(text).cast("long")).otherwise(
+        F.col("_row")["n_chars"])} if "n_chars" in docs.columns else {"text": text}
+    return found.select(*[new[c].alias(c) if c in new else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op6_context_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

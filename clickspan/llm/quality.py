@@ -106,38 +106,56 @@ def host_rates(flags: DataFrame, rules: list[str], keys: list[str]) -> DataFrame
     return hosts.select(*keys, *rates)
 
 
-def quality_verdicts(docs: DataFrame, host: str = "source", id_column: str = "doc_id",
-                     habit: float = 0.05, hopeless: float = 0.9) -> DataFrame:
-    """One row per document: id, measures, ``base_failed``, ``host_rejected`` and ``kept``.
-
-    ``habit`` is the shrunk rate of a soft rule from which on a host's failures count as habit; a host
-    whose shrunk rate of failing any rule reaches ``hopeless`` is rejected as a whole.
-    """
+def _flagged(docs: DataFrame, host: str) -> DataFrame:
+    """``docs`` with the measures, the rules' outcomes and the host as a key that is never null."""
     rules = soft_rules()
-    slim = (
-        measured(docs.select(id_column, F.col(host).alias("_host"), "text"))
+    # The measures are generated, not projected: else the optimizer would copy them into every later filter.
+    return (
+        measured(docs)
+        .select(*[F.col(c) for c in docs.columns if c not in [*MEASURES, "n_lines"]],
+                F.inline(F.array(F.struct(*MEASURES, "n_lines"))))
         .withColumn("base_failed", base_rule())
         .withColumns({f"_f_{name}": rule for name, rule in rules.items()})
-        .withColumn("_null", F.col("_host").isNull())
-        .withColumn("_host", F.coalesce("_host", F.lit("")))
-        .select(id_column, "_null", "_host", *MEASURES, "base_failed", *[f"_f_{r}" for r in rules])
         .withColumn("_f_any", F.col("base_failed") | F.greatest(*[F.col(f"_f_{r}").cast("int") for r in rules]).cast("boolean"))
+        .withColumn("_null", F.col(host).isNull())
+        .withColumn("_host", F.coalesce(F.col(host), F.lit("")))
+        .drop("n_lines")
     )
-    slim = written(slim, "quality")
-    names = [f"_f_{r}" for r in rules] + ["_f_any"]
-    hosts = host_rates(slim, names, ["_null", "_host"])
-    habitual = [F.col(f"_f_{r}") & (F.col(f"rate__f_{r}") >= habit) for r in rules]
-    caught = habitual[0]
-    for other in habitual[1:]:
-        caught = caught | other
+
+
+def _verdicts(flagged: DataFrame, hosts: DataFrame, habit: float, hopeless: float) -> DataFrame:
+    caught = F.lit(False)
+    for r in SOFT:
+        caught = caught | (F.col(f"_f_{r}") & (F.col(f"rate__f_{r}") >= habit))
     return (
-        slim.join(hosts, ["_null", "_host"])
+        flagged.join(hosts, ["_null", "_host"])
         .withColumn("host_rejected", F.col("rate__f_any") >= hopeless)
         .withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected") & ~caught)
-        .select(id_column, *MEASURES, "base_failed", "host_rejected", "kept")
     )
 
 
+def _hosts(flagged: DataFrame) -> DataFrame:
+    return host_rates(flagged, [*[f"_f_{r}" for r in SOFT], "_f_any"], ["_null", "_host"])
+
+
+def quality_verdicts(docs: DataFrame, host: str = "source", id_column: str = "doc_id",
+                     habit: float = 0.05, hopeless: float = 0.9) -> DataFrame:
+    """One row per document: id, measures, ``base_failed``, ``host_rejected`` and ``kept``.
+
+    ``habit`` is the shrunk rate of a soft rule from which on a host's failures count as habit; a host
+    whose shrunk rate of failing any rule reaches ``hopeless`` is rejected as a whole.
+    """
+    slim = written(_flagged(docs.select(id_column, host, "text"), host).drop("text", host), "quality")
+    return _verdicts(slim, _hosts(slim), habit, hopeless).select(id_column, *MEASURES, "base_failed", "host_rejected", "kept")
+
+
+def kept_documents(docs: DataFrame, host: str = "source", habit: float = 0.05, hopeless: float = 0.9) -> DataFrame:
+    """The rows of ``docs`` that are kept. Texts are measured twice instead of being shuffled to their verdicts."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(host).alias("source"), "text")
+    slim = written(_flagged(rows.drop("_row"), "source").drop("text", "source", *MEASURES), "quality")
+    return _verdicts(_flagged(rows, "source"), _hosts(slim), habit, hopeless).filter("kept").select("_row.*")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return quality_verdicts(docs)
