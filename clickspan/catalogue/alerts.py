@@ -164,11 +164,11 @@ def campaign_triggers(events, spark, sf_dir):
 
 
 @query("delivery_outbox", TRIGGERED + """
-, d AS (SELECT campaign_id, user_id, app_id, event_name, channel, min(t) AS sent_at
+, d AS (SELECT campaign_id, user_id, app_id, event_name, channel, min(t) AS created_at
         FROM rows_in JOIN sent USING (campaign_id, user_id, sec) GROUP BY 1, 2, 3, 4, 5, sec)
-SELECT sha256(campaign_id || '|' || user_id || '|' || (epoch_us(sent_at) // 1000)) AS id, campaign_id, app_id, user_id, channel,
+SELECT sha256(campaign_id || '|' || user_id || '|' || (epoch_us(created_at) // 1000)) AS id, campaign_id, app_id, user_id, channel,
   '{"campaign_id":"' || campaign_id || '","app_id":"' || app_id || '","user_id":"' || user_id || '","event_name":"' ||
-  event_name || '","event_time_ms":' || (epoch_us(sent_at) // 1000) || '}' AS payload, 'sent' AS status, sent_at FROM d""")
+  event_name || '","event_time_ms":' || (epoch_us(created_at) // 1000) || '}' AS payload, 'pending' AS status, created_at FROM d""")
 def delivery_outbox(events, spark, sf_dir):
     return campaigns.delivery_outbox(triggered(events, spark))
 

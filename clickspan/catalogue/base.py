@@ -29,7 +29,7 @@ WITH raw AS (
          ts AS event_time,
          CAST(ts AS DATE) AS event_date,
          's_' || user_id || '_' || strftime(ts, '%Y%m%d') AS session_id,
-         ['US','IN','GB','DE','FR','JP','BR','CA'][(user_id % 8) + 1] AS country_code,
+         ['SE','US','KE','NL','PL','NZ','MX','TR'][(user_id % 8) + 1] AS country_code,
          ['web','ios','android'][(k % 3) + 1] AS platform,
          '1.' || (k % 4) AS app_version,
          ['Windows','iOS','Android'][(k % 3) + 1] AS os_family,

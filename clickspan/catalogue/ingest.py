@@ -103,16 +103,19 @@ def fill_defaults(events, spark, sf_dir):
                          F.length("event_id").alias("id_length"))
 
 
-@query("dedup_events", EV + " SELECT app_id, event_id, user_id, event_name, event_time FROM ev")
+@query("dedup_events", EV + """ SELECT app_id, event_id, user_id, event_name, event_time FROM ev
+UNION ALL SELECT app_id || '_b', event_id, user_id, event_name, event_time FROM ev""")
 def dedup_events(events, spark, sf_dir):
     """Every event arrives three times; the first arrival stays."""
+    others = events.withColumn("app_id", F.concat("app_id", F.lit("_b")))  # ids are used again by other tenants
+    events = events.unionByName(others)
     late = [
         events.withColumn("server_time", F.col("server_time") + F.expr(f"INTERVAL {n} HOURS"))
         .withColumn("event_name", F.lit("copy"))
         for n in (1, 2)
     ]
     copies = events.unionByName(late[0]).unionByName(late[1])
-    return ingest.dedup_events(copies, ("app_id", "device_id", "event_id")).select(
+    return ingest.dedup_events(copies).select(
         "app_id", "event_id", "user_id", "event_name", "event_time"
     )
 
@@ -179,16 +182,17 @@ def flatten_props(events, spark, sf_dir):
 
 
 @query("limit_props", EV + """
-SELECT event_id, 50::BIGINT AS n_keys, 'key_01' AS first_key, 'key_50' AS last_key, least(1024, 20 * k) AS value_length FROM ev""")
+SELECT event_id, 50::BIGINT AS n_keys, 10::BIGINT AS dropped, 'key_01' AS first_key, 'key_50' AS last_key, least(1024, 20 * k) AS value_length FROM ev""")
 def limit_props(events, spark, sf_dir):
     names = F.transform(F.sequence(F.lit(60), F.lit(1)), lambda i: F.concat(F.lit("key_"), F.lpad(i.cast("string"), 2, "0")))
     wide = F.map_from_entries(F.transform(names, lambda n: F.struct(
         n.alias("key"),
         F.when(n == "key_07", F.repeat(F.lit("x"), F.col("props")["k"].cast("int") * 20)).otherwise(n).alias("value"))))
-    limited = events.select("event_id", ingest.limit_props(wide).alias("p"))
+    limited = events.select("event_id", ingest.limit_props(wide, 50, 256, 1024).alias("l")).select(
+        "event_id", "l.dropped", F.col("l.props").alias("p"))
     keys = F.sort_array(F.map_keys("p"))
     return limited.select(
-        "event_id", F.size("p").alias("n_keys"), F.get(keys, F.lit(0)).alias("first_key"),
+        "event_id", "dropped", F.size("p").alias("n_keys"), F.get(keys, F.lit(0)).alias("first_key"),
         F.element_at(keys, -1).alias("last_key"), F.length(F.col("p")["key_07"]).alias("value_length"),
     )
 
@@ -225,10 +229,13 @@ def replay_dead_letters(events, spark, sf_dir):
 
 
 @query("archive_new_rows", EV + """
-SELECT app_id, event_id, event_name, event_time FROM ev WHERE event_time >= TIMESTAMP '2024-01-10'""")
+SELECT app_id, event_id, event_name, event_time FROM ev WHERE event_time >= TIMESTAMP '2024-01-10'
+UNION ALL SELECT app_id || '_b', event_id, event_name, event_time FROM ev""")
 def archive_new_rows(events, spark, sf_dir):
+    """Another tenant's events with the same ids are new."""
     stored = events.filter(F.col("event_time") < F.lit("2024-01-10").cast("timestamp"))
-    twice = events.unionByName(events)
+    others = events.withColumn("app_id", F.concat("app_id", F.lit("_b")))
+    twice = events.unionByName(events).unionByName(others)
     return event_store.new_rows(twice, stored).select("app_id", "event_id", "event_name", "event_time")
 
 
@@ -256,10 +263,15 @@ def traits(events):
 
 
 @query("identify_events", EV + """
-SELECT app_id, user_id, device_id, 'user_updated' AS event_name, event_time, plan, event_name AS last_event FROM ev""")
+SELECT app_id, user_id, device_id, 'user_updated' AS event_name, event_time, event_time AS server_time, '' AS session_id,
+       '' AS platform, CAST(NULL AS DOUBLE) AS revenue, plan, event_name AS last_event FROM ev
+UNION ALL
+SELECT app_id, user_id, device_id, event_name, event_time, event_time, session_id, platform, revenue, plan, NULL FROM ev""")
 def identify_events(events, spark, sf_dir):
-    return ingest.identify_events(traits(events)).select(
-        "app_id", "user_id", "device_id", "event_name", "event_time",
+    """Identify calls have the layout of the fact table and can be put with its rows."""
+    both = ingest.identify_events(traits(events)).unionByName(events.drop("event_date"))
+    return both.select(
+        "app_id", "user_id", "device_id", "event_name", "event_time", "server_time", "session_id", "platform", "revenue",
         F.col("props")["plan"].alias("plan"), F.col("props")["last_event"].alias("last_event"),
     )
 
@@ -284,13 +296,14 @@ def resolve_identity(events, spark, sf_dir):
 
 
 @query("quota_usage", EV + """
-, apps(app_id, rps, burst) AS (VALUES ('app_0', 0.001, 6), ('app_1', 0.0005, 4), ('app_2', 0.002, 8)),
+, apps(app_id, rps, burst) AS (VALUES ('app_0', 0.001, 6), ('app_1', 0.0005, 4), ('app_3', 0.002, 8)),
 s AS (SELECT app_id, epoch_us(event_time) // 3600000000 AS slot, count(*) AS n FROM ev GROUP BY 1, 2)
 SELECT app_id, sum(n)::BIGINT AS events, count(*) AS active_intervals, max(n) AS peak_events,
-       count(*) FILTER (n > rps * 3600) AS intervals_over_rate, count(*) FILTER (n > burst) AS intervals_over_burst,
-       sum(greatest(n - burst, 0))::BIGINT AS events_over_burst
-FROM s JOIN apps USING (app_id) GROUP BY 1""")
+       sum((n > rps * 3600)::BIGINT)::BIGINT AS intervals_over_rate, sum((n > burst)::BIGINT)::BIGINT AS intervals_over_burst,
+       sum(CASE WHEN burst IS NOT NULL THEN greatest(n - burst, 0) END)::BIGINT AS events_over_burst
+FROM s LEFT JOIN apps USING (app_id) GROUP BY 1""")
 def quota_usage(events, spark, sf_dir):
+    """One app has no limits and stays in the result."""
     apps = spark.sql("""SELECT id, 'org' AS org_id, id AS name, CAST(rps AS DOUBLE) AS rps, burst, true AS active
-      FROM VALUES ('app_0', 0.001, 6), ('app_1', 0.0005, 4), ('app_2', 0.002, 8) AS t(id, rps, burst)""")
+      FROM VALUES ('app_0', 0.001, 6), ('app_1', 0.0005, 4), ('app_3', 0.002, 8) AS t(id, rps, burst)""")
     return ingest.quota_usage(events, apps, "1 hour")

@@ -77,3 +77,24 @@ def is_ipv4(ip: Column) -> Column:
 
 def is_ipv6(ip: Column) -> Column:
     return ip.rlike(r"^[0-9a-fA-F:]*:[0-9a-fA-F:]*:[0-9a-fA-F:.]*$")
+
+
+# How the 32 digits of an IPv4 address begin (``::ffff:a.b.c.d``).
+IPV4_DIGITS = "0" * 20 + "ffff"
+
+
+def ip_to_hex(ip: Column) -> Column:
+    """Address of either family as 32 hexadecimal digits, IPv4 in its mapped form; null for anything else."""
+    lowered = F.lower(ip)
+    number = ipv4_to_long(F.regexp_extract(lowered, r":([0-9.]+)$", 1))
+    whole = F.when(number.isNotNull(), F.concat(
+        F.regexp_extract(lowered, r"^(.*:)[0-9.]+$", 1), F.lower(F.hex(F.shiftright(number, 16))), F.lit(":"), F.lower(F.hex(number.bitwiseAND(65535))),
+    )).otherwise(lowered)
+    halves = F.split(whole, "::")
+    groups = [F.array_remove(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), "") for i in (0, 1)]
+    missing = F.when(F.size(halves) == 2, 8 - F.size(groups[0]) - F.size(groups[1])).otherwise(0)
+    every = F.concat(groups[0], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), groups[1])
+    right = (F.size(every) == 8) & (F.size(halves) <= 2) & F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    six = F.when(right, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+    four = F.concat(F.lit(IPV4_DIGITS), F.lower(F.lpad(F.hex(ipv4_to_long(ip)), 8, "0")))
+    return F.when(is_ipv4(ip), four).when(F.contains(lowered, F.lit(":")), six)

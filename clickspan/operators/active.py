@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickspan.functions.text import not_blank
-from clickspan.functions.time import TimeLike, bucket, timestamp
+from clickspan.functions.time import TimeLike, bucket, seconds, timestamp
 from clickspan.operators.sessions import session_summaries
 from clickspan.vocabulary import DEFAULT_VOCABULARY, Vocabulary
 
@@ -99,13 +99,22 @@ def dashboard_kpis(
     events: DataFrame,
     as_of: TimeLike,
     vocabulary: Vocabulary = DEFAULT_VOCABULARY,
+    gap: str | int = "30 minutes",
 ) -> DataFrame:
-    """Events, active users, sessions and revenue of the day, with the change against yesterday."""
+    """Events, active users, sessions and revenue of the day, with the change against yesterday.
+
+    A session belongs to the day it starts on. Whether an event starts one depends only on the ``gap``
+    before it, so sessions are built from one gap before yesterday on, and those that seem to start in that
+    margin are left out.
+    """
     today = F.to_date(timestamp(as_of))
+    yesterday = F.date_sub(today, 1)
     day = F.to_date("event_time")
-    recent = events.filter(day.between(F.date_sub(today, 1), today))
+    margin = yesterday.cast("timestamp") - F.make_dt_interval(secs=F.lit(seconds(gap)))
+    near = events.filter((F.col("event_time") >= margin) & (day <= today))
     if "event_date" in events.columns:
-        recent = recent.filter(F.col("event_date").between(F.date_sub(today, 1), today))
+        near = near.filter(F.col("event_date").between(F.to_date(margin), today))
+    recent = near.filter(day >= yesterday)
     money = F.when(vocabulary.is_purchase(), vocabulary.revenue()).otherwise(F.lit(0.0))
     per_user = recent.groupBy("app_id", "user_id", day.alias("_day")).agg(
         F.count("*").alias("_events"), F.sum(money).alias("_revenue"),
@@ -124,9 +133,9 @@ def dashboard_kpis(
         ]
     )
     started = F.to_date("started_at")
-    sessions = session_summaries(recent, vocabulary=vocabulary).groupBy("app_id").agg(
+    sessions = session_summaries(near, gap, vocabulary=vocabulary).groupBy("app_id").agg(
         F.count_if(started == today).alias("sessions"),
-        F.count_if(started != today).alias("sessions_before"),
+        F.count_if(started == yesterday).alias("sessions_before"),
     )
 
     def change(name: str) -> Column:

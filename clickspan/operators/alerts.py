@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,40 +135,53 @@ def apply_cooldown(
 ) -> DataFrame:
     """Rows that are sent: the first of each key, then the first at least ``cooldown`` after that.
 
-    Time counts in whole seconds; of several rows in one second the first is kept. A key is cut into
-    chunks as long as the cooldown, which hold at most one sent row each, and contributes its
-    distinct seconds only, so its size is bounded by the time range and not by its rows.
+    Time counts in whole seconds; of several rows in one second the first is kept, and a missing cooldown
+    is none. Whether a second is sent depends on the one sent before, so the distinct seconds of a key are
+    read in order by one task that remembers the last sent second and nothing else: the work grows with
+    the number of seconds, and no key is ever in memory as a whole.
     """
     keys = list(keys)
     wait = cooldown if isinstance(cooldown, Column) else F.lit(cooldown)
-    placed = fired.withColumn("_sec", F.unix_seconds(time_col)).withColumn("_wait", wait.cast("bigint"))
+    placed = fired.withColumn("_sec", F.unix_seconds(time_col)).withColumn(
+        "_wait", F.coalesce(wait.cast("bigint"), F.lit(0)))
     timed, free = placed.filter(F.col("_wait") > 0), placed.filter(F.col("_wait") <= 0)
-    chunks = timed.groupBy(*keys, "_wait", F.floor(F.col("_sec") / F.col("_wait")).alias("_chunk")).agg(
-        F.sort_array(F.collect_set("_sec")).alias("_secs")
-    )
-    per_key = chunks.groupBy(*keys, "_wait").agg(
-        F.sort_array(F.collect_list(F.struct("_chunk", "_secs"))).alias("_chunks")
-    )
-
-    def send(sent: Column, chunk: Column) -> Column:
-        last = F.element_at(sent, -1)
-        due = F.array_min(F.filter(chunk["_secs"], lambda s: s >= last + F.col("_wait")))
-        return F.when(due.isNull(), sent).otherwise(F.array_append(sent, due))
-
-    long_ago = F.array(F.lit(-(1 << 60)).cast("bigint"))
-    sent = per_key.select(
-        *keys, F.explode(F.aggregate("_chunks", long_ago, send)).alias("_sec")
-    ).filter(F.col("_sec") > -(1 << 60))
+    moments = timed.select(*keys, "_wait", "_sec").distinct()
+    ordered = moments.repartition(*keys, "_wait").sortWithinPartitions(*keys, "_wait", "_sec")
+    sent = ordered.mapInPandas(_first_after_wait(keys), moments.schema).select(*keys, "_wait", "_sec")
     others = [c for c in fired.columns if c not in keys and c != time_col and _orderable(fired, c)]
     first = Window.partitionBy(*keys, "_sec").orderBy(time_col, *others)
     return (
-        timed.join(sent, [*keys, "_sec"], "left_semi")
+        timed.join(sent, [*keys, "_wait", "_sec"], "left_semi")
         .withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") == 1)
         .unionByName(free, allowMissingColumns=True)
         .select(*fired.columns)
     )
 
 
+def _first_after_wait(keys: list[str]) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Keep the seconds that come at least ``_wait`` after the last kept one of their key."""
+    def keep(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, 0
+        for batch in batches:
+            if batch.empty:
+                continue
+            names = [*keys, "_wait"]
+            same = batch[names].astype(object).where(batch[names].notna(), None)
+            begins = np.flatnonzero(np.concatenate([[True], (same.values[1:] != same.values[:-1]).any(axis=1)]))
+            seconds, kept = batch["_sec"].to_numpy(), []
+            for begin, end in zip(begins, [*begins[1:], len(batch)]):
+                now, wait = tuple(same.iloc[begin]), int(batch["_wait"].iloc[begin])
+                at = begin if now != key else begin + int(np.searchsorted(seconds[begin:end], last + wait))
+                key = now
+                while at < end:
+                    kept.append(at)
+                    last = int(seconds[at])
+                    at = begin + int(np.searchsorted(seconds[begin:end], last + wait))
+            yield batch.iloc[kept]
+
+    return keep
+
+
 def _orderable(df: DataFrame, column: str) -> bool:
     return "map" not in df.schema[column].dataType.simpleString()
 

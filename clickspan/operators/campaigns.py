@@ -83,7 +83,7 @@ def scheduled_notifications(
 
 
 def delivery_outbox(notifications: DataFrame) -> DataFrame:
-    """Outbox rows; the id repeats on replay so a consumer can drop doubles."""
+    """Outbox rows, still to be delivered; the id repeats on replay so a consumer can drop doubles."""
     payload = F.to_json(F.struct(
         "campaign_id", "app_id", "user_id", "event_name",
         F.unix_millis("event_time").alias("event_time_ms"),
@@ -91,8 +91,8 @@ def delivery_outbox(notifications: DataFrame) -> DataFrame:
     key = F.concat_ws("|", "campaign_id", "user_id", F.unix_millis("event_time"))
     return notifications.select(
         F.sha2(key, 256).alias("id"), "campaign_id", "app_id", "user_id", "channel",
-        payload.alias("payload"), F.lit("sent").alias("status"),
-        F.col("event_time").alias("sent_at"),
+        payload.alias("payload"), F.lit("pending").alias("status"),
+        F.col("event_time").alias("created_at"),
     )
 
 

@@ -107,8 +107,9 @@ def realtime(
 def user_timeline(
     events: DataFrame, user_id: str | None = None, limit: int = 500
 ) -> DataFrame:
-    """Newest events of one user, or of every user."""
-    limit = min(limit, 500)
+    """The ``limit`` newest events of one user, or of every user."""
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
     columns = ["app_id", "user_id", "event_time", "event_id", "event_name", "platform",
                "country_code", "session_id"]
     if user_id is not None:

@@ -7,15 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickspan.functions.text import ipv4_to_long, is_ipv4, is_ipv6, not_blank
+from clickspan.functions.text import IPV4_DIGITS, ip_to_hex, is_ipv4, is_ipv6, not_blank
 from clickspan.functions.time import seconds
 from clickspan.schema import ENVELOPE, EVENT_COLUMNS
 
-MAX_BATCH = 500
-MAX_NAME = 256
-MAX_AGE_MS = 7 * 86_400_000
-MAX_AHEAD_MS = 86_400_000
-MAX_PROPS, MAX_KEY, MAX_VALUE = 50, 256, 1024
+# What makes two events the same one: ids are only unique within a tenant's device.
+EVENT_KEY = ("app_id", "device_id", "event_id")
 
 
 def parse_messages(raw: DataFrame) -> DataFrame:
@@ -88,26 +85,33 @@ def explode_batches(parsed: DataFrame) -> DataFrame:
     )
 
 
-def failed_rules(events: DataFrame) -> DataFrame:
-    """Add ``failed``: the names of the rules an event breaks."""
+def failed_rules(
+    events: DataFrame, max_batch: int = 500, max_name: int = 256,
+    max_age: str | int = "7 days", max_ahead: str | int = "1 day",
+) -> DataFrame:
+    """Add ``failed``: the names of the rules an event breaks.
+
+    ``max_batch`` events in a message, ``max_name`` characters in a name, and how far the event time may
+    lie before or after the server's.
+    """
     age = F.col("server_ts") - F.col("event_ts")
     rules = {
-        "batch_too_large": F.col("batch_size") > MAX_BATCH,
+        "batch_too_large": F.col("batch_size") > max_batch,
         "app_id_empty": ~not_blank("app_id"),
         "device_id_empty": ~not_blank("device_id"),
         "event_name_empty": ~not_blank("event_name"),
-        "event_name_too_long": F.length("event_name") > MAX_NAME,
-        "event_too_old": age > MAX_AGE_MS,
-        "event_in_future": age < -MAX_AHEAD_MS,
+        "event_name_too_long": F.length("event_name") > max_name,
+        "event_too_old": age > seconds(max_age) * 1000,
+        "event_in_future": age < -1000 * seconds(max_ahead),
     }
     return events.withColumn(
         "failed", F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
     )
 
 
-def validate(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected); rejected rows keep the list of broken rules."""
-    checked = failed_rules(events)
+def validate(events: DataFrame, **limits: str | int) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected); rejected rows keep the list of broken rules. ``limits`` as in ``failed_rules``."""
+    checked = failed_rules(events, **limits)
     return (
         checked.filter(F.size("failed") == 0).drop("failed"),
         checked.filter(F.size("failed") > 0),
@@ -127,10 +131,10 @@ def fill_defaults(events: DataFrame) -> DataFrame:
 
 def dedup_events(
     events: DataFrame,
-    keys: Sequence[str] = ("event_id",),
+    keys: Sequence[str] = EVENT_KEY,
     order: Sequence[str] = ("server_time", "event_time"),
 ) -> DataFrame:
-    """First occurrence per key.
+    """First occurrence per key, by default per id of a tenant's device.
 
     Spark limits each map task to one candidate per key before the shuffle, so many copies of one
     id do not meet in one task.
@@ -175,29 +179,68 @@ def client_ip(forwarded: Column, remote: Column) -> Column:
 GEO_FIELDS = ["country_code", "country_name", "region", "city", "latitude", "longitude"]
 
 
+def _block(digits: Column) -> Column:
+    """What addresses are looked up by: the /16 of an IPv4 address, the /20 of others."""
+    return F.when(digits.startswith(IPV4_DIGITS), F.substring(digits, 1, 28)).otherwise(F.substring(digits, 1, 5))
+
+
+def _in_blocks(ip_ranges: DataFrame) -> DataFrame:
+    """(block, begin, end, location) for every block that a range touches, ends as hexadecimal digits."""
+    begin, end = (
+        F.when(F.col(f"{side}_ip").isNotNull(), F.concat(F.lit(IPV4_DIGITS), F.lower(F.lpad(F.hex(f"{side}_ip"), 8, "0"))))
+        for side in ("start", "end")
+    )
+    if "start_text" in ip_ranges.columns:
+        begin, end = (F.coalesce(known, ip_to_hex(F.col(f"{side}_text"))) for known, side in ((begin, "start"), (end, "end")))
+    rows = ip_ranges.select(begin.alias("begin"), end.alias("end"), *GEO_FIELDS).filter("begin <= end")
+    first, last = _block(F.col("begin")), _block(F.col("end"))
+    fixed = F.when(F.length(first) == 28, F.lit(IPV4_DIGITS)).otherwise(F.lit(""))
+    width = F.when(F.length(first) == 28, 4).otherwise(5)
+    number = lambda block: F.conv(F.substr(block, F.length(fixed) + 1), 16, 10).cast("bigint")
+    blocks = F.transform(
+        F.sequence(number(first), number(last)), lambda n: F.concat(fixed, F.lower(F.lpad(F.hex(n), width, "0"))))
+    return rows.filter(F.length(first) == F.length(last)).select("begin", "end", F.struct(*GEO_FIELDS).alias("place"), F.explode(blocks).alias("block"))
+
+
+def disjoint_ranges(ip_ranges: DataFrame) -> DataFrame:
+    """(block, from, to, place): pieces that no address is in twice, ``from`` inclusive and ``to`` exclusive.
+
+    Ranges may nest or overlap: the one that begins last wins, then the one that ends first, which of
+    nested ranges is the narrowest. Points are digits with 0 for an address and 1 for just behind it. Blocks
+    without overlap, nearly all of a bought table, stay as they are; in the others every begin and end cuts.
+    """
+    rows = _in_blocks(ip_ranges).withColumns({"from": F.concat("begin", F.lit("0")), "to": F.concat("end", F.lit("1"))})
+    before = Window.partitionBy("block").orderBy("from", "to").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_meets", F.coalesce(F.max("to").over(before) > F.col("from"), F.lit(False)))
+    rows = rows.withColumn("_meets", F.max("_meets").over(Window.partitionBy("block")))
+    simple, tangled = rows.filter("not _meets"), rows.filter("_meets")
+    points = tangled.select("block", F.explode(F.array("from", "to")).alias("point")).distinct()
+    covered = points.join(tangled, "block").filter("from <= point and point < to")
+    best = covered.groupBy("block", "point").agg(F.max("from").alias("_last")).join(covered, ["block", "point"]).filter(
+        "from = _last").groupBy("block", "point").agg(F.min_by("place", F.struct("to", "place")).alias("place"))
+    following = F.lead("point").over(Window.partitionBy("block").orderBy("point"))
+    pieces = points.withColumn("to", following).join(best, ["block", "point"]).select("block", F.col("point").alias("from"), "to", "place")
+    return simple.select("block", "from", "to", "place").unionByName(pieces)
+
+
 def geo_enrich(events: DataFrame, ip_ranges: DataFrame, ip_col: str = "client_ip") -> DataFrame:
     """Location of the address; no match gives empty text and null coordinates.
 
-    Ranges are repeated per /16 they touch, which turns the range join into an equi-join on the
-    /16 with the range as a residual condition. No broadcast is forced: Spark broadcasts the range
-    table only while its size allows, and splits hot prefixes otherwise.
+    ``ip_ranges`` has ``start_ip`` and ``end_ip`` (IPv4 as numbers, null for other rows) and, for either
+    family, ``start_text`` and ``end_text``. The ranges are made disjoint first, so an event stays one
+    event, in a stream as well. Pieces are kept by the block of addresses they lie in, which makes the
+    lookup an equi-join with the piece as a residual condition. No broadcast is forced: Spark broadcasts the
+    range table only while its size allows, and splits hot blocks otherwise.
     """
-    size = 1 << 16
-    by_prefix = ip_ranges.select(
-        "start_ip", "end_ip", *GEO_FIELDS,
-        F.explode(F.sequence(F.floor(F.col("start_ip") / size), F.floor(F.col("end_ip") / size))).alias("_prefix"),
-    )
-    number = ipv4_to_long(F.col(ip_col))
-    numbered = events.withColumn("_ip", number).withColumn("_key", F.floor(F.col("_ip") / size))
-    within = (
-        (F.col("_key") == F.col("_prefix"))
-        & F.col("_ip").between(F.col("start_ip"), F.col("end_ip"))
-    )
-    joined = numbered.join(by_prefix, within, "left")
-    text = ["country_code", "country_name", "region", "city"]
-    for name in text:
-        joined = joined.withColumn(name, F.coalesce(name, F.lit("")))
-    return joined.drop("_ip", "_key", "_prefix", "start_ip", "end_ip")
+    pieces = disjoint_ranges(ip_ranges)
+    digits = ip_to_hex(F.col(ip_col))
+    looked = events.withColumn("_at", F.concat(digits, F.lit("0"))).withColumn("_block", _block(F.col("_at")))
+    within = (F.col("_block") == F.col("block")) & (F.col("_at") >= F.col("from")) & (F.col("_at") < F.col("to"))
+    joined = looked.join(pieces, within, "left")
+    text = GEO_FIELDS[:4]
+    return joined.withColumns({
+        name: F.coalesce(F.col("place")[name], F.lit("")) if name in text else F.col("place")[name] for name in GEO_FIELDS
+    }).drop("_at", "_block", "block", "from", "to", "place")
 
 
 # Substring of the lower-cased user agent and what it means, tested in order (fixed values).
@@ -268,21 +311,22 @@ def flatten_props(props: Column) -> Column:
     )
 
 
-def limit_props(props: Column) -> Column:
-    """At most 50 keys (in key order), keys of 256 and values of 1024 characters."""
-    entries = F.transform(F.slice(F.sort_array(F.map_entries(props)), 1, MAX_PROPS), lambda e: F.struct(
-        F.substring(e["key"], 1, MAX_KEY).alias("key"),
-        F.substring(e["value"], 1, MAX_VALUE).alias("value"),
+def limit_props(props: Column, max_keys: int, max_key: int, max_value: int) -> Column:
+    """(props, dropped): at most ``max_keys`` keys in key order, cut keys and values, and how many keys went.
+
+    Nothing calls this on its own: the ingest chain keeps all properties.
+    """
+    entries = F.transform(F.slice(F.sort_array(F.map_entries(props)), 1, max_keys), lambda e: F.struct(
+        F.substring(e["key"], 1, max_key).alias("key"),
+        F.substring(e["value"], 1, max_value).alias("value"),
     ))
     # Keys are sorted, so keys that become equal by cutting are neighbours: the first one stays.
     distinct = F.filter(entries, lambda e, i: (i == 0) | (F.get(entries, i - 1)["key"] != e["key"]))
-    too_long = F.exists(F.map_keys(props), lambda k: F.length(k) > MAX_KEY)
-    too_big = too_long | (F.size(props) > MAX_PROPS) | F.exists(
-        F.map_values(props), lambda v: F.length(v) > MAX_VALUE
+    limited = F.map_from_entries(distinct)
+    return F.struct(
+        F.when(props.isNotNull(), limited).alias("props"),
+        F.when(props.isNotNull(), F.size(props) - F.size(distinct)).cast("bigint").alias("dropped"),
     )
-    return F.when(
-        too_big, F.map_from_entries(F.when(too_long, distinct).otherwise(entries))
-    ).otherwise(props)
 
 
 def extract_attribution(events: DataFrame) -> DataFrame:
@@ -325,20 +369,20 @@ def enrich(events: DataFrame, ip_ranges: DataFrame) -> DataFrame:
     flat = ua_enrich(located, F.col("device.user_agent")).withColumn(
         "props", flatten_props(F.col("raw_props"))
     )
-    limited = flat.withColumn("props", limit_props(F.col("props")))
-    return to_event_rows(extract_attribution(limited))
+    return to_event_rows(extract_attribution(flat))
 
 
 def identify_events(identifies: DataFrame) -> DataFrame:
-    """Identify calls as ``user_updated`` events whose properties are the traits."""
+    """Identify calls as ``user_updated`` events whose properties are the traits, in the fact layout."""
     key = F.concat_ws("|", "app_id", "user_id", F.unix_millis("ts"), F.to_json("traits"))
-    device = "device_id" if "device_id" in identifies.columns else None
-    return identifies.select(
-        "app_id", F.sha2(key, 256).alias("event_id"), "user_id",
-        (F.col(device) if device else F.lit("")).alias("device_id"),
-        F.lit("user_updated").alias("event_name"), F.col("ts").alias("event_time"),
-        F.col("ts").alias("server_time"), F.col("traits").alias("props"),
-    )
+    have = {
+        "event_id": F.sha2(key, 256), "event_name": F.lit("user_updated"), "event_time": F.col("ts"),
+        "server_time": F.col("ts"), "props": F.col("traits"), "revenue": F.lit(None).cast("double"),
+    }
+    return identifies.select(*[
+        (have[c] if c in have else F.coalesce(F.col(c), F.lit("")) if c in identifies.columns else F.lit("")).alias(c)
+        for c in EVENT_COLUMNS
+    ])
 
 
 def merge_profiles(traits: DataFrame) -> DataFrame:
@@ -366,18 +410,23 @@ def resolve_identity(events: DataFrame) -> DataFrame:
 def quota_usage(
     events: DataFrame, apps: DataFrame, interval: str | int = "1 second", time_col: str = "server_time"
 ) -> DataFrame:
-    """Load of each app per interval against its rate and burst."""
+    """Load of each app per interval against its rate and burst; without limits the last three are null."""
     length = seconds(interval)
     slots = events.groupBy("app_id", F.floor(F.unix_seconds(time_col) / length).alias("_slot")).agg(
         F.count("*").alias("_n")
     )
     limits = apps.select(F.col("id").alias("app_id"), "rps", "burst")
-    per_app = slots.join(limits, "app_id")
+    per_app = slots.join(limits, "app_id", "left")
     allowed = F.col("rps") * length
+
+    def over(limit: Column) -> Column:
+        return F.sum(F.when(limit.isNotNull(), (F.col("_n") > limit).cast("bigint")))
+
+    beyond = F.when(F.col("burst").isNotNull(), F.greatest(F.col("_n") - F.col("burst"), F.lit(0)))
     return per_app.groupBy("app_id").agg(
         F.sum("_n").alias("events"), F.count("*").alias("active_intervals"),
         F.max("_n").alias("peak_events"),
-        F.count_if(F.col("_n") > allowed).alias("intervals_over_rate"),
-        F.count_if(F.col("_n") > F.col("burst")).alias("intervals_over_burst"),
-        F.sum(F.greatest(F.col("_n") - F.col("burst"), F.lit(0))).alias("events_over_burst"),
+        over(allowed).alias("intervals_over_rate"),
+        over(F.col("burst")).alias("intervals_over_burst"),
+        F.sum(beyond).alias("events_over_burst"),
     )

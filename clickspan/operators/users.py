@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException, ParseException
@@ -115,32 +116,56 @@ class Cohort:
     user_count: int = 0
 
 
+def stored_cohorts(definitions: DataFrame, most: int = 10_000) -> list[Cohort]:
+    """Cohorts of a definition table, which people write; more than ``most`` rows are refused."""
+    rows = definitions.select("id", "app_id", "filter_sql", "user_count").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} cohort definitions")
+    return [Cohort(r["id"], r["app_id"], r["filter_sql"], r["user_count"] or 0) for r in rows]
+
+
+@contextmanager
+def _lenient(spark: SparkSession) -> Iterator[None]:
+    """Expressions resolved inside give null for a value that does not convert, instead of an error."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 def cohort_recompute(
-    rows: DataFrame, cohorts: Sequence[Cohort], as_of: TimeLike
+    rows: DataFrame, cohorts: Sequence[Cohort] | DataFrame, as_of: TimeLike
 ) -> DataFrame:
     """Exact distinct users of every cohort, all in one pass over ``rows``.
 
-    A predicate that does not resolve keeps its old count and an empty computation time.
+    A predicate that does not resolve keeps its old count and an empty computation time. A row for which
+    a predicate cannot be computed (a text that is no number, say) is not a member; it harms neither the
+    other rows nor the other cohorts.
     """
-    usable, broken = [], []
-    for cohort in cohorts:
-        try:
-            rows.filter(F.expr(cohort.filter_sql)).schema
-            usable.append(cohort)
-        except (AnalysisException, ParseException):
-            broken.append(cohort)
+    if isinstance(cohorts, DataFrame):
+        cohorts = stored_cohorts(cohorts)
     spark = rows.sparkSession
+    usable, broken = [], []
+    with _lenient(spark):
+        for cohort in cohorts:
+            try:
+                rows.filter(F.expr(cohort.filter_sql)).schema
+                usable.append(cohort)
+            except (AnalysisException, ParseException):
+                broken.append(cohort)
+        members = rows.select("app_id", "user_id", *[
+            ((F.col("app_id") == c.app_id) & F.coalesce(F.expr(c.filter_sql), F.lit(False))).alias(f"_c{i}")
+            for i, c in enumerate(usable)
+        ])
     layout = "cohort_id string, app_id string, user_count bigint"
     kept = spark.createDataFrame([(c.id, c.app_id, c.user_count) for c in broken], layout).withColumn(
         "last_computed_at", F.lit(None).cast("timestamp")
     )
     if not usable:
         return kept
-    member = [
-        F.max((F.col("app_id") == c.app_id) & F.coalesce(F.expr(c.filter_sql), F.lit(False))).alias(f"_c{i}")
-        for i, c in enumerate(usable)
-    ]
-    per_user = rows.groupBy("app_id", "user_id").agg(*member)
+    per_user = members.groupBy("app_id", "user_id").agg(*[F.max(f"_c{i}").alias(f"_c{i}") for i in range(len(usable))])
     counts = per_user.agg(*[F.count_if(f"_c{i}").alias(f"_c{i}") for i in range(len(usable))])
     listed = F.array(*[
         F.struct(F.lit(c.id).alias("cohort_id"), F.lit(c.app_id).alias("app_id"),

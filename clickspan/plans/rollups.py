@@ -53,8 +53,8 @@ class Rollup:
         return self.finish(self.merge(*parts))
 
 
-def _sketch(column: str = "user_id") -> Column:
-    return F.hll_sketch_agg(column, F.lit(LOG_K))
+def _sketch() -> Column:
+    return F.hll_sketch_agg("user_id", F.lit(LOG_K))
 
 
 def _estimate(column: str) -> Column:
@@ -111,10 +111,10 @@ def _attribution_daily(events: DataFrame, v: Vocabulary) -> DataFrame:
 
 
 def _user_lifetime(events: DataFrame, v: Vocabulary) -> DataFrame:
-    return events.filter(not_blank("user_id")).groupBy("app_id", "user_id").agg(
+    """One row per user and session, so that sessions are counted exactly however parts are merged."""
+    return events.filter(not_blank("user_id")).groupBy("app_id", "user_id", "session_id").agg(
         F.min("event_time").alias("first_seen"), F.max("event_time").alias("last_seen"),
         F.count("*").alias("total_events"),
-        _sketch("session_id").alias("sessions"),
         F.sum(_amount(v)).alias("total_revenue"),
         F.max(F.struct("event_time", "event_id", "country_code", "city")).alias("last_place"),
     )
@@ -131,11 +131,13 @@ def _finish(estimates: dict[str, str]) -> Callable[[DataFrame], DataFrame]:
 
 
 def _finish_lifetime(rows: DataFrame) -> DataFrame:
-    return rows.select(
-        "app_id", "user_id", "first_seen", "last_seen", "total_events",
-        _estimate("sessions").alias("total_sessions"), "total_revenue",
-        F.col("last_place.country_code").alias("last_country"),
-        F.col("last_place.city").alias("last_city"),
+    return rows.groupBy("app_id", "user_id").agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        F.sum("total_events").alias("total_events"), F.count_if(not_blank("session_id")).alias("total_sessions"),
+        F.sum("total_revenue").alias("total_revenue"), F.max("last_place").alias("_place"),
+    ).select(
+        "app_id", "user_id", "first_seen", "last_seen", "total_events", "total_sessions", "total_revenue",
+        F.col("_place.country_code").alias("last_country"), F.col("_place.city").alias("last_city"),
     )
 
 
@@ -156,9 +158,9 @@ ROLLUPS = {
         Rollup("attribution_daily", ("app_id", "day", *CHANNEL),
                {"users": "sketch", "conversions": "sum", "revenue": "sum"},
                _attribution_daily, _finish({"users": "unique_users"})),
-        Rollup("user_lifetime", ("app_id", "user_id"),
+        Rollup("user_lifetime", ("app_id", "user_id", "session_id"),
                {"first_seen": "min", "last_seen": "max", "total_events": "sum",
-                "sessions": "sketch", "total_revenue": "sum", "last_place": "max"},
+                "total_revenue": "sum", "last_place": "max"},
                _user_lifetime, _finish_lifetime),
     )
 }

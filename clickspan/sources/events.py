@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickspan.functions.time import TimeLike, scope
-from clickspan.operators.ingest import dedup_events
+from clickspan.operators.ingest import EVENT_KEY, dedup_events
 from clickspan.plans.ingest import ingest_batch
 from clickspan.schema import EVENTS
 
@@ -49,8 +49,8 @@ def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def new_rows(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """Incoming events that are not in the archive yet, each id once."""
-    return dedup_events(incoming).join(existing.select("event_id"), "event_id", "left_anti")
+    """Incoming events that are not in the archive yet, each id of a tenant's device once."""
+    return dedup_events(incoming).join(existing.select(*EVENT_KEY), list(EVENT_KEY), "left_anti")
 
 
 def archive_raw(incoming: DataFrame, path: str) -> None:
@@ -65,8 +65,8 @@ def archive_raw(incoming: DataFrame, path: str) -> None:
         if path_exists(spark, path):
             days = [row[0] for row in incoming.select("event_date").distinct().collect()]
             stored = spark.read.schema(f"{EVENTS}, event_date date").parquet(path)
-            known = stored.filter(F.col("event_date").isin(days)).select("event_id")
-            fresh = incoming.join(known, "event_id", "left_anti")
+            known = stored.filter(F.col("event_date").isin(days)).select(*EVENT_KEY)
+            fresh = incoming.join(known, list(EVENT_KEY), "left_anti")
         arrange(fresh).write.mode("append").partitionBy(*PARTITIONS).parquet(path)
     finally:
         incoming.unpersist()

@@ -71,6 +71,9 @@ def test_realtime_and_timeline(spark):
     assert got == [(0.6, 2, 1, "a"), (0.6, 2, 2, "b")]
     assert [r["event_name"] for r in counts.user_timeline(frame, "2").collect()] == ["b", "a"]
     assert counts.user_timeline(frame, limit=1).count() == 3
+    assert counts.user_timeline(frame, limit=10_000).count() == frame.count()
+    with pytest.raises(ValueError):
+        counts.user_timeline(frame, limit=0)
 
 
 def test_device_stands_in_for_unknown_user(spark):
@@ -151,3 +154,10 @@ def test_dashboard(spark):
     row = active.dashboard_kpis(events(spark, made), at(days=1, hours=20), V).first()
     assert (row["events"], row["dau"], row["sessions"], row["revenue"]) == (3, 2, 3, 10.0)
     assert (row["events_change_pct"], row["dau_change_pct"], row["revenue_change_pct"]) == (50.0, 100.0, 100.0)
+
+
+def test_a_session_over_midnight_belongs_to_its_first_day(spark):
+    made = [event("open", at(minutes=m), user="u") for m in (-40, -20, -10, 5, 20)]  # from two days before on
+    made += [event("open", at(days=1, minutes=m), user="u") for m in (-10, 5)] + [event("open", at(days=1, hours=5), user="u")]
+    row = active.dashboard_kpis(events(spark, made), at(days=1, hours=20), V).first()
+    assert (row["sessions"], row["sessions_change_pct"]) == (1, 0.0)

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from clickspan.functions.text import ip_to_hex
 from clickspan.operators import ingest
 from clickspan.plans.ingest import ingest_batch
 from clickspan.sources import events as store
@@ -79,7 +80,8 @@ def test_dedup(spark):
     frame = events(spark, made)
     assert rows(ingest.dedup_events(frame, ("app_id", "event_id")), "event_name") == [
         ("first",), ("other app",), ("single",)]
-    assert ingest.dedup_events(frame).count() == 2
+    assert rows(ingest.dedup_events(frame), "event_name") == [("first",), ("other app",), ("single",)]
+    assert rows(ingest.dedup_events(frame, ("event_id",)), "event_id") == [("x",), ("y",)]
 
 
 @pytest.mark.parametrize("forwarded,remote,want", [
@@ -149,10 +151,54 @@ def test_flatten_and_limit(spark):
     wide = {f"k{i:03d}": "v" for i in range(51)}
     wide["k000"] = "x" * 1025
     long = {"z" * 300: "1", "z" * 256 + "y": "2", "a": "3"}
-    frame = spark.createDataFrame([(wide,), (long,)], "p map<string,string>")
-    first, second = [r[0] for r in frame.select(ingest.limit_props(F.col("p"))).collect()]
-    assert len(first) == 50 and len(first["k000"]) == 1024 and "k050" not in first
-    assert set(second) == {"a", "z" * 256}
+    frame = spark.createDataFrame([(wide,), (long,), (None,)], "p map<string,string>")
+    limited = frame.select(ingest.limit_props(F.col("p"), 50, 256, 1024).alias("l")).select("l.*")
+    (first, gone), (second, cut), nothing = [tuple(r) for r in limited.collect()]
+    assert len(first) == 50 and len(first["k000"]) == 1024 and "k050" not in first and gone == 1
+    assert set(second) == {"a", "z" * 256} and cut == 1
+    assert nothing == (None, None)
+
+
+def test_nothing_is_lost_on_the_way(spark):
+    """Many properties, ids used again by another tenant, several events in a message."""
+    props = {f"k{i:02d}": "v" * 2000 for i in range(60)} | {"install_source": "ad", "utm_source": "x", "campaign_id": "c"}
+    values = [message([one(event_id="1", props=props), one(event_id="2")], app="a"), message([one(event_id="1")], app="b"),
+              message([one(event_id="1")], app="a")]
+    done = ingest_batch(raw(spark, values), spark.createDataFrame([], RANGES)).events
+    assert rows(done, "app_id", "event_id") == [("a", "1"), ("a", "2"), ("b", "1")]
+    wide = done.filter("app_id = 'a' and event_id = '1' and size(props) > 0").first()
+    assert len(wide["props"]) == 63 and len(wide["props"]["k59"]) == 2000
+    assert (wide["install_source"], wide["campaign_id"], wide["props"]["utm_source"]) == ("ad", "c", "x")
+    stored = done.filter("app_id = 'a'")
+    assert rows(store.new_rows(done, stored), "app_id", "event_id") == [("b", "1")]
+
+
+@pytest.mark.parametrize("text,digits", [
+    ("2001:db8::1", "20010db8000000000000000000000001"), ("::", "0" * 32), ("::ffff:1.2.3.4", "0" * 20 + "ffff01020304"),
+    ("1:2:3:4:5:6:7:8", "00010002000300040005000600070008"), ("FE80::A", "fe80" + "0" * 27 + "a"), ("1.2.3.4", "0" * 20 + "ffff01020304"), ("1.2.3", None),
+    ("1:2", None), ("::g", None), ("1::2::3", None), ("", None), (None, None),
+])
+def test_ip_digits(spark, text, digits):
+    assert spark.createDataFrame([(text,)], "t string").select(ip_to_hex(F.col("t"))).first()[0] == digits
+
+
+def test_geo_of_both_families_and_nested_ranges(spark):
+    place = lambda city: ("XX", "X", "x", city, 1.0, 2.0)
+    ranges = spark.createDataFrame([
+        (16777216, 33554431, None, None, *place("wide")), (16777472, 16777727, None, None, *place("narrow")),
+        (None, None, "2001:db8::", "2001:db8:ffff:ffff:ffff:ffff:ffff:ffff", *place("six")),
+        (None, None, "2001:db8:0:1::", "2001:db8:0:1:ffff:ffff:ffff:ffff", *place("six-narrow")),
+        (None, None, "2000::", "3fff:ffff:ffff:ffff:ffff:ffff:ffff:ffff", *place("all")),
+        (None, None, "1.0.1.16", "1.0.1.31", *place("text")), (16777480, 16777740, None, None, *place("across")),
+    ], "start_ip long, end_ip long, start_text string, end_text string, country_code string, country_name string, "
+       "region string, city string, latitude double, longitude double")
+    want = {"1.0.1.7": "narrow", "1.0.1.8": "across", "1.0.1.15": "across", "1.0.1.16": "text", "1.0.1.31": "text",
+            "1.0.1.32": "across", "1.0.2.0": "across", "1.0.2.12": "across", "1.0.2.13": "wide", "::ffff:1.0.1.7": "narrow",
+            "1.0.0.0": "wide", "0.255.255.255": "", "1.255.255.255": "wide", "2.0.0.0": "", "2001:db8::5": "six",
+            "2001:DB8:0:1::5": "six-narrow", "2400::1": "all", "fe80::1": "", "junk": "", None: ""}
+    frame = spark.createDataFrame([(ip,) for ip in want for _ in range(2)], "client_ip string")
+    got = rows(ingest.geo_enrich(frame, ranges), "client_ip", "city")
+    assert got == sorted([(ip, city) for ip, city in want.items()] * 2, key=repr)
 
 
 def test_chain_and_replay(spark):
@@ -176,10 +222,14 @@ def test_profiles_identity_quota(spark):
     ], "app_id string, user_id string, traits map<string,string>, ts timestamp")
     merged = ingest.merge_profiles(traits).first()
     assert merged["traits"] == {"plan": "pro", "x": "1"}
-    assert ingest.identify_events(traits).first()["event_name"] == "user_updated"
+    identified = ingest.identify_events(traits)
+    assert identified.first()["event_name"] == "user_updated"
+    assert identified.unionByName(events(spark, [event()])).count() == 3
     made = [event(time=at(), user="old"), event(time=at(seconds=1), user="new"), event(time=at(seconds=2), user="")]
     assert ingest.resolve_identity(events(spark, made)).first()["user_id"] == "new"
     apps = spark.createDataFrame([("a", "o", "a", 1.0, 2, True)], "id string, org_id string, name string, rps double, burst int, active boolean")
     burst = events(spark, [event(time=at(seconds=s)) for s in (0, 0.1, 0.2, 0.3, 5)])
     usage = ingest.quota_usage(burst, apps).first()
     assert (usage["peak_events"], usage["intervals_over_rate"], usage["events_over_burst"]) == (4, 1, 2)
+    unlimited = ingest.quota_usage(burst, apps.limit(0)).first()
+    assert (unlimited["events"], unlimited["intervals_over_rate"], unlimited["events_over_burst"]) == (5, None, None)

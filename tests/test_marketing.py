@@ -134,6 +134,25 @@ def test_cohorts_keep_old_count_on_error(spark):
     assert got.filter("last_computed_at IS NULL").count() == 2
 
 
+def test_a_bad_value_spoils_no_cohort(spark):
+    frame = events(spark, [event("buy", user="u", props={"plan": "7"}), event("buy", user="v", props={"plan": "pro"})])
+    table = spark.createDataFrame([("n", "a", "", "CAST(props['plan'] AS DOUBLE) > 1", 0), ("all", "a", "", "true", 0)],
+                                  "id string, app_id string, name string, filter_sql string, user_count long")
+    got = {r["cohort_id"]: r["user_count"] for r in users.cohort_recompute(frame, table, at()).collect()}
+    assert got == {"n": 1, "all": 2}
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    with pytest.raises(ValueError):
+        users.stored_cohorts(table, most=1)
+
+
+def test_cooldown_of_a_long_key(spark):
+    made = spark.range(30_000).selectExpr(
+        "'r' AS rule_id", "timestamp_seconds(id) AS fired_at", "CASE WHEN id % 2 = 0 THEN 1 END AS wait")
+    sent = alerts.apply_cooldown(made, F.col("wait"))
+    assert sent.filter("wait = 1").count() == 15_000 and sent.filter("wait IS NULL").count() == 15_000
+    assert alerts.apply_cooldown(made, 7).count() == -(-30_000 // 7)
+
+
 def rules(spark, made):
     return spark.createDataFrame(
         [(f"r{i}", "a", m, c, float(t), w, on) for i, (m, c, t, w, on) in enumerate(made)],

@@ -3,10 +3,9 @@
 import pytest
 
 import __spark_entry__ as contract
+from clickspan.catalogue import ORACLES, QUERIES
 from tests.oracle import compare, connect
 
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def duck(sf_dir):
@@ -29,5 +28,6 @@ def test_entry(spark):
 
 
 def test_names():
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
     assert set(ORACLES) <= set(QUERIES)
     assert all(q.__name__ == name for name, q in QUERIES.items())

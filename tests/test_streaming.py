@@ -187,3 +187,27 @@ def test_alert_stream(spark, batch, tmp_path):
     assert minutes.agg(F.sum("n")).first()[0] == batch.count()
     last = sent.orderBy(F.desc("fired_at")).first()
     assert last["value"] == batch.filter("app_id = 'app_0'").count()
+
+
+def test_rejected_and_late_rows_have_sinks(spark, tmp_path):
+    """Every event of a message ends in exactly one place: fact rows, rejected rows, or also the late rows."""
+    import json
+
+    from clickspan.streaming.ingest import late_rows, rejected_rows, write_left_out_stream
+
+    server = 1_710_000_000_000
+    one = lambda i, **x: {"event_id": f"e{i}", "event_name": "view", "event_time": server, **x}
+    made = [one(1), one(2, event_time=server - 8 * 86_400_000), one(3, event_name="x" * 300, props={"k": 1}), one(4, event_time=server - 120_000)]
+    value = json.dumps({"batch": {"app_id": "c", "device_id": "d", "user_id": "u", "events": made},
+                        "authenticated_app": "a", "remote_addr": "8.8.4.4:1", "server_ts": server})
+    spark.createDataFrame([(value, dt.datetime(2024, 3, 9, tzinfo=dt.UTC))], "value string, timestamp timestamp").write.parquet(str(tmp_path / "raw"))
+    stream = spark.readStream.schema("value string, timestamp timestamp").parquet(str(tmp_path / "raw"))
+    ranges = spark.createDataFrame([], "start_ip long, end_ip long, country_code string, country_name string, region string, "
+                                       "city string, latitude double, longitude double")
+    for name, rows_ in (("rejected", rejected_rows(stream)), ("late", late_rows(stream, ranges))):
+        query = write_left_out_stream(rows_, str(tmp_path / name), name, str(tmp_path / f"{name}-log"), available_now=True).start()
+        query.awaitTermination()
+    rejected = {r["error"] for r in spark.read.parquet(str(tmp_path / "rejected")).collect()}
+    assert rejected == {"event_too_old", "event_name_too_long"}
+    late = spark.read.parquet(str(tmp_path / "late")).collect()
+    assert [r["error"] for r in late] == ["late event"]
