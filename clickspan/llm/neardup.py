@@ -332,6 +332,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group the smallest doc_id, and of equal rows one."""
+    kept = near_duplicates(docs, percent).filter("kept and doc_id is not null").select("doc_id").distinct()
+    left = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.unionByName(docs.filter("doc_id is null"))
+
+
 def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
