@@ -1,14 +1,15 @@
 """Time the headline queries and print one JSON line.
 
 ``BENCH_SF_DIR`` (default /root/testdata/sf0.1) and ``BENCH_CPUS`` (default 8) choose data and cores.
-Each query is run to completion into the no-op sink; the best of ``BENCH_RUNS`` (default 3) counts,
-so that class loading and code generation are not measured.
+Each query is run to completion into the no-op sink, once unmeasured, so that class loading and code
+generation don't count; the median of ``BENCH_RUNS`` (default 3) further runs does.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -45,12 +46,12 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     timings: dict[str, float] = {}
     for name in names:
-        best = float("inf")
-        for _ in range(runs):
+        took = []
+        for _ in range(runs + 1):
             started = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            best = min(best, time.perf_counter() - started)
-        timings[name] = round(best, 3)
+            took.append(time.perf_counter() - started)
+        timings[name] = round(statistics.median(took[1:]), 3)
     print(json.dumps({
         "metric": "total_query_time", "value": round(sum(timings.values()), 3), "unit": "sec",
         "queries": timings, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),

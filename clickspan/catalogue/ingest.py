@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clickspan.catalogue.base import EV, query
-from clickspan.operators import ingest
-from clickspan.plans.ingest import ingest_batch
+from clickspan.operators import ingest, users
+from clickspan.plans.ingest import ingest_batch, with_session_ids
 from clickspan.sources import events as event_store
-from clickspan.sources.testdata import raw_envelopes
+from clickspan.sources.testdata import TEST_VOCABULARY as V
+from clickspan.sources.testdata import raw_batches, raw_envelopes
 
 # The message derivation in ``sources.testdata`` as SQL: one event per message, ``k = 70`` is cut.
 MSG = """
@@ -219,6 +220,75 @@ def ingest_events(events, spark, sf_dir):
     return rows.withColumn("prop_k", F.col("props")["k"]).drop("props", "event_id")
 
 
+BATCHES = """
+WITH base AS (
+  SELECT event_id AS id, user_id, event_type, (epoch_us(ts) // 1000) AS ms,
+         CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k
+  FROM events
+), sent AS (
+  SELECT *, max(ms) OVER (PARTITION BY user_id, k % 2, ms // 86400000) AS server_ts FROM base
+), arrived AS (
+  SELECT app || (user_id % 3) AS app_id, id::VARCHAR AS event_id, 'u_' || user_id AS user_id,
+         'd_' || user_id || '_' || (k % 2) AS device_id, event_type AS event_name, k, server_ts,
+         CASE WHEN server_ts - ms > 300000 THEN server_ts ELSE ms END AS event_ts
+  FROM sent, unnest(['app_', 'b_']) AS t(app))"""
+
+
+@query("explode_many", BATCHES + """
+SELECT app_id, event_id, event_name, count(*) * CASE WHEN app_id[1] = 'a' THEN 2 ELSE 1 END AS n FROM arrived GROUP BY 1, 2, 3""")
+def explode_many(events, spark, sf_dir):
+    """Messages with many events each, some of them sent twice."""
+    usable, _ = ingest.dead_letter_split(raw_batches(spark, sf_dir))
+    return ingest.explode_batches(usable).groupBy("app_id", "event_id", "event_name").agg(F.count("*").alias("n"))
+
+
+@query("ingest_many", BATCHES + """
+SELECT app_id, event_id, user_id, device_id, event_name, make_timestamp(event_ts * 1000) AS event_time,
+  make_timestamp(server_ts * 1000) AS server_time, '' AS session_id, '' AS country_code, 'web' AS platform, '1.0' AS app_version,
+  '' AS os_family, '' AS browser, '' AS city, CAST(NULL AS DOUBLE) AS revenue, '' AS campaign_id,
+  ['','google','facebook','email','partner'][(k % 5) + 1] AS install_source,
+  62::BIGINT AS n_props, k || '-60' AS last_prop, CAST(make_timestamp(event_ts * 1000) AS DATE) AS event_date
+FROM arrived""")
+def ingest_many(events, spark, sf_dir):
+    """Doubles go, another tenant's equal ids stay, and all 62 properties come through."""
+    rows = ingest_batch(raw_batches(spark, sf_dir), spark.sql(IP_RANGES)).events
+    return rows.withColumn("n_props", F.size("props")).withColumn("last_prop", F.col("props")["a60"]).drop("props")
+
+
+@query("ingest_many_report", BATCHES + """
+SELECT app_id, count(*) * CASE WHEN app_id[1] = 'a' THEN 2 ELSE 1 END AS received, count(*) AS accepted,
+       count(*) * CASE WHEN app_id[1] = 'a' THEN 1 ELSE 0 END AS filtered FROM arrived GROUP BY 1""")
+def ingest_many_report(events, spark, sf_dir):
+    return ingest_batch(raw_batches(spark, sf_dir), spark.sql(IP_RANGES)).report
+
+
+INGESTED = MSG + """, e AS (
+  SELECT app_id, uid AS user_id, device_id, event_name, coalesce(revenue, 0) AS revenue,
+         make_timestamp(1000 * CASE WHEN abs(ms - event_ts) > 300000 THEN ms ELSE event_ts END) AS t FROM valid
+), stepped AS (
+  SELECT *, CASE WHEN lag(t) OVER w IS NULL OR epoch_us(t) - epoch_us(lag(t) OVER w) > 86400000000 THEN 1 ELSE 0 END AS begins
+  FROM e WINDOW w AS (PARTITION BY app_id, device_id ORDER BY t))"""
+
+
+@query("ingested_user_profile", INGESTED + """
+SELECT app_id, user_id, min(t) AS first_seen, max(t) AS last_seen, count(*) AS total_events,
+       sum(begins)::BIGINT AS total_sessions, round(sum(revenue), 6) AS total_revenue
+FROM stepped GROUP BY 1, 2""")
+def ingested_user_profile(events, spark, sf_dir):
+    """From raw messages to profiles: sessions are counted on ids that the chain itself gave."""
+    rows = with_session_ids(ingest_batch(raw_envelopes(spark, sf_dir), spark.sql(IP_RANGES)).events, "24 hours")
+    return users.user_profile(rows, vocabulary=V).drop("last_country", "last_city")
+
+
+@query("ingested_session_sizes", INGESTED + """
+, numbered AS (SELECT *, sum(begins) OVER (PARTITION BY app_id, device_id ORDER BY t RANGE UNBOUNDED PRECEDING) AS no FROM stepped)
+SELECT app_id, app_id || '-' || device_id || '-' || (epoch_us(min(t)) // 1000) AS session_id, count(*) AS event_count
+FROM numbered GROUP BY app_id, device_id, no""")
+def ingested_session_sizes(events, spark, sf_dir):
+    rows = with_session_ids(ingest_batch(raw_envelopes(spark, sf_dir), spark.sql(IP_RANGES)).events, "24 hours")
+    return rows.groupBy("app_id", "session_id").agg(F.count("*").alias("event_count"))
+
+
 @query("replay_dead_letters", MSG + """
 SELECT app_id, uid AS user_id, device_id, event_name, make_timestamp(ms * 1000) AS event_time FROM valid WHERE k = 60""")
 def replay_dead_letters(events, spark, sf_dir):

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from clickspan.operators import ingest
+from clickspan.operators.sessions import sessionize
 
 
 @dataclass(frozen=True)
@@ -26,3 +27,12 @@ def ingest_batch(raw: DataFrame, ip_ranges: DataFrame) -> Ingested:
     valid, rejected = ingest.validate(received)
     events = ingest.dedup_events(ingest.enrich(valid, ip_ranges))
     return Ingested(events, rejected, dead, ingest.ingest_report(received, events))
+
+
+def with_session_ids(events: DataFrame, gap: str | int = "30 minutes") -> DataFrame:
+    """Fact rows with the id of the session they belong to, in the same layout.
+
+    To be run over whole days before the rows are read by session: an id depends on the events of the same
+    device up to one gap before.
+    """
+    return sessionize(events, gap).select(*events.columns)
