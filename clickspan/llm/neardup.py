@@ -19,8 +19,9 @@ a group is what links connect.
   chunk, so no task holds one whole.
 
 Cases: a document without words has an empty set, no link and itself as component; a null doc_id takes no
-part in links and keeps a null component; rows that share a doc_id are judged each by its own text; an
-empty table gives no row.
+part in links, it keeps the component of an equal text if there is one; doc_id identifies a document, so rows
+that repeat one are one document, of which one text is held against others if they differ; an empty table
+gives no row.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ WIDTH = 5
 BUCKETS, BANDS, ROWS = 256, 42, 6
 SIGMAS = 5.5
 CHUNK = 256
+FIRST_BANDS = 6
 _random = np.random.Generator(np.random.PCG64(777))
 _PROBES = np.stack([_random.permutation(BUCKETS) for _ in range(BUCKETS)])
 _BAND_BASE = int(_random.integers(2**62, 2**63)) | 1
@@ -138,9 +140,10 @@ def _bands(nodes: DataFrame) -> DataFrame:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             keys = band_keys(_sketches(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, BANDS))], ["key", "id"])
+                [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, BANDS)),
+                 pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(ids)))], ["key", "id", "band"])
 
-    return nodes.select("id", "sketch").mapInArrow(spread, "key long, id long")
+    return nodes.select("id", "sketch").mapInArrow(spread, "key long, id long, band int")
 
 
 def _first_pairs(meeting: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -187,11 +190,26 @@ def _open_groups(meeting: DataFrame, labels: DataFrame, nodes: DataFrame, percen
     """(id, component): what pairs of different components connect that share a bucket and may be linked.
 
     A task sees two chunks of a bucket at most and returns a spanning forest of its pairs, so the result
-    has no more rows than the bucket.
+    has no more rows than the bucket. The first few bands connect nearly everything; the others are then
+    held only where they may connect more.
     """
-    placed = meeting.select("key", "id").join(labels.withColumnRenamed("component", "c"), "id", "left").withColumn(
-        "c", F.coalesce("c", "id"))
-    several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi")
+    edges = _forests(meeting.filter(F.col("band") < FIRST_BANDS), labels, labels.limit(0), nodes, percent)
+    edges = written(edges, "forests")
+    groups = components(edges)
+    more = written(_forests(meeting, labels, groups, nodes, percent), "forests")
+    return components(groups.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more))
+
+
+def _forests(meeting: DataFrame, labels: DataFrame, groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Spanning forests (a, b) by bucket over what differs in both component and group."""
+    placed = (
+        meeting.select("key", "id").join(labels.withColumnRenamed("component", "c"), "id", "left")
+        .join(groups.withColumnRenamed("component", "g"), "id", "left")
+        .withColumns({"c": F.coalesce("c", "id"), "g": F.coalesce("g", "id")})
+    )
+    several = placed.groupBy("key").agg(
+        F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("g").alias("lo_g"), F.max("g").alias("hi_g"),
+        F.count(F.lit(1)).alias("m")).filter("lo < hi and lo_g < hi_g")
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
     rows = (
         placed.join(several.select("key", chunks.alias("chunks")), "key")
@@ -199,17 +217,17 @@ def _open_groups(meeting: DataFrame, labels: DataFrame, nodes: DataFrame, percen
         # A row goes to every pair of chunks that its own chunk is part of.
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .join(nodes.select("id", "n", "sketch"), "id")
-        .select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "c", "n", "sketch")
+        .select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "c", "g", "n", "sketch")
         .repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "own", "id")
     )
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
         for group in _groups(batches, ["key", "x", "y"]):
-            own, ids, c, n = (group.column(k).to_numpy() for k in ("own", "id", "c", "n"))
+            own, ids, c, n, tree = (group.column(k).to_numpy() for k in ("own", "id", "c", "n", "g"))
             x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
             sketches = _sketches(group.column("sketch"))
-            tree = np.arange(len(ids))
+            tree = tree.copy()
             second = int(np.searchsorted(own, y))
             for i in range(len(ids) if x == y else second):
                 # Within a chunk each pair once; else a row of one chunk with all of the other.
@@ -226,7 +244,7 @@ def _open_groups(meeting: DataFrame, labels: DataFrame, nodes: DataFrame, percen
         if found:
             yield _as_pairs(found)
 
-    return components(rows.mapInArrow(meet, "a long, b long"))
+    return rows.mapInArrow(meet, "a long, b long")
 
 
 def _open_links(groups: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
@@ -315,7 +333,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["id"]), "nodes")
     bands = _bands(nodes)
     shared = bands.groupBy("key").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    meeting = written(bands.join(shared.select("key", "least_id"), "key"), "meeting")
+    meeting = written(bands.join(shared.select("key", "least_id"), "key"), "meeting")  # key, id, band, least_id
     texts = written(
         docs.withColumnRenamed("doc_id", "id").join(meeting.select("id").distinct(), "id", "left_semi")
         .groupBy("id").agg(F.max("text").alias("text")), "texts")
