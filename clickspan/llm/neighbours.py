@@ -82,7 +82,7 @@ def walk(one: np.ndarray, two: np.ndarray, held: np.ndarray, wanted: int) -> Ite
             heapq.heappush(heap, (one[first[i + 1]] + two[b], i + 1, 0))
 
 
-def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, share: float = 0.6, least: int = 4096,
+def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, share: float = 0.65, least: int = 4096,
                sample: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row of ``vectors`` that ``is_query`` holds for."""
     rows = usable(vectors)
