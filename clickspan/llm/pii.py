@@ -111,7 +111,9 @@ def _count(column: str, kind: str) -> Column:
 
 
 def spans_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(key, kind, start, end, found, w1, w2) of every base entity, and with null kind of unseen candidates.
+    """(key, kind, start, end, found, words, w1, w2) of every base entity, and with null kind of candidates.
+
+    ``words`` are those of the text before, w1 and w2 the last two.
 
     ``docs`` has ``key`` and the text; rows with equal keys are one row here.
     """
@@ -124,10 +126,10 @@ def spans_of(docs: DataFrame, text: str = "text") -> DataFrame:
     words = F.array_remove(F.split(F.lower("before"), SPACE, -1), "")
     return (
         rows.select("key", F.explode(F.concat(*tagged)).alias("s")).select("key", "s.*")
-        .withColumn("_w", words)
-        .withColumn("w1", F.coalesce(F.try_element_at("_w", F.lit(-2)), F.lit("")))
-        .withColumn("w2", F.coalesce(F.try_element_at("_w", F.lit(-1)), F.lit("")))
-        .select("key", "kind", "start", "end", "found", "w1", "w2").distinct()
+        .withColumn("words", words)
+        .withColumn("w1", F.coalesce(F.try_element_at("words", F.lit(-2)), F.lit("")))
+        .withColumn("w2", F.coalesce(F.try_element_at("words", F.lit(-1)), F.lit("")))
+        .select("key", "kind", "start", "end", "found", "words", "w1", "w2").distinct()
     )
 
 
@@ -140,16 +142,34 @@ def _apart(spans: DataFrame) -> DataFrame:
     return spans.withColumn("_free", free).filter(F.col("kind").isNotNull() | F.col("_free")).drop("_free")
 
 
-def discovered(docs: DataFrame, spans: DataFrame, rounds: int = 3, support: int = 3, least: float = 0.5,
+def _possible(edges: DataFrame, spans: DataFrame, least: float) -> DataFrame:
+    """The patterns that can reach the confidence ``least``.
+
+    How often the two words stand in the texts before candidates is a lower bound of how often they stand
+    in the corpus, and cheap to count: the texts before candidates don't overlap, and their first two words,
+    of which one may be cut, are left out. A pattern whose candidates are too few for that bound is too
+    common to be confirmed by the whole corpus.
+    """
+    inner = F.slice("words", 3, F.size("words"))
+    pairs = spans.filter("kind is null and size(words) > 3").select(inner.alias("_w")).select(F.explode(F.filter(
+        F.transform("_w", lambda w, i: F.struct(F.get("_w", i - 1).alias("w1"), w.alias("w2"))), lambda p: p["w1"].isNotNull())).alias("p"))
+    uses = edges.groupBy("w1", "w2").agg(F.sum("n").alias("_n"))
+    bound = pairs.select("p.*").join(uses.select("w1", "w2"), ["w1", "w2"], "left_semi").groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("_t"))
+    return uses.join(bound, ["w1", "w2"], "left").filter(F.col("_n") >= least * F.coalesce("_t", F.lit(0))).select("w1", "w2")
+
+
+def discovered(docs: DataFrame, every: DataFrame, rounds: int = 3, support: int = 3, least: float = 0.5,
                sure: float = 0.8) -> DataFrame:
-    """(key, kind, start, end) of the unseen identifiers; ``docs`` has key and text, ``spans`` is a written table."""
+    """(key, kind, start, end) of the unseen identifiers; ``docs`` has key and text, ``every`` is ``spans_of`` it."""
     pattern = ["w1", "w2"]
+    spans = written(_apart(every.drop("words")), "spans")
     edges = spans.groupBy(*pattern, "found").agg(F.max("kind").alias("base"), F.count(F.lit(1)).alias("n"))
     enough = edges.groupBy(*pattern).agg(F.count(F.lit(1)).alias("_i"), F.count("base").alias("_b")).filter(
         f"_i >= {support} and _b > 0").select(*pattern)
     # Two words are needed: the start of a text or another match is no lexical pattern.
     enough = enough.filter("w1 not in ('', '#') and w2 not in ('', '#')")
     edges = written(edges.join(enough, pattern, "left_semi"), "edges")
+    edges = written(edges.join(_possible(edges, every, least), pattern, "left_semi"), "edges")
     words = F.array_remove(F.split(F.lower("text"), SPACE, -1), "")
     pairs = docs.select(words.alias("_w")).select(F.explode(F.transform("_w", lambda w, i: F.struct(
         F.coalesce(F.when(i > 1, F.get("_w", i - 2)), F.lit("")).alias("w1"),
@@ -189,7 +209,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     ``place`` is the kind's place in ``KINDS``; arrays are in order of place, start and end.
     """
     keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
-    spans = written(_apart(spans_of(keyed)), "spans")
+    spans = written(spans_of(keyed), "spans")
     base = spans.filter("kind is not null").select("key", "start", "end", "kind", F.lit(True).alias("_base"))
     more = discovered(keyed.select("key", "text"), spans).withColumn("_base", F.lit(False))
     place = reduce(lambda other, k: F.when(F.col("kind") == KINDS[k], k).otherwise(other), range(len(KINDS)), F.lit(len(KINDS)))
