@@ -6,9 +6,10 @@ are summed up along that order, one random offset is added, and a document is em
 that its stretch of the running sum crosses. Neighbours in the order have like sizes, so the words taken
 follow the target closely.
 
-The running sum is split in two: rows are counted by (source, size, salt), the counts are summed along
-each source, and rows are numbered only inside their chunk, so a source or a size that holds a third of
-all rows is spread over ``salts`` chunks per size. Copies are counted in integers of ``UNIT`` parts.
+The running sum is split up: rows are counted by (source, size, salt), the counts of the sizes are summed
+along each source and those of the salts along each size, and rows are numbered only inside their chunk, so
+a source or a size that holds a third of all rows is spread over ``salts`` chunks per size. Copies are
+counted in integers of ``UNIT`` parts.
 
 Cases: a null text has size 0; a null source is a source of its own, last in order; documents of a source
 whose words are all missing are taken 0 times; equal rows are interchangeable; a null doc_id is ordered
@@ -92,11 +93,16 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), ratio: float = 1.5,
     sizes = rows.groupBy("_null", "_source").agg(F.sum("size").alias("source_size"))
     parts = F.coalesce(F.round(F.col("target") / F.col("source_size") * UNIT), F.lit(0.0)).cast("long")
     offset = _number(F.concat(F.lit(seed + "|"), F.col("_null").cast("string"), F.lit("|"), F.col("_source"))) % UNIT
-    earlier = W.partitionBy("_null", "_source").orderBy("size", "_salt").rowsBetween(W.unboundedPreceding, -1)
+    # What comes before a chunk: all smaller sizes of the source, and smaller salts of the same size.
+    shorter = W.partitionBy("_null", "_source").orderBy("size").rowsBetween(W.unboundedPreceding, -1)
+    salted = W.partitionBy("_null", "_source", "size").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
+    by_size = counts.groupBy("_null", "_source", "size").agg(F.sum("_n").alias("_m")).select(
+        "_null", "_source", "size", F.coalesce(F.sum("_m").over(shorter), F.lit(0)).alias("_shorter"))
+    placed = counts.withColumn("_same", F.coalesce(F.sum("_n").over(salted), F.lit(0))).join(by_size, ["_null", "_source", "size"])
     carries = (
-        counts.join(source_targets(sizes, weights, ratio, cap), ["_null", "_source"])
+        placed.join(source_targets(sizes, weights, ratio, cap), ["_null", "_source"])
         .withColumn("_parts", F.when(F.col("source_size") > 0, parts).otherwise(F.lit(0)))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .withColumn("_before", F.col("_shorter") + F.col("_same"))
         # What lies before the chunk matters only modulo one copy, which keeps the product in 64 bits.
         .withColumn("_carry", (offset + (F.col("_before") % UNIT) * (F.col("_parts") % UNIT) % UNIT) % UNIT)
         .select(*chunk, "source_size", "target", "_parts", "_carry")
