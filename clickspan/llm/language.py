@@ -47,6 +47,7 @@ FAMILIES = {
 ORDERS = (2, 3, 4)
 DIMENSIONS = 1 << 14
 WINDOWS = (60, 160, 500)
+MOST_BROADCAST = 1_000_000
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
@@ -178,7 +179,9 @@ def learn(docs: DataFrame, learnable: Column, families: dict[str, list[str]] | N
         weights = train(group["label"].to_numpy(), list(zip(group["at"], group["value"])))
         return pd.DataFrame({"machine": [int(group["machine"].iloc[0])], "weights": [weights]})
 
-    sample = docs.join(chosen, ["doc_id", "lang"], "left_semi").filter(learnable)
+    # At most per_language ids a language: broadcast up to a bound, so that texts are not shuffled for it.
+    small = F.broadcast(chosen) if per_language * len(languages) <= MOST_BROADCAST else chosen
+    sample = docs.join(small, ["doc_id", "lang"], "left_semi").filter(learnable)
     examples = sample.select("doc_id", "lang", "text").mapInArrow(
         describe, "machine int, label int, at array<long>, value array<double>")
     weights = np.zeros((DIMENSIONS, len(machines)))
