@@ -22,7 +22,9 @@ from __future__ import annotations
 import bisect
 import functools
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -42,25 +44,59 @@ class WordIds(dict):
     """Token ids of a word as little-endian 32-bit numbers.
 
     The tokenizer drops white space and never joins what it divides, so a text's ids are those of its words
-    in a row. The memory is emptied when it holds ``most`` words.
+    in a row. A new word of plain letters and marks is looked up by its two parts, in lower case; new parts
+    are encoded together and told apart by the tokens that end a part. All other words are encoded one by
+    one. Words and parts are forgotten when there are ``most`` of them.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    PLAIN = re.compile(r"([a-zà-öø-ÿ]*)([.,!?;:#%&$*|]*)")
+
+    def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.most = most
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.parts: dict[str, bytes] = {"": b""}
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def _learn_parts(self, parts: set[str]) -> None:
+        new = [p for p in parts if p not in self.parts]
+        for at in range(0, len(new), 1000):
+            some = new[at:at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) == len(some):
+                data = ids.tobytes()
+                self.parts.update(zip(some, [data[i:j] for i, j in zip([0, *cuts], cuts)]))
+            else:
+                self.parts.update(zip(some, self._encode(some)))
 
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self]
         if len(self) + len(new) > self.most:
             self.clear()
+            self.parts = {"": b""}
             new = list(words)
-        found = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        for word, x in zip(new, found):
-            self[word] = np.array(x.ids, dtype="<u4").tobytes()
+        plain, other = [], []
+        for word in new:
+            match = self.PLAIN.fullmatch(word.decode().lower())
+            if match:
+                plain.append((word, match[1], match[2]))
+            else:
+                other.append(word)
+        self._learn_parts({p for _, *both in plain for p in both})
+        for word, letters, marks in plain:
+            self[word] = self.parts[letters] + self.parts[marks]
+        for word, ids in zip(other, self._encode([w.decode() for w in other])):
+            self[word] = ids
 
 
 @functools.lru_cache(maxsize=1)
