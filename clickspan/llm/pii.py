@@ -3,14 +3,15 @@
 Base entities (e-mail and IP addresses, card and phone numbers) are found by expression and check. They are
 the seeds of a graph between lexical patterns, the two words before an occurrence, and instances, the text
 of an occurrence. Instances that look like identifiers (a run with at least five digits) but are no base
-entity are unseen. In each of ``rounds`` rounds
+entity are unseen. In each round
 
 * a pattern's confidence for a kind is the summed score of the instances it stands before, by occurrence,
   over all occurrences of the two words before any word of the corpus, and
 * an unseen instance's score is 1 - product of (1 - confidence) over the accepted patterns before it,
 
 where a pattern is accepted with ``support`` known instances and the confidence ``least``. So instances that
-patterns discover support new patterns. What stands after an accepted pattern, and every occurrence of an
+patterns discover support new patterns, also ones that stand before no base entity. Scores only rise; rounds
+end when no pattern is newly accepted and all confidences together rise by less than ``SETTLED``. What stands after an accepted pattern, and every occurrence of an
 instance that scores ``sure``, is added to the spans. Words that often stand before anything else never
 become patterns, because all their occurrences count.
 
@@ -47,6 +48,7 @@ SIGNS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 UNSEEN = r"(?<![A-Za-z0-9._%+@()-])(?=(?:[A-Za-z._%+@()-]*[0-9]){5})[A-Za-z0-9._%+@()-]*[A-Za-z0-9]"
 #: Code points before an occurrence in which its two words are looked for.
 REACH = 120
+SETTLED = 1e-6
 
 
 def _luhn(digits: Column) -> Column:
@@ -158,18 +160,36 @@ def _possible(edges: DataFrame, spans: DataFrame, least: float) -> DataFrame:
     return uses.join(bound, ["w1", "w2"], "left").filter(F.col("_n") >= least * F.coalesce("_t", F.lit(0))).select("w1", "w2")
 
 
-def discovered(docs: DataFrame, every: DataFrame, rounds: int = 3, support: int = 3, least: float = 0.5,
-               sure: float = 0.8) -> DataFrame:
+def _reached(edges: DataFrame, support: int) -> DataFrame:
+    """The edges of patterns that can be accepted, whatever their confidence.
+
+    Such a pattern stands before ``support`` instances that are base entities or stand after such patterns.
+    """
+    pattern = ["w1", "w2"]
+    known = edges.filter("base is not null").select("found").distinct()
+    before = 0
+    while True:
+        patterns = written(edges.join(known, "found", "left_semi").groupBy(*pattern).agg(F.count(F.lit(1)).alias("_i")).filter(
+            f"_i >= {support}").select(*pattern), "patterns")
+        now = patterns.count()
+        reached = edges.join(patterns, pattern, "left_semi")
+        if now == before:
+            return reached
+        before = now
+        known = written(known.unionByName(reached.select("found")).distinct(), "known")
+
+
+def discovered(docs: DataFrame, every: DataFrame, support: int = 3, least: float = 0.5, sure: float = 0.8) -> DataFrame:
     """(key, kind, start, end) of the unseen identifiers; ``docs`` has key and text, ``every`` is ``spans_of`` it."""
     pattern = ["w1", "w2"]
     spans = written(_apart(every.drop("words")), "spans")
     edges = spans.groupBy(*pattern, "found").agg(F.max("kind").alias("base"), F.count(F.lit(1)).alias("n"))
-    enough = edges.groupBy(*pattern).agg(F.count(F.lit(1)).alias("_i"), F.count("base").alias("_b")).filter(
-        f"_i >= {support} and _b > 0").select(*pattern)
+    enough = edges.groupBy(*pattern).agg(F.count(F.lit(1)).alias("_i")).filter(f"_i >= {support}").select(*pattern)
     # Two words are needed: the start of a text or another match is no lexical pattern.
     enough = enough.filter("w1 not in ('', '#') and w2 not in ('', '#')")
     edges = written(edges.join(enough, pattern, "left_semi"), "edges")
     edges = written(edges.join(_possible(edges, every, least), pattern, "left_semi"), "edges")
+    edges = written(_reached(edges, support), "edges")
     words = F.array_remove(F.split(F.lower("text"), SPACE, -1), "")
     pairs = docs.select(words.alias("_w")).select(F.explode(F.transform("_w", lambda w, i: F.struct(
         F.coalesce(F.when(i > 1, F.get("_w", i - 2)), F.lit("")).alias("w1"),
@@ -177,22 +197,24 @@ def discovered(docs: DataFrame, every: DataFrame, rounds: int = 3, support: int
     totals = written(pairs.join(edges.select(*pattern).distinct(), pattern).groupBy(*pattern).agg(
         F.count(F.lit(1)).alias("total")), "totals")
     known = edges.filter("base is not null").select("found", F.col("base").alias("kind")).distinct().withColumn("score", F.lit(1.0))
-    scores = known
-    accepted = None
-    for _ in range(rounds):
-        accepted = (
+    scores, before = known, (0, 0.0)
+    while True:
+        accepted = written(
             edges.join(scores, "found").groupBy(*pattern, "kind")
             .agg(F.sum(F.col("score") * F.col("n")).alias("_s"),
                  F.count(F.when(F.col("score") >= least, F.col("found"))).alias("_i"), F.sum("n").alias("_n"))
             .join(totals, pattern, "left")
             .withColumn("conf", F.least(F.lit(1.0), F.col("_s") / F.greatest(F.coalesce("total", "_n"), "_n")))
-            .filter((F.col("conf") >= least) & (F.col("_i") >= support)).select(*pattern, "kind", "conf")
-        )
+            .filter((F.col("conf") >= least) & (F.col("_i") >= support)).select(*pattern, "kind", "conf"), "accepted")
         guessed = (
             edges.filter("base is null").join(accepted, pattern).groupBy("found", "kind")
             .agg((1 - F.product(1 - F.col("conf"))).alias("score"))
         )
         scores = written(known.unionByName(guessed), "scores")
+        now = accepted.agg(F.count(F.lit(1)), F.coalesce(F.sum("conf"), F.lit(0.0))).first()
+        if now[0] == before[0] and now[1] - before[1] < SETTLED:
+            break
+        before = now
     unseen = spans.filter("kind is null").drop("kind")
     best = accepted.groupBy(*pattern).agg(F.max_by("kind", F.struct("conf", "kind")).alias("kind"))
     certain = scores.join(known.select("found"), "found", "left_anti").groupBy("found").agg(

@@ -45,6 +45,25 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert not any(got[i]["added"] for i in (200, 202, *range(10), *range(300, 320)))
 
 
+def test_patterns_without_base_entity_are_reached_over_instances(spark):
+    rows = [(i, f"filler words here my phone is +49 30 1234{i:03d}5 and more text") for i in range(10)]
+    rows += [(100 + i, f"some other words my phone is 030-12345{i}6 thanks") for i in range(5)]
+    # "reach me" reaches its confidence only when that of "phone is" has come near 1.
+    rows += [(200 + i, f"you can reach me 030-12345{i}6 any day") for i in range(5)]
+    rows += [(300 + i, f"you can reach me 040-98765{i}1 any day") for i in range(4)]
+    # A chain of patterns, each known by the numbers new after the one before.
+    for k in range(6):
+        new = [f"040-98765{i}1" if k == 0 else f"05{k}-11122{i}" for i in range(4)]
+        rows += [(1000 + 100 * k + 10 * j + i, f"then word{k} link{k} {x} too") for j in range(2) for i, x in enumerate(new)]
+        rows += [(1050 + 100 * k + i, f"then word{k} link{k} 05{k + 1}-11122{i} too") for i in range(4)]
+    rows += [(5000 + i, f"the item code 77{i}-55555 is sold") for i in range(5)]
+    got, texts = found(spark, rows), dict(rows)
+    for i, text in rows:
+        want = [] if i < 100 or i >= 5000 else [next(w for w in text.split() if sum(c.isdigit() for c in w) >= 5)]
+        assert [text[a:b] for _, a, b in spans(got[i]["added"])] == want, text
+        assert all(s["kind"] == "phone" for s in got[i]["added"])
+
+
 def test_common_words_are_no_pattern(spark):
     rows = [(i, f"we speak of the +1 555 12345{i:02d} line") for i in range(10)]
     rows += [(100 + i, "out of the blue of the moon of the day") for i in range(20)] + [(200, "of the 1234567 ones")]
