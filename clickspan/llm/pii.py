@@ -2,8 +2,9 @@
 
 Base entities (e-mail and IP addresses, card and phone numbers) are found by expression and check. They are
 the seeds of a graph between lexical patterns, the two words before an occurrence, and instances, the text
-of an occurrence. Instances that look like identifiers (a run with at least five digits) but are no base
-entity are unseen. In each round
+of an occurrence. Instances that look like identifiers (at least five digits in a run, or in groups of digits
+with single blanks between) but are no base entity are unseen; groups that overlap a base entity are taken run
+by run. In each round
 
 * a pattern's confidence for a kind is the summed score of the instances it stands before, by occurrence,
   over all occurrences of the two words before any word of the corpus, and
@@ -45,7 +46,14 @@ PATTERNS = {
 }
 #: What must occur in a text for a kind to be looked for.
 SIGNS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-UNSEEN = r"(?<![A-Za-z0-9._%+@()-])(?=(?:[A-Za-z._%+@()-]*[0-9]){5})[A-Za-z0-9._%+@()-]*[A-Za-z0-9]"
+#: A run without blanks that holds five digits.
+RUN = r"(?<![A-Za-z0-9._%+@()-])(?=(?:[A-Za-z._%+@()-]*[0-9]){5})[A-Za-z0-9._%+@()-]*[A-Za-z0-9]"
+#: A blank between a digit (and a bracket) and a group of digits without letters.
+GAP = r"(?<=[0-9]\)?)\x20(?=\(?[0-9][0-9().-]*+(?![A-Za-z_%+@]|[:/][0-9]))"
+#: Groups of digits with single blanks, five digits in all; else a run.
+UNSEEN = (
+    rf"(?<![A-Za-z0-9._%+@()-])(?=\+?+(?:[().-]*+[0-9](?:\)?+{GAP})?+){{5}})\+?+(?:[0-9().-]++{GAP})++[0-9().-]*[0-9]"
+    rf"|{RUN}")
 #: Code points before an occurrence in which its two words are looked for.
 REACH = 120
 SETTLED = 1e-6
@@ -125,23 +133,49 @@ def spans_of(docs: DataFrame, text: str = "text") -> DataFrame:
         rows = rows.withColumn(kind, _checked(kind))
     rows = _with_matches(rows, "unseen", UNSEEN, "")
     tagged = [_tagged(kind, F.lit(kind)) for kind in KINDS] + [_tagged("unseen", F.lit(None).cast("string"))]
-    words = F.array_remove(F.split(F.lower("before"), SPACE, -1), "")
     return (
-        rows.select("key", F.explode(F.concat(*tagged)).alias("s")).select("key", "s.*")
-        .withColumn("words", words)
-        .withColumn("w1", F.coalesce(F.try_element_at("words", F.lit(-2)), F.lit("")))
-        .withColumn("w2", F.coalesce(F.try_element_at("words", F.lit(-1)), F.lit("")))
+        _words(rows.select("key", F.explode(F.concat(*tagged)).alias("s")).select("key", "s.*"))
         .select("key", "kind", "start", "end", "found", "words", "w1", "w2").distinct()
     )
 
 
-def _apart(spans: DataFrame) -> DataFrame:
-    """Candidates that overlap no base entity, next to the base entities."""
+def _words(spans: DataFrame) -> DataFrame:
+    """``spans`` with words, w1 and w2 instead of the text ``before``."""
+    return (
+        spans.withColumn("words", F.array_remove(F.split(F.lower("before"), SPACE, -1), ""))
+        .withColumn("w1", F.coalesce(F.try_element_at("words", F.lit(-2)), F.lit("")))
+        .withColumn("w2", F.coalesce(F.try_element_at("words", F.lit(-1)), F.lit(""))).drop("before")
+    )
+
+
+def _marked(spans: DataFrame) -> DataFrame:
+    """``spans`` with ``_free``: whether a candidate overlaps no base entity."""
     order = W.partitionBy("key").orderBy("start", "end")
     base_end = F.max(F.when(F.col("kind").isNotNull(), F.col("end"))).over(order.rowsBetween(W.unboundedPreceding, -1))
     base_start = F.min(F.when(F.col("kind").isNotNull(), F.col("start"))).over(order.rowsBetween(1, W.unboundedFollowing))
     free = (F.coalesce(base_end, F.col("start")) <= F.col("start")) & (F.coalesce(base_start, F.col("end")) >= F.col("end"))
-    return spans.withColumn("_free", free).filter(F.col("kind").isNotNull() | F.col("_free")).drop("_free")
+    return spans.withColumn("_free", free)
+
+
+def _apart(spans: DataFrame) -> DataFrame:
+    """Candidates that overlap no base entity, next to the base entities.
+
+    Of groups of digits that overlap one, the runs that overlap none are candidates.
+    """
+    names = ["key", "kind", "start", "end", "found", "w1", "w2"]
+    marked = written(_marked(spans.select(*names)), "marked")
+    groups = marked.filter("kind is null and not _free and contains(found, ' ')").select(
+        "key", F.col("start").alias("_at"), F.col("w1").alias("_w1"), F.col("w2").alias("_w2"), F.col("found").alias("text"))
+    runs = _words(_with_matches(groups, "runs", RUN, "").select("key", "_at", "_w1", "_w2", F.explode("runs").alias("s")).select(
+        "key", "_at", "_w1", "_w2", F.lit(None).cast("string").alias("kind"), (F.col("_at") + F.col("s.start")).alias("start"),
+        (F.col("_at") + F.col("s.end")).alias("end"), "s.found", "s.before"))
+    # Words before the groups follow where the groups give fewer than two.
+    runs = runs.withColumn("w1", F.when(F.size("words") == 0, F.col("_w1")).when(
+        F.size("words") == 1, F.when(F.col("w2") == "#", F.lit("")).otherwise(F.col("_w2"))).otherwise(F.col("w1")))
+    runs = runs.withColumn("w2", F.when(F.size("words") == 0, F.col("_w2")).otherwise(F.col("w2")))
+    base = marked.filter("kind is not null").select(*names)
+    runs = _marked(base.join(runs.select("key").distinct(), "key", "left_semi").unionByName(runs.select(*names))).filter("kind is null and _free")
+    return base.unionByName(marked.filter("kind is null and _free").select(*names)).unionByName(runs.select(*names))
 
 
 def _possible(edges: DataFrame, spans: DataFrame, least: float) -> DataFrame:
@@ -182,7 +216,7 @@ def _reached(edges: DataFrame, support: int) -> DataFrame:
 def discovered(docs: DataFrame, every: DataFrame, support: int = 3, least: float = 0.5, sure: float = 0.8) -> DataFrame:
     """(key, kind, start, end) of the unseen identifiers; ``docs`` has key and text, ``every`` is ``spans_of`` it."""
     pattern = ["w1", "w2"]
-    spans = written(_apart(every.drop("words")), "spans")
+    spans = written(_apart(every), "spans")
     edges = spans.groupBy(*pattern, "found").agg(F.max("kind").alias("base"), F.count(F.lit(1)).alias("n"))
     enough = edges.groupBy(*pattern).agg(F.count(F.lit(1)).alias("_i")).filter(f"_i >= {support}").select(*pattern)
     # Two words are needed: the start of a text or another match is no lexical pattern.

@@ -64,6 +64,24 @@ def test_patterns_without_base_entity_are_reached_over_instances(spark):
         assert all(s["kind"] == "phone" for s in got[i]["added"])
 
 
+def test_identifiers_in_groups(spark):
+    grouped = ["030 1234 5678", "(030) 123 4567", "4111 1111 1111 1112", "(555) 010-9999", "030-1234567", "01 23 45"]
+    rows = [(i, f"filler words here my phone is +49 30 1234{i:03d}5 and more text") for i in range(40)]
+    rows += [(100 + i, f"some other words my phone is {x}{end}") for i, (x, end) in enumerate(zip(grouped, [" thanks", ".", ", or", "", " 3rd", " 12:30"]))]
+    # Not in one run: two blanks, a line end, a group with letters; and too few digits.
+    apart = [("030 12345  678901", "030 12345"), ("12345\n67890", "12345"), ("12345 6x", "12345"), ("12 34 of", None)]
+    rows += [(200 + i, f"some other words my phone is {x}") for i, (x, _) in enumerate(apart)]
+    # Groups beside a base entity: the run that is none stays a candidate.
+    rows += [(300, "some other words my phone is 030-1234506 10.0.0.1 now"), (301, "my phone is (12345) 4111 1111 1111 1111 now")]
+    rows += [(400, "1 2 " * 9000), (401, "1 2 3 4 5 " * 9000 + "x"), (402, "(1) " * 9000 + "x " * 9000)]
+    got, texts = found(spark, rows), dict(rows)
+    text = lambda i: [texts[i][s["start"]:s["end"]] for s in got[i]["added"]]
+    assert [text(100 + i) for i in range(6)] == [[x] for x in grouped]
+    assert [text(200 + i)[:1] for i in range(4)] == [[x] if x else [] for _, x in apart]
+    assert text(300) == ["030-1234506"] and spans(got[300]["base"]) == [("ip", 41, 49)]
+    assert text(301) == ["(12345"]
+
+
 def test_common_words_are_no_pattern(spark):
     rows = [(i, f"we speak of the +1 555 12345{i:02d} line") for i in range(10)]
     rows += [(100 + i, "out of the blue of the moon of the day") for i in range(20)] + [(200, "of the 1234567 ones")]
