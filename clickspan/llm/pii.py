@@ -225,11 +225,14 @@ def discovered(docs: DataFrame, every: DataFrame, support: int = 3, least: float
     edges = written(edges.join(_possible(edges, every, least), pattern, "left_semi"), "edges")
     edges = written(_reached(edges, support), "edges")
     words = F.array_remove(F.split(F.lower("text"), SPACE, -1), "")
-    pairs = docs.select(words.alias("_w")).select(F.explode(F.transform("_w", lambda w, i: F.struct(
+    pairs = docs.select("key", words.alias("_w")).select("key", F.explode(F.transform("_w", lambda w, i: F.struct(
         F.coalesce(F.when(i > 1, F.get("_w", i - 2)), F.lit("")).alias("w1"),
-        F.coalesce(F.when(i > 0, F.get("_w", i - 1)), F.lit("")).alias("w2")))).alias("p")).select("p.*")
-    totals = written(pairs.join(edges.select(*pattern).distinct(), pattern).groupBy(*pattern).agg(
-        F.count(F.lit(1)).alias("total")), "totals")
+        F.coalesce(F.when(i > 0, F.get("_w", i - 1)), F.lit("")).alias("w2")))).alias("p")).select("key", "p.*")
+    # Rows with equal keys count once, as in the spans; counts are divided, so no text is shuffled for it.
+    repeats = written(docs.groupBy("key").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1"), "repeats")
+    uses = pairs.join(edges.select(*pattern).distinct(), pattern).groupBy("key", *pattern).agg(F.count(F.lit(1)).alias("_u"))
+    totals = written(uses.join(repeats, "key", "left").groupBy(*pattern).agg(
+        F.sum(F.expr("_u div coalesce(_m, 1)")).alias("total")), "totals")
     known = edges.filter("base is not null").select("found", F.col("base").alias("kind")).distinct().withColumn("score", F.lit(1.0))
     scores, before = known, (0, 0.0)
     while True:

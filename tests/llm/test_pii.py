@@ -82,6 +82,17 @@ def test_identifiers_in_groups(spark):
     assert text(301) == ["(12345"]
 
 
+def test_repeated_rows_discover_the_same(spark):
+    rows = context_rows()
+    rows = [(i, t, "clash") for i, t in rows + [(None, "here my phone is 030-9876543 so")]]
+    schema = "doc_id long, text string, base string"
+    one, three = (personal_data(spark.createDataFrame(r, schema)).collect() for r in (rows, rows * 2 + rows[:7] * 5 + rows))
+    want = {(r["doc_id"], r["text"]): spans(r["added"]) for r in one}
+    assert sum(map(bool, want.values())) == 7
+    assert len(three) == 3 * len(one) + 35
+    assert all(spans(r["added"]) == want[r["doc_id"], r["text"]] for r in three)
+
+
 def test_common_words_are_no_pattern(spark):
     rows = [(i, f"we speak of the +1 555 12345{i:02d} line") for i in range(10)]
     rows += [(100 + i, "out of the blue of the moon of the day") for i in range(20)] + [(200, "of the 1234567 ones")]
