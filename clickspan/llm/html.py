@@ -10,7 +10,9 @@ an edge weak. The blocks on the source side of a minimum cut are the main text.
 There are no labelled pages to learn from, so the classifier's weights are stated below as parameters.
 
 Cases: a null or empty page has empty text; text outside of any tag is a block; unclosed and stray tags are
-borne; a comment or script without end reaches to the end of the page; equal rows give equal results; a
+borne; a comment, script or style without end reaches to the end of the page, other left-out elements without
+end (title, select, svg and the like) to the next block tag; the weight of a form is off where it holds more
+than half of the page's text, so that a form around the whole page does no harm; equal rows give equal results; a
 null url or page_id is kept; an empty table gives no row.
 """
 
@@ -29,9 +31,6 @@ from pyspark.sql import functions as F
 
 from clickspan.llm.tables import table
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.I | re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -39,6 +38,16 @@ BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table "
     "tbody tfoot thead tr ul button caption".split())
+#: Comments; scripts and styles; what is left out up to its end tag, or without one up to the next block tag; tags.
+_NO_NAME = r"(?![a-z0-9:-])"
+_ATTRIBUTES = r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+"
+_LEFT_OUT = "noscript|template|textarea|title|svg|iframe|select"
+TAG = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<(script|style){_NO_NAME}[^>]*>.*?(?:</\1\s*>|\Z)"
+    rf"|<(svg){_NO_NAME}{_ATTRIBUTES}(?<=/)>"
+    rf"|<({_LEFT_OUT}){_NO_NAME}[^>]*>(?:[^<]++|<(?!/?\3{_NO_NAME}))*+</\3\s*>"
+    rf"|<({_LEFT_OUT}){_NO_NAME}[^>]*>(?:[^<]++|<(?!/\4\s*>|/?(?:{'|'.join(sorted(BLOCK))}){_NO_NAME}))*+(?:</\4\s*>)?"
+    rf"|<(/?)([a-z][a-z0-9:-]*)({_ATTRIBUTES})>|<[!?/][^>]*>", re.I | re.S)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SPACED = {"br", "td", "th", "img", "input"}
 SECTIONS = {"article", "main", "nav", "aside", "footer", "header", "form", "section", "div", "body", "dialog", "menu"}
@@ -70,7 +79,9 @@ class Element:
     tag: str
     container: int
     score: float = 0.0
-    form: float = 0.0
+    #: The innermost form since the article and of all, by number; 0 is none.
+    form: int = 0
+    within: int = 0
     article: bool = False
     hidden: bool = False
 
@@ -83,6 +94,8 @@ class Block:
     score: float
     links: int
     hidden: bool
+    form: int = 0
+    within: int = 0
     size: int = field(default=0)
 
 
@@ -113,16 +126,16 @@ def _named(element: Element, parent: Element, attributes: str) -> None:
         element.score += GOOD_NAME
 
 
-def _open(tag: str, attributes: str, parent: Element, fresh: int) -> Element:
-    element = Element(tag, fresh if tag in SECTIONS else parent.container, parent.score, parent.form, parent.article, parent.hidden)
+def _open(tag: str, attributes: str, parent: Element, fresh: int, form: int) -> Element:
+    element = Element(tag, fresh if tag in SECTIONS else parent.container, parent.score, parent.form, parent.within, parent.article, parent.hidden)
     if tag in ("article", "main"):
         if not parent.article:
             element.score += IN_ARTICLE
-        element.article, element.form = True, 0.0
+        element.article, element.form = True, 0
     elif tag in ("nav", "aside", "footer", "dialog", "menu") or tag == "header" and not parent.article:
         element.score += IN_SIDE
     elif tag in ("form", "fieldset"):
-        element.form = IN_FORM
+        element.form = element.within = form
     if attributes:
         _named(element, parent, attributes)
     return element
@@ -133,6 +146,7 @@ def blocks(page: str) -> list[Block]:
     root = Element("", 0)
     stack, found, pieces = [root], [], []
     fresh, links, linked, at, owner = 0, 0, 0, 0, root
+    outer = [0]  # of each form the one it stands in
 
     def text(piece: str) -> None:
         nonlocal links, owner
@@ -152,15 +166,15 @@ def blocks(page: str) -> list[Block]:
         whole = " ".join("".join(pieces).split())
         if whole:
             tag = next((e.tag for e in reversed(stack) if e.tag in BLOCK), "")
-            found.append(Block(whole, tag, owner.container, owner.score + owner.form, links, owner.hidden, len(whole)))
+            found.append(Block(whole, tag, owner.container, owner.score, links, owner.hidden, owner.form, owner.within, len(whole)))
         pieces, links = [], 0
 
     for match in TAG.finditer(page):
         text(page[at:match.start()])
         at = match.end()
-        tag = match[3]
+        tag = match[6]
         if not tag:
-            if match[1]:
+            if match[1] or match[2] or match[3] or match[4]:
                 pieces.append(" ")
             continue
         tag = tag.lower()
@@ -168,7 +182,7 @@ def blocks(page: str) -> list[Block]:
             close()
         elif tag in SPACED:
             pieces.append(" ")
-        if match[2]:
+        if match[5]:
             if tag == "a":
                 linked = max(0, linked - 1)
             for i in range(len(stack) - 1, 0, -1):
@@ -180,7 +194,7 @@ def blocks(page: str) -> list[Block]:
                     break
             continue
         if tag == "a":
-            linked += not match[4].endswith("/")
+            linked += not match[7].endswith("/")
         if tag in ENDS:
             closed, fence = ENDS[tag]
             for i in range(len(stack) - 1, 0, -1):
@@ -190,11 +204,21 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[i].tag in fence:
                     break
-        if tag not in VOID and not match[4].endswith("/"):
+        if tag not in VOID and not match[7].endswith("/"):
             fresh += 1
-            stack.append(_open(tag, match[4], stack[-1], fresh))
+            if tag in ("form", "fieldset"):
+                outer.append(stack[-1].within)
+            stack.append(_open(tag, match[7], stack[-1], fresh, len(outer) - 1))
     text(page[at:])
     close()
+    held = [0] * len(outer)
+    for block in found:
+        held[block.within] += 0 if block.hidden else block.size
+    for i in range(len(outer) - 1, 0, -1):
+        held[outer[i]] += held[i]
+    for block in found:
+        if block.form and 2 * held[block.form] <= held[0]:
+            block.score += IN_FORM
     return found
 
 

@@ -39,6 +39,32 @@ def test_odd_pages(page, blocks):
     assert main_blocks(page) == blocks
 
 
+@pytest.mark.parametrize("page, blocks", [
+    ('<svg class="i"/><article><p>All the text.</p></article>', ["All the text."]),
+    ('<svg d="a>b" /><article><p>All <svg-icon></svg-icon>the text.</p></article>', ["All the text."]),
+    ("<article><p>One.<svg><path/><foreignObject><div>no</div></foreignObject></svg></p><p>Two.</p></article>", ["One.", "Two."]),
+    ("<svg><path><article><p>All the text.</p><svg><text>no</text></svg></article>", ["All the text."]),
+    ("<title>Site<body><article><p>All the text.</p><svg><title>no</title></svg></article>", ["All the text."]),
+    ("<article><select><option>no<p>All the text.</p></article>", ["All the text."]),
+    ("<title>The &lt;p> and <p> tags</title><article><p>All the text.</p></article>", ["All the text."]),
+])
+def test_elements_without_end(page, blocks):
+    assert main_blocks(page) == blocks
+
+
+def test_form_around_the_page():
+    long = " ".join(["word"] * 500)
+    assert main_blocks(f"<body><form id=f><div><p>{long}</p></div></form></body>") == [long]
+    assert main_blocks(f"<body><form><div><fieldset><p>{long}</p></fieldset></div></form></body>") == [long]
+    some = "Leave your address here, and we will write to you once a week about all of this."
+    assert main_blocks(f"<body><div><p>{long}</p></div><form><p>{some}</p></form></body>") == [long]
+    assert main_blocks(f"<body><form><div><p>{long}</p></div><form><p>{some}</p></form></form></body>") == [long]
+
+
+def test_many_elements_without_end():
+    assert main_blocks("<svg>" * 20_000 + "<article><p>All the text." + "<select>" * 20_000) == ["All the text."]
+
+
 def test_minimum_cut_against_all_labellings():
     random.seed(2)
     for _ in range(60):
