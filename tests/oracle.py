@@ -43,7 +43,7 @@ def rows_of(columns: list[str], rows) -> list[tuple]:
 
 
 def kinds(schema) -> dict[str, str]:
-    names = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "date": "DATE",
+    names = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "date": "DATE",
              "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
     return {f.name: names.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in schema}
 
