@@ -52,16 +52,17 @@ def stretches(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
     return mix((sums[ends] - sums[starts]) * _power(base, len(values) + 1)[starts])
 
 
-def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], lower: bool = False, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in a row, and where each text begins (one more than texts).
 
-    Words are runs of bytes other than ASCII white space; ``lower`` maps A-Z to a-z first.
+    Words are runs of bytes that ``between`` (a flag for each byte value, set for the line feed) does not mark,
+    by default bytes other than ASCII white space; ``lower`` maps A-Z to a-z first.
     """
     data = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     begins = np.concatenate([[0], np.cumsum(lengths + 1)])
     space = np.ones(len(data) + 2, dtype=bool)
-    space[1:-1] = _SPACE[data]
+    space[1:-1] = between[data]
     edges = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = edges[::2], edges[1::2]
     hashes = stretches((_LOWER if lower else _BYTES)[data], starts, ends, _BYTE_BASE)

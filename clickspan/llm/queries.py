@@ -1,6 +1,8 @@
 """Registered queries of the operators for training text, with their DuckDB SQL where SQL can express them."""
 
-from clickspan.llm import chat, html, language, mixing, neardup, neighbours, packing, pii, quality, substring
+from clickspan.llm import (
+    chat, clusters, decontaminate, html, language, manifest, mixing, neardup, neighbours, packing, pii, quality, substring,
+)
 
 QUERIES = {f.__name__: f for f in [
     language.op1_family_svm,
@@ -13,6 +15,9 @@ QUERIES = {f.__name__: f for f in [
     chat.op8_chat_format,
     neardup.op9_hyperminhash,
     mixing.op10_mix_sources,
+    decontaminate.op11_winnowing,
+    manifest.op12_bitmap_rank,
+    clusters.op13_incremental_centroids,
 ]}
 
 ORACLES = {
@@ -21,4 +26,7 @@ ORACLES = {
     "op8_chat_format": chat.OP8_SQL,
     "op9_hyperminhash": neardup.OP9_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
+    "op11_winnowing": decontaminate.OP11_SQL,
+    "op12_bitmap_rank": manifest.OP12_SQL,
+    "op13_incremental_centroids": clusters.OP13_SQL,
 }

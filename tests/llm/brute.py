@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
+from hashlib import sha256
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -87,3 +89,71 @@ def entities(text: str | None) -> list[tuple[str, int, int]]:
 
 def shown(found: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in found)
+
+
+def contamination(texts: list[str | None], items: list[tuple[int | None, str | None]], width: int) -> list[tuple[int, int, list[str]]]:
+    """n_words, n_hit and named items of each text."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    owners = defaultdict(set)
+    for i, text in items:
+        w = split(text)
+        m = min(width, len(w))
+        for at in range(len(w) - m + 1 if m else 0):
+            owners[tuple(w[at:at + m])].add(i)
+    out = []
+    for text in texts:
+        w = split(text)
+        hit, named = set(), set()
+        for m in {len(x) for x in owners}:
+            for at in range(len(w) - m + 1):
+                if own := owners.get(tuple(w[at:at + m])):
+                    hit.update(range(at, at + m))
+                    named |= own
+        out.append((len(w), len(hit), sorted(str(i) for i in named if i is not None)))
+    return out
+
+
+def manifest(rows: list[tuple], fan: int = 16) -> list[tuple]:
+    """Sorted (doc_id, leaf, subroot, root, proof, root) of (doc_id, source, lang, n_chars, text)."""
+    digest = lambda *parts: sha256("".join(parts).encode()).hexdigest()
+    field = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+    def tree(nodes: list[str]) -> tuple[str, list[list[str]]]:
+        """The root, and for each node its siblings, level by level."""
+        proofs, places = [[] for _ in nodes], list(range(len(nodes)))
+        while len(nodes) > 1:
+            for i, p in enumerate(places):
+                first = p // fan * fan
+                proofs[i] += [x for j, x in enumerate(nodes[first:first + fan]) if first + j != p]
+                places[i] = p // fan
+            nodes = [digest(*nodes[i:i + fan]) for i in range(0, len(nodes), fan)]
+        return nodes[0], proofs
+
+    if not rows:
+        return []
+    groups = defaultdict(list)
+    for row in rows:
+        groups[b"" if row[1] is None else b"=" + row[1].encode()].append((row[0], digest(*map(field, row))))
+    for members in groups.values():
+        members.sort(key=lambda m: (m[0] is not None, m[0] or 0, m[1]))
+    trees = {g: tree([leaf for _, leaf in groups[g]]) for g in sorted(groups)}
+    root, above = tree([trees[g][0] for g in trees])
+    out = []
+    for (g, (subroot, proofs)), upper in zip(trees.items(), above):
+        for (doc_id, leaf), own in zip(groups[g], proofs):
+            out.append(("-" if doc_id is None else str(doc_id), leaf, subroot, root, digest(*own, *upper), root))
+    return sorted(out)
+
+
+def clusters(vectors: list[tuple[int, list[float]]], k: int, rounds: int, dims: int) -> tuple[list[tuple], list[list[int]]]:
+    """Sorted (vec_id, cluster, distance), and the centroids."""
+    kept = [(i, [math.floor(64 * x) for x in v]) for i, v in vectors]
+    centroids = [v for _, v in sorted((sha256(f"1:{i}".encode()).hexdigest(), v) for i, v in kept)][:k]
+    for r in range(rounds + 1):
+        far = [[sum((a - b) ** 2 for a, b in zip(v, c)) for c in centroids] for _, v in kept]
+        near = [f.index(min(f)) for f in far]
+        if r < rounds:
+            for c in range(len(centroids)):
+                own = [v for (_, v), n in zip(kept, near) if n == c]
+                centroids[c] = [sum(x) // len(own) for x in zip(*own)] if own else centroids[c]
+    return sorted((i, n, f[n]) for (i, _), n, f in zip(kept, near, far)), centroids

@@ -20,4 +20,4 @@ def test_oracle(spark, sf_dir, duck, name):
 def test_names():
     assert set(ORACLES) <= set(QUERIES)
     assert all(query.__name__ == name for name, query in QUERIES.items())
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
