@@ -99,6 +99,47 @@ def evaluate_alerts(events, spark, sf_dir):
     )
 
 
+@query("alert_minutes", EV + """
+SELECT app_id, date_trunc('minute', event_time) + INTERVAL 1 MINUTE AS minute, count(*) AS n,
+       count(*) FILTER (event_name = 'error') AS errors, round(coalesce(sum(revenue), 0), 4) AS revenue,
+       count(DISTINCT device_id) AS devices, count(DISTINCT user_id) FILTER (event_name = 'view') AS opened,
+       quantile_disc(value, 0.95) FILTER (event_name = 'click') AS p95_latency
+FROM ev GROUP BY 1, 2""")
+def alert_minutes(events, spark, sf_dir):
+    """Minute rows, with what their sketches say of a single minute."""
+    return alerts.minute_metrics(events, V).select(
+        "app_id", F.col("minute").cast("timestamp_ntz").alias("minute"), "n", "errors", F.round("revenue", 4).alias("revenue"),
+        F.hll_sketch_estimate("devices").alias("devices"), F.hll_sketch_estimate("opened").alias("opened"),
+        alerts.latency_quantile(F.col("latency"), 0.95).alias("p95_latency"))
+
+
+EVERY_METRIC = """SELECT concat_ws('/', app_id, metric_name, window_mins) AS id, app_id, metric_name, 'gt' AS condition,
+  0D AS threshold, window_mins, true AS active
+FROM (SELECT explode(array('app_0', 'app_1', 'app_2', 'app_9')) AS app_id)
+  LATERAL VIEW explode(array('event_count', 'event_rate', 'error_rate', 'error_fraction', 'active_users', 'revenue_total',
+    'p95_latency', 'p99_latency', 'dau', 'session_count', 'bounce_rate')) AS metric_name
+  LATERAL VIEW explode(array(60, 1440, 10080)) AS window_mins"""
+
+
+@query("alert_rule_values", EV + sessions_cte(1800) + METRICS + f""",
+sr AS (SELECT s.*, window_mins FROM summary s JOIN win ON started_at <= TIMESTAMP '{AS_OF}'
+        AND started_at >= TIMESTAMP '{AS_OF}' - to_minutes(window_mins)),
+sessions AS (SELECT app_id, window_mins, count(*) AS n, count(*) FILTER (event_count = 1) AS b FROM sr GROUP BY 1, 2),
+every AS (SELECT * FROM metrics UNION ALL SELECT app_id, window_mins, 'session_count', n FROM sessions
+  UNION ALL SELECT app_id, window_mins, 'bounce_rate', b / n FROM sessions),
+asked AS (SELECT app_id, metric, window_mins FROM (VALUES ('app_0'), ('app_1'), ('app_2'), ('app_9')) a(app_id), win,
+  (VALUES ('event_count'), ('event_rate'), ('error_rate'), ('error_fraction'), ('active_users'), ('revenue_total'),
+    ('p95_latency'), ('p99_latency'), ('dau'), ('session_count'), ('bounce_rate')) m(metric))
+SELECT app_id || '/' || metric || '/' || window_mins AS rule_id, round(coalesce(value, CASE WHEN metric IN ('event_count', 'event_rate', 'dau',
+  'active_users', 'session_count', 'revenue_total') THEN 0 END), 6) AS value
+FROM asked LEFT JOIN every USING (app_id, metric, window_mins)""")
+def alert_rule_values(events, spark, sf_dir):
+    """Every metric of every window, merged from minute rows."""
+    minutes = alerts.minute_metrics(events, V).unionByName(alerts.session_minutes(sessions.session_summaries(events)))
+    return alerts.rule_values(spark.sql(EVERY_METRIC), minutes, F.lit(AS_OF).cast("timestamp")).select(
+        "rule_id", F.round("value", 6).alias("value"))
+
+
 @query("last_fired", EV + FIRED + f"""
 , ids(id) AS (VALUES ('r1'), ('r2'), ('r3'), ('r4'), ('r5'), ('r6'), ('r7'), ('r8'), ('r9'), ('r10'))
 SELECT id, CASE WHEN id IN (SELECT rule_id FROM fired) THEN TIMESTAMP '{AS_OF}' END AS last_fired_at FROM ids""")

@@ -8,6 +8,8 @@ can only extend further, so nothing else has to be remembered.
 only the events that can matter to any state entering the chunk: for every step the earliest
 completion of the steps after it, and for every step the chain with the latest start. That is at
 most n * n events, whatever the chunk holds, and folding them gives the state of the full chunk.
+Condensing is associative: condensed chunks in a row, condensed again, stand for all of them. Over a span
+longer than the window it still gives every start that a later event can use.
 """
 
 from __future__ import annotations
@@ -44,31 +46,35 @@ def level(starts: Column) -> Column:
     return F.size(F.filter(starts, lambda s: s.isNotNull()))
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def completions(events: Column, n: Column, window: Column, entry: Column) -> Column:
+    """``(start, end)`` of the chains that end at the last step, with the latest possible start.
 
-
-def conversions(events: Column, n: Column, window: Column, entry: Column) -> Column:
-    """Fold that emits ``(start, end)`` at the last step and then begins again from nothing."""
+    Of chains with one start only the first to end is listed.
+    """
     empty = F.array().cast("array<struct<start: bigint, end: bigint>>")
 
     def step(state: Column, event: Column) -> Column:
-        def settle(starts: Column) -> Column:
-            begun = F.get(starts, n - 1)
-            done = F.struct(
-                no_progress(n).alias("starts"),
-                F.array_append(
-                    state["done"], F.struct(begun.alias("start"), event["t"].alias("end"))
-                ).alias("done"),
-            )
-            return F.when(begun.isNotNull(), done).otherwise(
-                F.struct(starts.alias("starts"), state["done"].alias("done"))
-            )
+        begun = F.get(state["starts"], n - 2)
+        known = F.get(state["done"], F.size(state["done"]) - 1)["start"]
+        ended = (event["step"] == n - 1) & (event["t"] <= begun + window) & ~begun.eqNullSafe(known)
+        return F.struct(
+            _advance(state["starts"], event, window).alias("starts"),
+            F.when(ended, F.array_append(state["done"], F.struct(begun.alias("start"), event["t"].alias("end"))))
+            .otherwise(state["done"]).alias("done"))
+
+    return F.aggregate(events, F.struct(entry.alias("starts"), empty.alias("done")), step, lambda s: s["done"])
 
-        return _let(_advance(state["starts"], event, window), settle)
 
-    return F.aggregate(events, F.struct(entry.alias("starts"), empty.alias("done")), step)
+def entries(items: Column, n: Column, window: Column, entry: Column) -> Column:
+    """State before each of ``items`` (at, events), as (at, entry)."""
+    visits = F.array().cast("array<struct<at: bigint, entry: array<bigint>>>")
+    return F.aggregate(
+        items,
+        F.struct(entry.alias("starts"), visits.alias("visits")),
+        lambda state, item: F.struct(
+            F.aggregate(item["events"], state["starts"], lambda s, e: _advance(s, e, window)).alias("starts"),
+            F.array_append(state["visits"], F.struct(item["at"].alias("at"), state["starts"].alias("entry"))).alias("visits")),
+        lambda state: state["visits"])
 
 
 def _chain(events: Column, steps: Column, first: Column, forward: bool) -> Column:
@@ -104,32 +110,3 @@ def condense(events: Column, n: Column) -> Column:
         lambda e: e.isNotNull() & (e["step"] >= 0) & (e["step"] < n),
     )
     return F.when(F.size(events) <= n * n, events).otherwise(F.sort_array(F.array_distinct(needed)))
-
-
-def completions(events: Column, n: Column) -> Column:
-    """Entry j: the first event that completes the chain for a state that has j steps done."""
-    return F.transform(
-        F.sequence(F.lit(-1), n - 2),
-        lambda j: F.element_at(_forward(events, n, j), -1),
-    )
-
-
-def exits(events: Column, n: Column, window: Column, ends: Column) -> Column:
-    """Entry j: state at the end of the chunk when its first conversion is ``ends[j]``."""
-    return F.transform(
-        ends,
-        lambda end: conversions(
-            F.filter(events, lambda e: e > end), n, window, no_progress(n)
-        )["starts"],
-    )
-
-
-def pass_chunk(starts: Column, chunk: Column, n: Column, window: Column) -> Column:
-    """State after a chunk, from its condensed events and, for a large one, its completions."""
-    def candidate(end: Column, j: Column) -> Column:
-        possible = end.isNotNull() & ((j == 0) | (end["t"] <= F.get(starts, j - 1) + window))
-        return F.when(possible, F.struct(end.alias("end"), j.alias("j")))
-
-    first = F.array_min(F.transform(chunk["ends"], candidate))
-    plain = conversions(chunk["events"], n, window, starts)["starts"]
-    return F.coalesce(_let(first, lambda f: F.get(chunk["exits"], f["j"])), plain)

@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickspan.functions import sequences as seq
+from clickspan.functions.greedy import greedy
 from clickspan.functions.stats import safe_ratio
 from clickspan.functions.text import not_blank
 from clickspan.functions.time import seconds, timestamp
 
 USER = ["app_id", "user_id"]
 MIN_STEPS, MAX_STEPS = 2, 10
+#: Chunks of a block.
+CHUNKS = 1024
 
 
 def check_steps(steps: Sequence[str]) -> list[str]:
@@ -158,41 +161,39 @@ def funnel_conversions(
 ) -> DataFrame:
     """One row per conversion for every definition; progress starts over after a conversion.
 
-    Whether an event still belongs to an open chain depends on everything before it. Each (user,
-    chunk) is first summarised, the summaries of a user are chained to get the state entering each
-    chunk, and the chunks then emit their conversions independently.
+    1. Every (user, chunk) is condensed, chunks are condensed to blocks, and the state that enters a block, and
+       then a chunk, is folded from what lies before it. A row holds the chunks of one block, or the blocks of a
+       user, whose number depends on the calendar alone.
+    2. Chunks list the chains that end in them with the latest start. Conversions are the greedy selection among
+       these: the first to end, then the first to end of those that start after it.
     """
     n, window = F.col("n"), F.col("window")
     keys = [*FUNNEL_USER, "n", "window"]
     steps = _definition_events(events, definitions, F.unix_millis(time_col), 1000)
     lists = _chunk_lists(steps, FUNNEL_USER, 300_000)
 
-    large = F.size("events") > n * n
-    ends = F.when(large, seq.completions(F.col("events"), n))
-    summary = (
-        lists.withColumn("ends", ends)
-        .withColumn("exits", F.when(large, seq.exits(F.col("events"), n, window, F.col("ends"))))
-        .withColumn("events", seq.condense(F.col("events"), n))
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct("chunk", "events", "ends", "exits"))).alias("chunks"))
+    blocks = (
+        lists.withColumn("events", seq.condense(F.col("events"), n))
+        .groupBy(*keys, F.floor(F.col("chunk") / CHUNKS).cast("bigint").alias("block"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.col("chunk").alias("at"), "events"))).alias("chunks"))
     )
-    visits = F.array().cast("array<struct<chunk: bigint, entry: array<bigint>>>")
-    walked = F.aggregate(
-        "chunks",
-        F.struct(seq.no_progress(n).alias("starts"), visits.alias("visits")),
-        lambda state, chunk: F.struct(
-            seq.pass_chunk(state["starts"], chunk, n, window).alias("starts"),
-            F.array_append(
-                state["visits"], F.struct(chunk["chunk"].alias("chunk"), state["starts"].alias("entry"))
-            ).alias("visits"),
-        ),
-        lambda state: state["visits"],
+    summaries = blocks.select(*keys, "block", seq.condense(F.flatten("chunks.events"), n).alias("events"))
+    of_blocks = (
+        summaries.groupBy(*keys)
+        .agg(F.sort_array(F.collect_list(F.struct(F.col("block").alias("at"), "events"))).alias("blocks"))
+        .select(*keys, F.inline(seq.entries(F.col("blocks"), n, window, seq.no_progress(n))))
+        .withColumnRenamed("at", "block")
     )
-    entries = summary.select(*keys, F.inline(walked))
-    found = lists.join(entries, [*keys, "chunk"]).select(
-        *FUNNEL_USER, "n",
-        F.inline(seq.conversions(F.col("events"), n, window, F.col("entry"))["done"]),
+    of_chunks = (
+        blocks.join(of_blocks, [*keys, "block"])
+        .select(*keys, F.inline(seq.entries(F.col("chunks"), n, window, F.col("entry"))))
+        .withColumnRenamed("at", "chunk")
     )
+    chains = lists.join(of_chunks, [*keys, "chunk"]).select(
+        *FUNNEL_USER, "n", F.inline(seq.completions(F.col("events"), n, window, F.col("entry"))))
+    found = greedy(
+        chains.withColumn("start", F.col("start") - 1), [*FUNNEL_USER, "n"], "end", "start", 3_600_000,
+    ).withColumn("start", F.col("start") + 1)
     return found.select(
         *FUNNEL_USER,
         F.col("n").alias("steps_complete"), F.col("n").alias("total_steps"),

@@ -1,17 +1,15 @@
-"""Live counters, rollup upkeep, alerts and campaign notifications."""
+"""Live counters, rollup upkeep and campaign notifications."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from clickspan.operators.alerts import ZERO_WHEN_EMPTY, breached
 from clickspan.operators.campaigns import delivery_outbox, match_campaigns
 from clickspan.plans.rollups import ROLLUPS
-from clickspan.sources.events import path_exists
 from clickspan.streaming.base import DELAY, checkpoint_location, with_watermark
 from clickspan.streaming.ordered import OrderedProcessor
 from clickspan.vocabulary import DEFAULT_VOCABULARY, Vocabulary
@@ -83,100 +81,6 @@ def compact_rollup(spark: SparkSession, name: str, path: str, target: str) -> No
     ).partitionBy("batch_id").parquet(f"{target}/{name}")
 
 
-def minute_metrics(
-    events: DataFrame, vocabulary: Vocabulary = DEFAULT_VOCABULARY, delay: str = DELAY
-) -> DataFrame:
-    """Per app and minute: mergeable counts that every longer alert window is built from."""
-    money = F.when(vocabulary.is_purchase(), vocabulary.revenue()).otherwise(F.lit(0.0))
-    source = with_watermark(events, delay=delay) if events.isStreaming else events
-    return source.groupBy("app_id", F.window("event_time", "1 minute")).agg(
-        F.count("*").alias("n"), F.count_if(vocabulary.is_error()).alias("errors"),
-        F.sum(money).alias("revenue"), F.hll_sketch_agg("device_id", F.lit(14)).alias("devices"),
-    ).select("app_id", F.col("window.end").alias("minute"), "n", "errors", "revenue", "devices")
-
-
-def rule_values(rules: DataFrame, minutes: DataFrame, as_of: Column) -> DataFrame:
-    """Value of each active rule's metric over its own window, from minute rows."""
-    age = F.unix_seconds(as_of) - F.unix_seconds("minute")
-    recent = minutes.filter(age >= 0).withColumn("_age", age).withColumnRenamed("app_id", "_app")
-    in_window = (F.col("app_id") == F.col("_app")) & (
-        F.col("_age") < F.col("window_mins").cast("bigint") * 60
-    )
-    rule = ["rule_id", "app_id", "metric_name", "condition", "threshold", "window_mins"]
-    merged = (
-        rules.filter("active").withColumnRenamed("id", "rule_id").select(*rule)
-        .join(recent, in_window, "left").groupBy(*rule)
-        .agg(
-            F.sum("n").alias("n"), F.sum("errors").alias("errors"), F.sum("revenue").alias("revenue"),
-            F.hll_sketch_estimate(F.hll_union_agg("devices")).alias("devices"),
-        )
-    )
-    n, metric = F.col("n"), F.col("metric_name")
-    value = (
-        F.when(metric == "event_count", n.cast("double"))
-        .when(metric == "event_rate", n / F.col("window_mins"))
-        .when(metric == "error_rate", 100.0 * F.col("errors") / n)
-        .when(metric == "error_fraction", F.col("errors") / n)
-        .when(metric == "active_users", F.col("devices").cast("double"))
-        .when(metric == "revenue_total", F.col("revenue"))
-    )
-    zero = F.when(metric.isin(*ZERO_WHEN_EMPTY) & n.isNull(), F.lit(0.0))
-    return merged.select(*rule, F.coalesce(value, zero).alias("value"))
-
-
-def alert_stream(
-    events: DataFrame,
-    rules: Callable[[], DataFrame],
-    path: str,
-    cooldown_s: int = 1800,
-    vocabulary: Vocabulary = DEFAULT_VOCABULARY,
-    delay: str = DELAY,
-    trigger: str = "1 minute",
-    checkpoint: str | None = None,
-    available_now: bool = False,
-) -> DataStreamWriter:
-    """Evaluate the active rules whenever minutes close and record the alerts to send.
-
-    The stream keeps one row per app and minute. A window of any length is merged from those rows,
-    so an event is counted once and not once per sliding window. All writes are keyed by batch id,
-    so a repeated batch replaces its own rows.
-    """
-    def update(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.persist()
-        try:
-            latest = batch.agg(F.max(F.unix_micros("minute"))).first()[0]
-            if latest is None:
-                return
-            write_partials(batch, batch_id, f"{path}/minutes")
-        finally:
-            batch.unpersist()
-        as_of = F.timestamp_micros(F.lit(latest))
-        current = rules()
-        longest = current.agg(F.max("window_mins")).first()[0] or 0
-        recent = spark.read.parquet(f"{path}/minutes").drop("batch_id").filter(
-            F.col("minute") > F.timestamp_micros(F.lit(latest - longest * 60_000_000))
-        )
-        values = rule_values(current, recent, as_of)
-        fired = values.filter(
-            breached(F.col("value"), F.col("condition"), F.col("threshold"))
-        ).withColumn("fired_at", as_of)
-        if path_exists(spark, f"{path}/sent"):
-            waiting = spark.read.parquet(f"{path}/sent").filter(
-                (F.col("batch_id") < batch_id)
-                & (F.unix_seconds("fired_at") > F.unix_seconds(as_of) - cooldown_s)
-            ).select("rule_id")
-            fired = fired.join(waiting, "rule_id", "left_anti")
-        write_partials(fired, batch_id, f"{path}/sent")
-
-    location = checkpoint_location(events.sparkSession, "alerts", checkpoint)
-    writer = (
-        minute_metrics(events, vocabulary, delay).writeStream.outputMode("append")
-        .option("checkpointLocation", location).foreachBatch(update)
-    )
-    return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger)
-
-
 class CooldownProcessor(OrderedProcessor):
     """Lets a row through when the last one sent is at least its cooldown ago (whole seconds)."""
 

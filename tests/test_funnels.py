@@ -81,6 +81,21 @@ def test_conversions_dense(spark, seed):
     assert rows(got, "funnel_id", "user_id", "duration_ms") == sorted(want, key=repr)
 
 
+def test_conversions_of_a_user_with_many_chunks(spark):
+    """Chains that cross chunks and blocks; no row holds all chunks of the user."""
+    rng = random.Random(9)
+    window = 3 * 86_400
+    definitions = spark.createDataFrame(
+        [("f", "a", "f", ["x0", "x1", "x2"], window)],
+        "funnel_id string, app_id string, name string, steps array<string>, window_seconds bigint")
+    points = [(t * 1000, s) for t in range(0, 40 * 86_400, 1800) for s in [rng.choice([0, 0, 1, 1, 1, 2, 3, 3])] if s < 3]
+    want = [("u", end - start) for start, end in fold(points, 3, window * 1000, reset=True)]
+    made = events(spark, [event(f"x{s}", at(seconds=t / 1000)) for t, s in points])
+    got = funnels.funnel_conversions(made, definitions)
+    assert rows(got, "user_id", "duration_ms") == sorted(want, key=repr)
+    assert len(want) > 50
+
+
 def test_edges(spark):
     steps = ["a", "b", "c"]
     made = [

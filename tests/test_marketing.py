@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from clickspan.functions.scans import Running, in_chunks, running
 from clickspan.functions.stats import two_sided_p
 from clickspan.functions.text import PropertyFilter
+from clickspan.functions.greedy import greedy
 from clickspan.operators import alerts, attribution, campaigns, experiments, users
 from clickspan.schema import CAMPAIGNS, DELIVERIES
 from clickspan.vocabulary import Vocabulary
@@ -187,6 +188,59 @@ def test_cooldown(spark):
     assert [r["n"] for r in alerts.apply_cooldown(fired).orderBy("n").collect()] == [0, 3, 5]
 
 
+def greedy_fold(made):
+    """Sent rows of (key, second, wait) in order: each against the last one sent."""
+    sent, last = [], {}
+    for key, second, wait in made:
+        if key not in last or second - last[key] >= wait:
+            sent.append((key, second, wait))
+            last[key] = second
+    return sent
+
+
+def test_cooldown_of_mixed_waits(spark):
+    made = [("r", at(seconds=s), w) for s, w in ((100, 1800), (110, 60), (115, 0), (2000, 1800))]
+    fired = spark.createDataFrame(made, "rule_id string, fired_at timestamp, w int")
+    assert rows(alerts.apply_cooldown(fired, F.col("w")), "w") == [(0,), (1800,), (1800,)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mixed_waits_against_fold(spark, seed):
+    rng = random.Random(seed)
+    made = []
+    for k in [None, "", "a", "b"]:
+        span = rng.choice([300, 90_000, 400_000])
+        # Seconds are distinct: inside a second the order of rows is another test's matter.
+        made += [(k, t, rng.choice([0, 1, 60, 1800, 100_000])) for t in sorted(rng.sample(range(-span, span), rng.choice([3, 250])))]
+    fired = spark.createDataFrame([(k, at(seconds=t), w) for k, t, w in made], "rule_id string, fired_at timestamp, w int")
+    base = int(at().timestamp())
+    got = alerts.apply_cooldown(fired, F.col("w")).select("rule_id", F.unix_seconds("fired_at") - base, "w")
+    assert rows(got) == sorted(greedy_fold(made), key=repr)
+
+
+def test_a_hot_key_is_spread_over_its_days(spark):
+    """No task of the selection reads more than the blocks that are dealt to it."""
+    made = spark.range(40 * 144).select(F.lit("hot").alias("k"), (F.col("id") * 600).alias("p")).withColumn("f", F.col("p") - 1800)
+    dealt = made.select("k", F.floor(F.col("p") / 86_400).alias("b")).repartition(8, "k", "b")
+    assert dealt.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    kept = greedy(made, ["k"], "p", "f", 86_400)
+    assert [r["p"] for r in kept.orderBy("p").collect()] == list(range(0, 40 * 86_400, 1800))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_greedy_selection_against_fold(seed, spark):
+    rng = random.Random(seed)
+    made = [(k, p, p - rng.choice([0, 1, 5, 40, 300])) for k in "abc" for p in sorted(rng.sample(range(-500, 1500), rng.choice([1, 30, 600])))]
+    frame = spark.createDataFrame(made, "k string, p bigint, f bigint")
+    want, last = [], {}
+    for k, p, f in made:
+        if k not in last or min(f, p - 1) >= last[k]:
+            want.append((k, p, last.get(k)))
+            last[k] = p
+    for length in (1, 7, 100, 10_000):
+        assert rows(greedy(frame, ["k"], "p", "f", length).select("k", "p", "_before")) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_cooldown_against_fold(spark, seed):
     rng = random.Random(seed)
@@ -206,9 +260,10 @@ def test_cooldown_against_fold(spark, seed):
 
 
 def test_no_cooldown_sends_everything(spark):
+    """Rows without a wait all go, and count as sent for the rows that have one."""
     fired = spark.createDataFrame([("r", at(), w) for w in (0, 0, 60, 60)], "rule_id string, fired_at timestamp, w int")
     got = alerts.apply_cooldown(fired, F.col("w"), ("rule_id",))
-    assert rows(got, "w") == [(0,), (0,), (60,)]
+    assert rows(got, "w") == [(0,), (0,)]
 
 
 def test_campaigns(spark):

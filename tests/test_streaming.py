@@ -16,7 +16,7 @@ from clickspan.sources.testdata import load_events, raw_envelopes
 from clickspan.sources.topics import read_raw_stream
 from clickspan.streaming import funnels as funnel_streams
 from clickspan.streaming import ingest as ingest_streams
-from clickspan.streaming import live
+from clickspan.streaming import alerts, live
 from clickspan.streaming import sessions as session_streams
 from tests.helpers import rows
 
@@ -169,24 +169,76 @@ def test_realtime_stream(spark, batch, tmp_path):
     assert rows(got) == rows(want.select("app_id", "window.start", "n", "u"))
 
 
-def test_alert_stream(spark, batch, tmp_path):
-    stream = as_stream(spark, batch, str(tmp_path / "in"), 4)
-    table = spark.sql("""SELECT 'r1' AS id, 'app_0' AS app_id, 'event_count' AS metric_name, 'gt' AS condition,
-      CAST(0 AS DOUBLE) AS threshold, 100000 AS window_mins, true AS active
-      UNION ALL SELECT 'r2', 'app_0', 'error_rate', '>', 100D, 100000, true
-      UNION ALL SELECT 'r3', 'app_1', 'event_count', 'gt', 0D, 100000, false""")
-    query = live.alert_stream(
-        stream, lambda: table, str(tmp_path / "alerts"), cooldown_s=10, vocabulary=V,
-        checkpoint=str(tmp_path / "cp"), available_now=True,
-    ).start()
+RULE = "id string, app_id string, metric_name string, condition string, threshold double, window_mins int, active boolean"
+
+
+def drained(query):
     query.awaitTermination(600)
     assert query.exception() is None
-    sent = spark.read.parquet(str(tmp_path / "alerts" / "sent"))
-    assert {r[0] for r in sent.select("rule_id").collect()} == {"r1"}
-    minutes = spark.read.parquet(str(tmp_path / "alerts" / "minutes"))
-    assert minutes.agg(F.sum("n")).first()[0] == batch.count()
-    last = sent.orderBy(F.desc("fired_at")).first()
-    assert last["value"] == batch.filter("app_id = 'app_0'").count()
+
+
+def ticks(spark, path, seconds):
+    """A clock that tells one time a batch."""
+    for i, second in enumerate(seconds):
+        spark.createDataFrame([(dt.datetime.fromtimestamp(second, dt.UTC),)], "timestamp timestamp").coalesce(1).write.mode("append").parquet(f"{path}/{i:04d}")
+    return spark.readStream.schema("timestamp timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+
+
+def minute_events(spark, base, minutes):
+    made = [(m, i) for m, n in minutes.items() for i in range(n)]
+    return spark.createDataFrame(
+        [("a", f"e{m}_{i}", f"u{i}", f"d{i}", "view", dt.datetime.fromtimestamp(base + 60 * m + i, dt.UTC), {}, None) for m, i in made],
+        "app_id string, event_id string, user_id string, device_id string, event_name string, event_time timestamp, props map<string,string>, revenue double")
+
+
+def test_alerts_see_silence_and_catch_up(spark, tmp_path):
+    base = 1_717_200_000
+    minutes = {0: 3, 1: 5, 2: 1, 6: 2}
+    path = str(tmp_path / "alerts")
+    stream = as_stream(spark, minute_events(spark, base, minutes), str(tmp_path / "in"), 3)
+    drained(alerts.minute_stream(stream, path, vocabulary=V, checkpoint=str(tmp_path / "m"), available_now=True).start())
+    made = [("few", "a", "event_count", "lt", 2.0, 1, True), ("none", "a", "event_count", "eq", 0.0, 2, True), ("gone", "b", "active_users", "eq", 0.0, 1, True),
+            ("many", "a", "event_count", ">=", 5.0, 2, True), ("ratio", "a", "error_rate", "gte", 0.0, 1, True), ("off", "a", "event_count", "lt", 9.0, 1, False)]
+    table = spark.createDataFrame(made, RULE)
+    # The clock starts at minute 1, tells one time twice, and then misses five minutes. Nothing happens after minute 7.
+    clock = ticks(spark, str(tmp_path / "clock"), [base + 60 * m + 60 + s for m, s in ((1, 5), (2, 0), (2, 30), (7, 59), (8, 1), (10, 0))])
+    drained(alerts.alert_stream(clock, lambda: table, path, cooldown_s=0, checkpoint=str(tmp_path / "c"), available_now=True).start())
+    fired = {(r["rule_id"], int(r["fired_at"].timestamp() - base) // 60) for r in spark.read.parquet(f"{path}/sent").collect()}
+    count = lambda m, w: sum(minutes.get(x, 0) for x in range(m - w, m))
+    want = {("few", m) for m in range(1, 11) if count(m, 1) < 2} | {("none", m) for m in range(1, 11) if count(m, 2) == 0}
+    want |= {("gone", m) for m in range(1, 11)} | {("many", m) for m in range(1, 11) if count(m, 2) >= 5} | {("ratio", m) for m in range(1, 11) if count(m, 1)}
+    assert fired == want
+
+    # With a cooldown, over another clock: one alert in three minutes, across batches.
+    clock = ticks(spark, str(tmp_path / "clock2"), [base + 60 * m + 60 for m in (1, 2, 3, 10)])
+    again = str(tmp_path / "again")
+    drained(alerts.minute_stream(as_stream(spark, minute_events(spark, base, minutes), str(tmp_path / "in2"), 2), again, vocabulary=V, checkpoint=str(tmp_path / "m2"), available_now=True).start())
+    drained(alerts.alert_stream(clock, lambda: table, again, cooldown_s=180, checkpoint=str(tmp_path / "c2"), available_now=True).start())
+    sent = sorted(int(r["fired_at"].timestamp() - base) // 60 for r in spark.read.parquet(f"{again}/sent").filter("rule_id = 'gone'").collect())
+    assert sent == [1, 4, 7, 10]
+
+
+def test_alert_stream_knows_every_metric(spark, batch, tmp_path):
+    from clickspan.operators.alerts import alert_metrics
+    from clickspan.operators.sessions import session_summaries
+
+    path, steps = str(tmp_path / "alerts"), ["signup", "click", "purchase"]
+    as_of = int(dt.datetime(2024, 1, 15, 12, tzinfo=dt.UTC).timestamp())
+    moment = "2024-01-15 12:00:00"
+    summaries = session_summaries(batch).select("app_id", "started_at", "event_count")
+    drained(alerts.minute_stream(as_stream(spark, batch, str(tmp_path / "e"), 3), path, vocabulary=V, checkpoint=str(tmp_path / "m"), available_now=True).start())
+    summaries.repartition(2).write.parquet(str(tmp_path / "s"))
+    ended = spark.readStream.schema(summaries.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "s"))
+    drained(alerts.minute_stream(ended, path, "sessions", checkpoint=str(tmp_path / "n"), available_now=True).start())
+    want = {(r["metric"], r["app_id"]): r["value"] for r in alert_metrics(batch, [10080], moment, V, session_summaries(batch), steps).collect()}
+    names = sorted({m for m, _ in want})
+    assert len(names) == 12
+    table = spark.createDataFrame([(f"{m}/{a}", a, m, "gte", -1.0, 10080, True) for m in names for a in ("app_0", "app_1", "app_2")], RULE)
+    clock = ticks(spark, str(tmp_path / "clock"), [as_of + 60])
+    drained(alerts.alert_stream(clock, lambda: table, path, events=lambda: batch, funnel_steps=steps, checkpoint=str(tmp_path / "c"), available_now=True).start())
+    got = {(r["metric_name"], r["app_id"]): r["value"] for r in spark.read.parquet(f"{path}/sent").collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in want), [(k, got[k], want[k]) for k in want if abs(got[k] - want[k]) >= 1e-6]
 
 
 def test_rejected_and_late_rows_have_sinks(spark, tmp_path):
