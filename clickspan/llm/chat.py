@@ -35,6 +35,7 @@ from clickspan.llm.tables import table
 
 START, END = "<|im_start|>", "<|im_end|>"
 PART = "struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
+PART_FIELDS = [field.split(":") for field in PART[7:-1].split(",")]
 #: Side of an image patch in pixels, tokens per second of audio, tokens per page.
 PATCH, PER_SECOND, PER_PAGE = 28, 25, 256
 
@@ -87,12 +88,12 @@ def format_turns(turns: DataFrame) -> DataFrame:
     """
     if "parts" in turns.columns:
         parts = F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>"))
-        content = F.array_join(F.transform(parts, _flat), "\n")
-        others = F.filter(parts, lambda p: p["kind"].isin("image", "audio", "document"))
-        attachments = F.transform(others, _attached)
     else:
-        content = escaped(F.coalesce(F.col("text"), F.lit("")))
-        attachments = F.array().cast("array<struct<place:int,kind:string,ref:string,tokens:bigint>>")
+        # A text is a message of one text part.
+        of_text = {"kind": F.lit("text"), "text": F.col("text")}
+        parts = F.array(F.struct(*[of_text.get(name, F.lit(None).cast(kind)).alias(name) for name, kind in PART_FIELDS]))
+    content = F.array_join(F.transform(parts, _flat), "\n")
+    attachments = F.transform(F.filter(parts, lambda p: p["kind"].isin("image", "audio", "document")), _attached)
     return (
         turns.select("conv_id", "turn", F.col("role"), content.alias("content"), attachments.alias("attachments"))
         .withColumn("_head", F.concat(F.lit(START), _role(F.col("role")), F.lit("\n")))

@@ -82,8 +82,7 @@ def walk(one: np.ndarray, two: np.ndarray, held: np.ndarray, wanted: int) -> Ite
             heapq.heappush(heap, (one[first[i + 1]] + two[b], i + 1, 0))
 
 
-def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, share: float = 0.65, least: int = 4096,
-               sample: int = 20_000) -> DataFrame:
+def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, share: float = 0.65, sample: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row of ``vectors`` that ``is_query`` holds for."""
     rows = usable(vectors)
     by_vector = W.partitionBy("vector").orderBy("vec_id")
@@ -117,7 +116,7 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, share: float =
     for c1, c2, n in placed.groupBy("c1", "c2").count().collect():
         held[c1, c2] = n
     blocks = np.ceil(held.sum(axis=1) / ENTRY_BLOCK).astype(np.int64)
-    wanted = max(least, int(np.ceil(share * total)))
+    wanted = max(k + 1, int(np.ceil(share * total)))
 
     asked = rows.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vector").alias("vector"))
     asked = written(asked, "asked")

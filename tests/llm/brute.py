@@ -46,7 +46,7 @@ def shingles(text: str | None) -> frozenset:
     return frozenset(zip(*[w[i:] for i in range(5)])) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def near(docs: dict[int, str | None]) -> dict[int, tuple[int, int]]:
+def near(docs: dict[int, str | None], percent: int = 85) -> dict[int, tuple[int, int]]:
     """n_shingles and component of each document."""
     sets = {d: shingles(t) for d, t in docs.items()}
     parent = {d: d for d in docs}
@@ -62,7 +62,7 @@ def near(docs: dict[int, str | None]) -> dict[int, tuple[int, int]]:
             where[x].append(d)
     shared = Counter((a, b) for ds in where.values() for a in ds for b in ds if a < b)
     for (a, b), n in shared.items():
-        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
     return {d: (len(sets[d]), find(d)) for d in docs}

@@ -44,7 +44,7 @@ def test_quality(stages):
 
 def test_near_duplicates(stages):
     before, after = rows(stages["quality"]), rows(stages["near_duplicates"])
-    want = brute.near({d: r["text"] for d, r in before.items()})
+    want = brute.near({d: r["text"] for d, r in before.items()}, 80)
     assert set(after) == {d for d, (_, c) in want.items() if d == c}
 
 
