@@ -73,6 +73,47 @@ def test_session_stream(spark, batch, tmp_path, files):
     assert rows(starts, "session_id") == rows(want, "session_id")
 
 
+def shuffled(spark, path, made, files):
+    """Events of one device as (second, screen), dealt to files in the given order."""
+    for i, part in enumerate(files):
+        spark.createDataFrame(
+            [("a", f"e{second}", user, "d", "view", dt.datetime.fromtimestamp(1_717_200_000 + second, dt.UTC), {"screen_name": screen})
+             for second, user, screen in (made[x] for x in part)],
+            "app_id string, event_id string, user_id string, device_id string, event_name string, event_time timestamp, props map<string,string>",
+        ).coalesce(1).write.mode("append").parquet(f"{path}/{i:03d}")
+    schema = "app_id string, event_id string, user_id string, device_id string, event_name string, event_time timestamp, props map<string,string>"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+
+
+def test_session_starts_come_at_once_and_are_corrected(spark, tmp_path):
+    made = [(0, "", "s0"), (100, "u", "s1"), (1700, "", "s2"), (900, "", "s3"), (5000, "v", "s4"), (-50, "w", "s5"), (22_000, "x", "")]
+    # 0 and 1700 are two sessions until 900 comes; then -50 begins the session earlier; 22000 moves the watermark on.
+    stream = shuffled(spark, str(tmp_path / "in"), made, [[0, 1], [2, 4], [3], [5], [6], [6]])
+    seen = []
+    query = session_streams.sessionize_stream(stream, 900, "4 hours", V).writeStream.foreachBatch(
+        lambda batch, i: seen.extend((i, r.asDict()) for r in batch.collect())
+    ).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(600)
+    assert query.exception() is None
+    name = lambda second: f"a-d-{(1_717_200_000 + second) * 1000}"
+    starts = [(i, r["session_id"], r["replaces"]) for i, r in seen if r["type"] == "session_start"]
+    assert starts[:5] == [(0, name(0), ""), (1, name(1700), ""), (1, name(5000), ""), (2, name(0), name(1700)), (3, name(-50), name(0))]
+    ends = {r["session_id"]: r for i, r in seen if r["type"] == "session_end"}
+    assert set(ends) == {name(-50), name(5000)}
+    whole = ends[name(-50)]
+    assert (whole["event_count"], whole["user_id"], whole["entry_screen"], whole["exit_screen"], whole["duration_s"]) == (5, "w", "s5", "s2", 1750)
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_rows_get_the_ids_of_the_batch(spark, batch, tmp_path, files):
+    from clickspan.plans.ingest import with_session_ids
+
+    stream = as_stream(spark, batch, str(tmp_path / "in"), files)
+    out = drain(session_streams.session_rows_stream(stream, "6 hours", vocabulary=V), f"rows{files}", tmp_path)
+    want = with_session_ids(batch, "6 hours")
+    assert rows(out.filter("device_id <> 'closing'").select(*want.columns)) == rows(want)
+
+
 def test_session_window_stream(spark, batch, tmp_path):
     stream = as_stream(spark, batch, str(tmp_path / "in"), 3)
     out = drain(session_streams.session_summaries_stream(stream, "6 hours", vocabulary=V), "sw", tmp_path)
