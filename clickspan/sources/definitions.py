@@ -20,7 +20,7 @@ def load_definitions(
 ) -> DataFrame:
     """Read one kind of definition from parquet or over JDBC.
 
-    Streams call this once per micro-batch, so edits take effect with the next batch.
+    Alert streams call this at every tick; funnel and campaign streams follow ``definition_changes``.
     """
     if kind not in DEFINITIONS:
         raise ValueError(f"kind must be one of {sorted(DEFINITIONS)}")
@@ -33,3 +33,11 @@ def load_definitions(
     if active_only and "active" in table.columns:
         table = table.filter(F.col("active"))
     return table
+
+
+def definition_changes(spark: SparkSession, kind: str, path: str, max_files_per_trigger: int = 100) -> DataFrame:
+    """A stream of definition versions: the columns of the kind and ``valid_from``, the time they hold from."""
+    if kind not in DEFINITIONS:
+        raise ValueError(f"kind must be one of {sorted(DEFINITIONS)}")
+    return spark.readStream.schema(f"{DEFINITIONS[kind]}, valid_from timestamp").option(
+        "maxFilesPerTrigger", max_files_per_trigger).parquet(f"{path}/{kind}")

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from clickspan.operators.campaigns import delivery_outbox, match_campaigns
+from clickspan.operators.campaigns import DEFAULT_COOLDOWN_S, delivery_outbox, match_campaigns
 from clickspan.plans.rollups import ROLLUPS
 from clickspan.streaming.base import DELAY, checkpoint_location, with_watermark
+from clickspan.streaming.controlled import ControlledProcessor, controlled
 from clickspan.streaming.ordered import OrderedProcessor
 from clickspan.vocabulary import DEFAULT_VOCABULARY, Vocabulary
 
@@ -107,10 +108,53 @@ class CooldownProcessor(OrderedProcessor):
         return state, out
 
 
+class LiveCampaignProcessor(ControlledProcessor):
+    """Notifications of the campaigns in effect at each trigger; an edit keeps the last sent moment."""
+
+    progress_schema = "last bigint, wait bigint"
+
+    def consume(self, key, versions, rows):
+        out = []
+        for t, user, name, segments in sorted(rows):
+            for campaign, found in sorted(versions.items()):
+                body = (self.at(found, t) or (0, {"active": False}))[1]
+                if not body.get("active", True) or body["trigger_conf"].get("topic") != name:
+                    continue
+                if body.get("segment_id") and body["segment_id"] not in segments:
+                    continue
+                wait, own = body.get("cooldown_seconds"), (campaign, found[0][0], user)
+                wait = DEFAULT_COOLDOWN_S if wait is None else wait
+                last = self.progress.getValue(own)[0] if self.progress.containsKey(own) else None
+                second = t // 1_000_000
+                if last is None or second - last >= wait:
+                    self.put(own, (second, wait), t + wait * 1_000_000)
+                    out.append({"campaign_id": campaign, "user_id": user, "app_id": key[0], "event_name": name,
+                                "channel": body["channel"], "t": t})
+        return out
+
+    def dead(self, value, watermark, version):
+        return (value[0] + value[1]) * 1_000_000 < watermark
+
+
 def campaign_stream(
     triggers: DataFrame, campaigns: DataFrame, segment_members: DataFrame | None = None, delay: str = DELAY
 ) -> DataFrame:
-    """Outbox rows of a trigger stream (events, session ends, conversions)."""
+    """Outbox rows of a trigger stream (events, session ends, conversions).
+
+    A table of campaigns stays as it was at the start; a stream of campaign versions (with ``valid_from``) is kept in
+    state, and edits take effect while the stream runs. Segment members are a table in both cases.
+    """
+    if campaigns.isStreaming:
+        segments = None
+        if segment_members is not None:
+            of_user = segment_members.groupBy("app_id", "user_id").agg(F.collect_set("segment_id").alias("_segments"))
+            triggers = triggers.join(of_user, ["app_id", "user_id"], "left")
+            segments = F.coalesce("_segments", F.array().cast("array<string>"))
+        found = controlled(triggers, campaigns.withColumnRenamed("id", "campaign_id"), "campaign_id", delay=delay, segments=segments)
+        sent = found.groupBy("app_id", "shard").transformWithStateInPandas(
+            LiveCampaignProcessor(),
+            "campaign_id string, user_id string, app_id string, event_name string, channel string, t bigint", "Append", "EventTime")
+        return delivery_outbox(sent.withColumn("event_time", F.timestamp_micros("t")))
     matched = match_campaigns(with_watermark(triggers, delay=delay), campaigns, segment_members)
     rows = matched.select(
         "campaign_id", "user_id", "event_time", F.unix_micros("event_time").alias("t"), "event_name",

@@ -142,6 +142,68 @@ def test_campaign_stream(spark, batch, tmp_path):
     assert rows(out.filter("user_id <> 'closing'")) == rows(want.select(*out.columns))
 
 
+def versions(spark, path, kind, table, times):
+    """A stream of definition versions, a file for each of (valid from, rows)."""
+    from clickspan.sources.definitions import definition_changes
+
+    for i, (at, rows_) in enumerate(times):
+        rows_.withColumn("valid_from", F.lit(at).cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{path}/{kind}")
+    return definition_changes(spark, kind, path)
+
+
+def test_live_definitions_equal_the_table(spark, batch, tmp_path):
+    """Definitions that hold from the beginning give what the batch operator gives."""
+    stream = as_stream(spark, batch, str(tmp_path / "in"), 3)
+    changes = versions(spark, str(tmp_path / "d"), "funnels", None, [("2020-01-01", definitions(spark))])
+    out = drain(funnel_streams.funnel_stream(stream, changes), "live_f", tmp_path)
+    columns = ["app_id", "funnel_id", "user_id", "duration_ms", "converted_at"]
+    want = funnels.funnel_conversions(batch, definitions(spark))
+    assert want.count() > 0 and rows(out, *columns) == rows(want, *columns)
+
+
+def test_an_edit_of_a_funnel_takes_effect_while_the_stream_runs(spark, batch, tmp_path):
+    change = "2024-01-16"
+    table = definitions(spark)
+    edited = table.withColumn("steps", F.slice("steps", 1, 2))
+    stream = as_stream(spark, batch, str(tmp_path / "in"), 4)
+    folder = str(tmp_path / "d")
+    changes = versions(spark, folder, "funnels", None, [("2020-01-01", table)])
+    found = funnel_streams.funnel_stream(stream, changes)
+    told = []
+
+    def edit(rows_, batch_id):
+        if not told:  # the new version is written when the stream is already running
+            told.append(batch_id)
+            edited.withColumn("valid_from", F.lit(change).cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{folder}/funnels")
+        rows_.write.mode("append").parquet(str(tmp_path / "out"))
+
+    query = found.writeStream.foreachBatch(edit).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="0 seconds").start()
+    query.processAllAvailable()
+    query.stop()
+    columns = ["app_id", "funnel_id", "user_id", "duration_ms", "converted_at", "total_steps"]
+    at = F.lit(change).cast("timestamp")
+    want = funnels.funnel_conversions(batch.filter(F.col("server_time") < at), table).unionByName(
+        funnels.funnel_conversions(batch.filter(F.col("server_time") >= at), edited))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.filter("total_steps = 2").count() > 0
+    assert rows(out, *columns) == rows(want, *columns)
+
+
+def test_an_edit_of_a_campaign_takes_effect(spark, batch, tmp_path):
+    stream = as_stream(spark, batch, str(tmp_path / "in"), 3)
+    table = spark.sql(CAMPAIGNS)
+    members = batch.select("app_id", "user_id").distinct().filter("user_id < 'u_5'").withColumn("segment_id", F.lit("buyers"))
+    stopped = table.withColumn("active", F.col("id") == "c2")
+    changes = versions(spark, str(tmp_path / "d"), "campaigns", None, [("2020-01-01", table), ("2024-01-20", stopped)])
+    out = drain(live.campaign_stream(stream, changes, members), "live_c", tmp_path)
+    end = F.lit("2024-01-20").cast("timestamp")
+    both = [campaigns.campaign_triggers(batch.filter(F.col("event_time") < end), table.filter("id <> 'c2'"), members),
+            campaigns.campaign_triggers(batch, table.filter("id = 'c2'"), members)]
+    want = campaigns.delivery_outbox(both[0].unionByName(both[1]))
+    assert want.groupBy("campaign_id").count().count() == 3
+    assert rows(out.filter("user_id <> 'closing'")) == rows(want.select(*out.columns))
+
+
 def test_dedup_stream(spark, batch, tmp_path):
     twice = batch.unionByName(batch.withColumn("event_name", F.lit("copy")))
     stream = as_stream(spark, twice, str(tmp_path / "in"), 2, closing=False)
