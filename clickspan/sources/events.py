@@ -48,6 +48,40 @@ def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
     arrange(with_date(events)).write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
 
 
+def write_events_batch(events: DataFrame, path: str, batch_id: int, writer: str = "stream") -> bool:
+    """Append a stream's batch once, sorted, in files of measured size; false where it is in already.
+
+    The batch is written aside, its files get names that tell the batch and are moved in, and a marker says that it
+    is complete. A repeated batch without a marker first takes out the files that its earlier run has moved.
+    """
+    spark = events.sparkSession
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    name = f"{writer}-{batch_id:010d}"
+    marker, aside = at(f"{path}/_batches/{name}"), f"{path}/_aside/{name}"
+    if fs.exists(marker):
+        return False
+    arrange(with_date(events)).write.mode("overwrite").partitionBy(*PARTITIONS).parquet(aside)
+    found, left = fs.listFiles(at(aside), True), at(aside).toUri().getPath()
+    folders: dict[str, list] = {}
+    while found.hasNext():
+        file = found.next().getPath()
+        if file.getName().startswith("part-"):
+            folders.setdefault(file.getParent().toUri().getPath()[len(left):], []).append(file)
+    for folder, files in folders.items():
+        target = at(f"{path}{folder}")
+        fs.mkdirs(target)
+        for known in fs.globStatus(at(f"{path}{folder}/{name}-*")) or []:
+            fs.delete(known.getPath(), False)
+        for i, file in enumerate(files):
+            if not fs.rename(file, at(f"{path}{folder}/{name}-{i:05d}.parquet")):
+                raise OSError(f"could not move {file}")
+    fs.delete(at(aside), True)
+    fs.create(marker, True).close()
+    return True
+
+
 def new_rows(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """Incoming events that are not in the archive yet, each id of a tenant's device once."""
     return dedup_events(incoming).join(existing.select(*EVENT_KEY), list(EVENT_KEY), "left_anti")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from clickspan.operators import ingest
-from clickspan.sources.events import PARTITIONS, archive_raw, with_date
+from clickspan.sources.events import archive_raw, write_events_batch
 from clickspan.streaming.base import DELAY, checkpoint_location, split_late
 
 
@@ -62,16 +62,17 @@ def write_left_out_stream(
 
 
 def write_events_stream(
-    events: DataFrame, path: str, trigger: str = "1 second", checkpoint: str | None = None,
-    available_now: bool = False,
+    events: DataFrame, path: str, trigger: str = "1 minute", checkpoint: str | None = None,
+    available_now: bool = False, writer: str = "stream",
 ) -> DataStreamWriter:
-    """Append fact rows with the file sink, whose commit log makes a replayed batch harmless."""
+    """Append fact rows batch by batch, sorted and in files of measured size; a repeated batch adds nothing.
+
+    A day of an app gets one file or few per trigger, so ``trigger`` bounds how many there are.
+    """
     location = checkpoint_location(events.sparkSession, "events", checkpoint)
-    writer = (
-        with_date(events).writeStream.format("parquet").outputMode("append")
-        .partitionBy(*PARTITIONS).option("path", path).option("checkpointLocation", location)
-    )
-    return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger)
+    query = events.writeStream.option("checkpointLocation", location).foreachBatch(
+        lambda batch, batch_id: write_events_batch(batch, path, batch_id, writer) and None)
+    return query.trigger(availableNow=True) if available_now else query.trigger(processingTime=trigger)
 
 
 def write_dead_letters_stream(

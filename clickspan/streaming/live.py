@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import StructType
 
 from clickspan.operators.campaigns import DEFAULT_COOLDOWN_S, delivery_outbox, match_campaigns
 from clickspan.plans.rollups import ROLLUPS
+from clickspan.schema import EVENTS
+from clickspan.sources import manifest
 from clickspan.streaming.base import DELAY, checkpoint_location, with_watermark
 from clickspan.streaming.controlled import ControlledProcessor, controlled
 from clickspan.streaming.ordered import OrderedProcessor
@@ -48,6 +52,13 @@ def write_partials(rows: DataFrame, batch_id: int, path: str) -> None:
     ).partitionBy("batch_id").parquet(path)
 
 
+def _rollup_table(spark: SparkSession, name: str) -> tuple[StructType, str, list[str]]:
+    """Layout, time column and order of a stored rollup."""
+    rollup = ROLLUPS[name]
+    schema = rollup.build(spark.createDataFrame([], EVENTS)).schema
+    return schema, next((c for c in ("day", "hour") if c in rollup.keys), "first_seen"), list(rollup.keys)
+
+
 def rollup_stream(
     events: DataFrame,
     names: Sequence[str],
@@ -55,31 +66,40 @@ def rollup_stream(
     vocabulary: Vocabulary = DEFAULT_VOCABULARY,
     checkpoint: str | None = None,
     available_now: bool = False,
+    writer: str = "stream",
 ) -> DataStreamWriter:
-    """Keep rollups current: each batch adds one set of partial rows per rollup."""
+    """Keep rollups current: each batch adds one set of partial rows per rollup, once.
+
+    ``writer`` names the stream in the manifests; a stream that starts over with a new checkpoint needs a new name.
+    """
     def update(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
             for name in names:
-                write_partials(ROLLUPS[name].build(batch, vocabulary), batch_id, f"{path}/{name}")
+                _, day, order = _rollup_table(batch.sparkSession, name)
+                manifest.append(ROLLUPS[name].build(batch, vocabulary), f"{path}/{name}", writer, batch_id, day, order)
         finally:
             batch.unpersist()
 
     location = checkpoint_location(events.sparkSession, "rollups", checkpoint)
-    writer = events.writeStream.option("checkpointLocation", location).foreachBatch(update)
-    return writer.trigger(availableNow=True) if available_now else writer
+    query = events.writeStream.option("checkpointLocation", location).foreachBatch(update)
+    return query.trigger(availableNow=True) if available_now else query
+
+
+def read_rollup(spark: SparkSession, name: str, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Merged rollup over the live partial rows, of the days from ``first`` to ``last`` where they are given."""
+    return ROLLUPS[name].merge(manifest.read(spark, f"{path}/{name}", _rollup_table(spark, name)[0], first, last))
 
 
-def read_rollup(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """Merged rollup over all partial rows."""
-    return ROLLUPS[name].merge(spark.read.parquet(f"{path}/{name}").drop("batch_id"))
+def compact_rollup(spark: SparkSession, name: str, path: str, before: str) -> bool:
+    """Merge the partial rows of the days before ``before`` into one part, while the stream goes on."""
+    schema, day, order = _rollup_table(spark, name)
+    return manifest.compact(spark, f"{path}/{name}", schema, ROLLUPS[name].merge, day, before, order)
 
 
-def compact_rollup(spark: SparkSession, name: str, path: str, target: str) -> None:
-    """Merge the partial rows into one set, in a new folder."""
-    read_rollup(spark, name, path).withColumn("batch_id", F.lit(-1)).write.mode(
-        "overwrite"
-    ).partitionBy("batch_id").parquet(f"{target}/{name}")
+def expire_rollup(spark: SparkSession, name: str, path: str, as_of: dt.date, days: int = 365) -> bool:
+    """Take the days older than the retention period out of a rollup; ``manifest.vacuum`` deletes their files later."""
+    return manifest.expire(spark, f"{path}/{name}", (as_of - dt.timedelta(days=days)).isoformat())
 
 
 class CooldownProcessor(OrderedProcessor):

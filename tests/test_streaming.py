@@ -11,12 +11,13 @@ from clickspan.catalogue.ingest import IP_RANGES
 from clickspan.operators import campaigns, funnels, ingest, sessions
 from clickspan.plans.ingest import ingest_batch
 from clickspan.plans.rollups import ROLLUPS
+from clickspan.sources import manifest
 from clickspan.sources.testdata import TEST_VOCABULARY as V
 from clickspan.sources.testdata import load_events, raw_envelopes
 from clickspan.sources.topics import read_raw_stream
 from clickspan.streaming import funnels as funnel_streams
 from clickspan.streaming import ingest as ingest_streams
-from clickspan.streaming import alerts, live
+from clickspan.streaming import alerts, dedup, live
 from clickspan.streaming import sessions as session_streams
 from tests.helpers import rows
 
@@ -224,15 +225,86 @@ def test_rollup_stream_and_replay(spark, batch, tmp_path):
         want = rows(rollup.query(rollup.build(batch, V)).drop("revenue", "total_revenue"))
         got = rollup.finish(live.read_rollup(spark, name, target))
         assert rows(got.drop("revenue", "total_revenue")) == want, name
-    live.compact_rollup(spark, "hourly_counts", target, str(tmp_path / "compact"))
-    assert rows(live.read_rollup(spark, "hourly_counts", str(tmp_path / "compact"))) == rows(
-        ROLLUPS["hourly_counts"].build(batch, V))
-    # A repeated batch replaces its rows.
-    again = str(tmp_path / "again")
-    for _ in range(2):
-        live.write_partials(ROLLUPS["hourly_counts"].build(batch, V), 0, f"{again}/hourly_counts")
-    assert rows(live.read_rollup(spark, "hourly_counts", again)) == rows(
-        ROLLUPS["hourly_counts"].build(batch, V))
+    # Closed days become one part each; a batch that comes in between is not lost.
+    build = ROLLUPS["hourly_counts"].build
+    merge, path, table = manifest.read, f"{target}/hourly_counts", live._rollup_table(spark, "hourly_counts")
+    assert manifest.append(build(batch, V), path, "backfill", 7, "hour")
+    calls = []
+
+    def read_and_add(*given, **named):
+        out = merge(*given, **named)
+        if not calls:
+            calls.append(manifest.append(build(batch, V), path, "other", 0, "hour"))
+        return out
+
+    manifest.read = read_and_add
+    try:
+        assert live.compact_rollup(spark, "hourly_counts", target, "2024-02-01")
+    finally:
+        manifest.read = merge
+    assert calls == [True] and not manifest.append(build(batch, V), path, "other", 0, "hour")
+    thrice = [(*r[:-1], 3 * r[-1]) for r in rows(build(batch, V))]
+    assert rows(live.read_rollup(spark, "hourly_counts", target)) == sorted(thrice, key=repr)
+    assert live.compact_rollup(spark, "hourly_counts", target, "2024-02-01")
+    live_parts = manifest.state(spark, path)[1]["live"]
+    assert len({day for _, day in live_parts if day < "2024-02-01"}) == len([1 for _, day in live_parts if day < "2024-02-01"])
+    assert not live.compact_rollup(spark, "hourly_counts", target, "2024-02-01")
+    assert rows(live.read_rollup(spark, "hourly_counts", target)) == sorted(thrice, key=repr)
+    # Days that have expired are gone at once; their files go with those of old parts.
+    assert live.expire_rollup(spark, "hourly_counts", target, dt.date(2024, 2, 10), days=20)
+    kept = build(batch.filter(F.col("event_time") >= F.lit("2024-01-21").cast("timestamp")), V)
+    assert rows(live.read_rollup(spark, "hourly_counts", target)) == sorted([(*r[:-1], 3 * r[-1]) for r in rows(kept)], key=repr)
+    assert live.read_rollup(spark, "hourly_counts", target, first="2024-01-30").count() == build(
+        batch.filter(F.col("event_time") >= F.lit("2024-01-30").cast("timestamp")), V).count()
+    assert manifest.vacuum(spark, path, 0) > 0 and manifest.vacuum(spark, path, 0) == 0
+    assert rows(live.read_rollup(spark, "hourly_counts", target)) == sorted([(*r[:-1], 3 * r[-1]) for r in rows(kept)], key=repr)
+
+
+def test_a_crash_between_the_steps_of_a_rollup_batch(spark, batch, tmp_path, monkeypatch):
+    path, rows_ = str(tmp_path / "t"), ROLLUPS["hourly_counts"].build(batch, V)
+    change = manifest.change
+    monkeypatch.setattr(manifest, "change", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        manifest.append(rows_, path, "stream", 0, "hour")
+    assert manifest.read(spark, path, rows_.schema).count() == 0
+    monkeypatch.setattr(manifest, "change", change)
+    assert manifest.append(rows_, path, "stream", 0, "hour") and not manifest.append(rows_, path, "stream", 0, "hour")
+    assert rows(manifest.read(spark, path, rows_.schema)) == rows(rows_)
+
+
+def test_a_repeated_batch_of_fact_rows_adds_nothing(spark, batch, tmp_path, monkeypatch):
+    from clickspan.sources import events as store
+
+    path = str(tmp_path / "events")
+    count = lambda: store.read_events(spark, path).count()
+    assert store.write_events_batch(batch, path, 0) and not store.write_events_batch(batch, path, 0)
+    assert count() == batch.count()
+    # A run that ended before its marker was set.
+    marker = tmp_path / "events" / "_batches" / f"stream-{0:010d}"
+    marker.unlink()
+    assert store.write_events_batch(batch, path, 0) and count() == batch.count()
+    assert store.write_events_batch(batch, path, 1) and count() == 2 * batch.count()
+    files = [f for f in (tmp_path / "events").glob("event_date=*/app_id=*/*.parquet")]
+    folders = {f.parent for f in files}
+    assert len(files) == 2 * len(folders)
+    assert not list((tmp_path / "events" / "_aside").glob("*"))
+
+
+def test_every_row_of_the_dedup_is_accounted_for(spark, batch, tmp_path):
+    twice = batch.unionByName(batch.withColumn("event_name", F.lit("copy")))
+    stream = as_stream(spark, twice, str(tmp_path / "in"), 3, closing=False)
+    # After the last file a copy of the first days, long after their ids have been forgotten, and one new old row.
+    old = batch.orderBy("event_time").limit(50)
+    for part in (old, old.limit(1).withColumn("event_id", F.lit("new"))):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = drain(dedup.tagged_stream(stream, "24 hours", shards=4), "tagged", tmp_path)
+    counts = {r["tag"]: r["count"] for r in out.groupBy("tag").count().collect()}
+    assert sum(counts.values()) == twice.count() + 51
+    assert counts == {"kept": batch.count(), "duplicate": batch.count(), "late": 51}
+    kept = out.filter("tag = 'kept'")
+    assert kept.select("event_id").distinct().count() == batch.count()
+    columns = [c for c in batch.columns if c != "event_name"]
+    assert rows(kept.select(*columns)) == rows(batch.select(*columns))
 
 
 def test_ingest_stream(spark, sf_dir, tmp_path):
