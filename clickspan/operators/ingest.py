@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,7 +135,7 @@ def fill_defaults(events: DataFrame) -> DataFrame:
 
 def dedup_events(
     events: DataFrame,
-    keys: Sequence[str] = EVENT_KEY,
+    keys: Sequence[str | Column] = EVENT_KEY,
     order: Sequence[str] = ("server_time", "event_time"),
 ) -> DataFrame:
     """First occurrence per key, by default per id of a tenant's device.
@@ -206,33 +210,67 @@ def disjoint_ranges(ip_ranges: DataFrame) -> DataFrame:
     """(block, from, to, place): pieces that no address is in twice, ``from`` inclusive and ``to`` exclusive.
 
     Ranges may nest or overlap: the one that begins last wins, then the one that ends first, which of
-    nested ranges is the narrowest. Points are digits with 0 for an address and 1 for just behind it. Blocks
-    without overlap, nearly all of a bought table, stay as they are; in the others every begin and end cuts.
+    nested ranges is the narrowest. Points are digits with 0 for an address and 1 for just behind it. Every block
+    is swept once from its first to its last point, with a heap of the ranges that are open, so the work and
+    the pieces are linear in the ranges (but for the heap's logarithm), however deep they nest.
     """
-    rows = _in_blocks(ip_ranges).withColumns({"from": F.concat("begin", F.lit("0")), "to": F.concat("end", F.lit("1"))})
-    before = Window.partitionBy("block").orderBy("from", "to").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_meets", F.coalesce(F.max("to").over(before) > F.col("from"), F.lit(False)))
-    rows = rows.withColumn("_meets", F.max("_meets").over(Window.partitionBy("block")))
-    simple, tangled = rows.filter("not _meets"), rows.filter("_meets")
-    points = tangled.select("block", F.explode(F.array("from", "to")).alias("point")).distinct()
-    covered = points.join(tangled, "block").filter("from <= point and point < to")
-    best = covered.groupBy("block", "point").agg(F.max("from").alias("_last")).join(covered, ["block", "point"]).filter(
-        "from = _last").groupBy("block", "point").agg(F.min_by("place", F.struct("to", "place")).alias("place"))
-    following = F.lead("point").over(Window.partitionBy("block").orderBy("point"))
-    pieces = points.withColumn("to", following).join(best, ["block", "point"]).select("block", F.col("point").alias("from"), "to", "place")
-    return simple.select("block", "from", "to", "place").unionByName(pieces)
+    rows = _in_blocks(ip_ranges).select("block", F.concat("begin", F.lit("0")).alias("from"), F.concat("end", F.lit("1")).alias("to"), "place")
+    # Of ranges that begin together the narrowest comes last: a later row always wins over an earlier one.
+    ordered = rows.repartition("block").sortWithinPartitions("block", "from", F.desc("to"), F.desc("place"))
+    return ordered.mapInArrow(_swept, rows.schema)
+
+
+def _swept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Disjoint pieces of sorted ranges, block by block."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = batch.column(0).dictionary_encode().indices.to_numpy()
+        cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), batch.num_rows]
+        for begin, end in pairwise(cuts):
+            if held and held[0].column(0)[0] != batch.column(0)[begin]:
+                yield from _pieces(held)
+                held = []
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield from _pieces(held)
+
+
+def _pieces(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ranges = pa.Table.from_batches(held).combine_chunks()
+    begins, ends = ranges.column("from").to_pylist(), ranges.column("to").to_pylist()
+    found: list[list] = []  # place by number of its range, from, to
+    heap: list[int] = []
+    at = 0
+    for point, following in pairwise(sorted({*begins, *ends})):
+        while at < len(begins) and begins[at] == point:
+            heapq.heappush(heap, -at)
+            at += 1
+        while heap and ends[-heap[0]] <= point:
+            heapq.heappop(heap)
+        if heap and found and found[-1][0] == -heap[0] and found[-1][2] == point:
+            found[-1][2] = following
+        elif heap:
+            found.append([-heap[0], point, following])
+    for begin in range(0, len(found), 10_000):
+        which, first, last = zip(*found[begin:begin + 10_000])
+        taken = ranges.take(pa.array(which)).combine_chunks()
+        yield pa.RecordBatch.from_arrays(
+            [taken.column("block").chunk(0), pa.array(first, pa.string()), pa.array(last, pa.string()), taken.column("place").chunk(0)],
+            names=["block", "from", "to", "place"])
 
 
 def geo_enrich(events: DataFrame, ip_ranges: DataFrame, ip_col: str = "client_ip") -> DataFrame:
     """Location of the address; no match gives empty text and null coordinates.
 
-    ``ip_ranges`` has ``start_ip`` and ``end_ip`` (IPv4 as numbers, null for other rows) and, for either
+    ``ip_ranges`` are ranges or, better where many runs use them, the stored result of ``disjoint_ranges``. Ranges have ``start_ip`` and ``end_ip`` (IPv4 as numbers, null for other rows) and, for either
     family, ``start_text`` and ``end_text``. The ranges are made disjoint first, so an event stays one
     event, in a stream as well. Pieces are kept by the block of addresses they lie in, which makes the
     lookup an equi-join with the piece as a residual condition. No broadcast is forced: Spark broadcasts the
     range table only while its size allows, and splits hot blocks otherwise.
     """
-    pieces = disjoint_ranges(ip_ranges)
+    pieces = ip_ranges if "block" in ip_ranges.columns else disjoint_ranges(ip_ranges)
     digits = ip_to_hex(F.col(ip_col))
     looked = events.withColumn("_at", F.concat(digits, F.lit("0"))).withColumn("_block", _block(F.col("_at")))
     within = (F.col("_block") == F.col("block")) & (F.col("_at") >= F.col("from")) & (F.col("_at") < F.col("to"))
@@ -358,20 +396,31 @@ def to_event_rows(events: DataFrame) -> DataFrame:
     )
 
 
-def enrich(events: DataFrame, ip_ranges: DataFrame) -> DataFrame:
-    """Validated events to fact rows: time, address, location, user agent, properties."""
-    located = geo_enrich(
-        correct_time(fill_defaults(events)).withColumn(
-            "client_ip", client_ip(F.col("x_forwarded_for"), F.col("remote_addr"))
-        ),
-        ip_ranges,
-    )
-    flat = ua_enrich(located, F.col("device.user_agent")).withColumn(
+def timed(events: DataFrame) -> DataFrame:
+    """Validated events with ids and corrected times."""
+    return correct_time(fill_defaults(events))
+
+
+def first_received(events: DataFrame) -> DataFrame:
+    """``timed`` events, each once, as ``dedup_events`` does for fact rows."""
+    return dedup_events(events, [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in EVENT_KEY], ("server_ts", "event_ts"))
+
+
+def located(events: DataFrame, ip_ranges: DataFrame) -> DataFrame:
+    """``timed`` events to fact rows: address, location, user agent, properties."""
+    known = geo_enrich(
+        events.withColumn("client_ip", client_ip(F.col("x_forwarded_for"), F.col("remote_addr"))), ip_ranges)
+    flat = ua_enrich(known, F.col("device.user_agent")).withColumn(
         "props", flatten_props(F.col("raw_props"))
     )
     return to_event_rows(extract_attribution(flat))
 
 
+def enrich(events: DataFrame, ip_ranges: DataFrame) -> DataFrame:
+    """Validated events to fact rows: time, address, location, user agent, properties."""
+    return located(timed(events), ip_ranges)
+
+
 def identify_events(identifies: DataFrame) -> DataFrame:
     """Identify calls as ``user_updated`` events whose properties are the traits, in the fact layout."""
     key = F.concat_ws("|", "app_id", "user_id", F.unix_millis("ts"), F.to_json("traits"))

@@ -21,11 +21,14 @@ class Ingested:
 
 
 def ingest_batch(raw: DataFrame, ip_ranges: DataFrame) -> Ingested:
-    """Parse, split off dead letters, validate, deduplicate and enrich raw messages."""
+    """Parse, split off dead letters, validate, deduplicate and enrich raw messages.
+
+    Copies go before the enrichment, which then works on each event once.
+    """
     usable, dead = ingest.dead_letter_split(raw)
     received = ingest.explode_batches(usable)
     valid, rejected = ingest.validate(received)
-    events = ingest.dedup_events(ingest.enrich(valid, ip_ranges))
+    events = ingest.located(ingest.first_received(ingest.timed(valid)), ip_ranges)
     return Ingested(events, rejected, dead, ingest.ingest_report(received, events))
 
 

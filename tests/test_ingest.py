@@ -1,6 +1,7 @@
 """Ingest edge cases."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from clickspan.sources import events as store
 from tests.helpers import at, event, events, rows
 
 T = 1_700_000_000_000
+RANGES_TEXT = ("start_ip long, end_ip long, start_text string, end_text string, country_code string, country_name string, "
+               "region string, city string, latitude double, longitude double")
 RANGES = "start_ip bigint, end_ip bigint, country_code string, country_name string, region string, city string, latitude double, longitude double"
 
 
@@ -201,6 +204,37 @@ def test_geo_of_both_families_and_nested_ranges(spark):
     assert got == sorted([(ip, city) for ip, city in want.items()] * 2, key=repr)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pieces_against_brute_force(spark, seed):
+    """Nested, overlapping, repeated and adjacent ranges: the last to begin wins, then the first to end."""
+    rng = random.Random(seed)
+    base, made = 0x0A000000, []
+    for i in range(60):
+        begin = base + rng.randrange(300)
+        made.append((begin, begin + rng.choice([0, 1, 5, 40, 200, 70_000]), None, None, "XX", "X", "x", f"c{i:02d}", 1.0, 2.0))
+    made += made[:5]
+    ranges = spark.createDataFrame(made, RANGES_TEXT)
+    addresses = [base - 1, *range(base, base + 520), base + 65_536 + 7, base + 70_400]
+    frame = spark.createDataFrame([(".".join(str(a >> s & 255) for s in (24, 16, 8, 0)),) for a in addresses], "client_ip string")
+    want = []
+    for a in addresses:
+        inside = sorted((-m[0], m[1], m[7]) for m in made if m[0] <= a <= m[1])
+        want.append((".".join(str(a >> s & 255) for s in (24, 16, 8, 0)), inside[0][2] if inside else ""))
+    assert rows(ingest.geo_enrich(frame, ranges), "client_ip", "city") == sorted(want, key=repr)
+    stored = ingest.disjoint_ranges(ranges).cache()
+    assert rows(ingest.geo_enrich(frame, stored), "client_ip", "city") == sorted(want, key=repr)
+
+
+def test_deeply_nested_ranges_make_linear_pieces(spark):
+    n = 10_000
+    made = spark.range(n).selectExpr(
+        "167772160 + id AS start_ip", f"167772160 + 2 * {n} - id AS end_ip", "CAST(NULL AS STRING) AS start_text", "CAST(NULL AS STRING) AS end_text",
+        "'XX' AS country_code", "'X' AS country_name", "'x' AS region", "CAST(id AS STRING) AS city", "1D AS latitude", "2D AS longitude")
+    pieces = ingest.disjoint_ranges(made)
+    assert pieces.count() == 2 * n - 1
+    assert pieces.groupBy("place.city").count().filter("count > 2").count() == 0
+
+
 def test_chain_and_replay(spark):
     ranges = spark.createDataFrame([], RANGES)
     values = [message([one(event_id="1", revenue=2.5, props={"install_source": "ad", "k": 1})]),
