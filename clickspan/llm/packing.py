@@ -21,11 +21,13 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
 import os
 import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -36,42 +38,86 @@ from pyspark.sql import functions as F
 from clickspan.llm.batches import byte_texts
 from clickspan.llm.tables import table, written
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 END = (1).to_bytes(4, "little")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _opened(path: str) -> Tokenizer:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True  # their strings in a text are then ordinary text
+    return tokenizer
+
+
+class TextIds:
+    """Token ids of whole texts as little-endian 32-bit numbers, by any tokenizer."""
+
+    def __init__(self, path: str):
+        self.tokenizer = _opened(path)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in found]
+
+
 class WordIds(dict):
-    """Token ids of a word as little-endian 32-bit numbers.
+    """Token ids by words, for a tokenizer that drops white space and never joins what it divides.
 
-    The tokenizer drops white space and never joins what it divides, so a text's ids are those of its words
-    in a row. A new word of plain letters and marks is looked up by its two parts, in lower case; new parts
-    are encoded together and told apart by the tokens that end a part. All other words are encoded one by
-    one. Words and parts are forgotten when there are ``most`` of them.
+    A text's ids are then those of its words in a row. A new word of plain letters and marks is looked up by its
+    two parts, in lower case; new parts are encoded together, divided by white space alone since nothing else
+    divides them, and told apart by the tokens that end a part. All other words are encoded one by one.
+    Words and parts are forgotten when there are ``most`` of them.
     """
 
-    PLAIN = re.compile(r"([a-zà-öø-ÿ]*)([.,!?;:#%&$*|]*)")
+    PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([.,!?;:#%&$*|]*)")
 
     def __init__(self, path: str, most: int = 500_000):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.most = most
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer = _opened(path)
+        self.divided = Tokenizer(self.tokenizer.model)
+        self.divided.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.parts: dict[str, bytes] = {"": b""}
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, dtype=bool)
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
 
+    @staticmethod
+    def fits(path: str) -> bool:
+        """Whether the file says that the tokenizer is of that kind: lower case, words divided and white space dropped
+        before anything else, bytes as letters, and tokens that end a word marked."""
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        steps = (told.get("normalizer") or {}).get("normalizers") or []
+        before = (told.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        return (
+            [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in before] == ["Split", "ByteLevel"]
+            and before[0]["behavior"] == "Removed" and before[0]["invert"] and not before[1]["add_prefix_space"]
+            and before[0]["pattern"].get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+            and (told.get("model") or {}).get("end_of_word_suffix") == "</w>")
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        # bytes.split() divides at ASCII white space only.
+        split = [text.split() for text in texts]
+        self.learn(set().union(*split))
+        return [b"".join(map(self.__getitem__, words)) for words in split]
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
     def _learn_parts(self, parts: set[str]) -> None:
         new = [p for p in parts if p not in self.parts]
-        for at in range(0, len(new), 1000):
-            some = new[at:at + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+        for at in range(0, len(new), 500):
+            some = new[at:at + 500]
+            ids = np.array(self.divided.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cuts) == len(some):
                 data = ids.tobytes()
@@ -84,24 +130,28 @@ class WordIds(dict):
         if len(self) + len(new) > self.most:
             self.clear()
             self.parts = {"": b""}
-            new = list(words)
-        plain, other = [], []
+            new = words
+        # Lists of strings, not of tuples: these would make the collector of cycles walk through all known words.
+        plain, letters, marks, other, match = [], [], [], [], self.PLAIN.fullmatch
         for word in new:
-            match = self.PLAIN.fullmatch(word.decode().lower())
-            if match:
-                plain.append((word, match[1], match[2]))
+            both = match(word.decode().lower())
+            if both:
+                plain.append(word)
+                letters.append(both[1])
+                marks.append(both[2])
             else:
                 other.append(word)
-        self._learn_parts({p for _, *both in plain for p in both})
-        for word, letters, marks in plain:
-            self[word] = self.parts[letters] + self.parts[marks]
-        for word, ids in zip(other, self._encode([w.decode() for w in other])):
-            self[word] = ids
+        parts = set(letters)
+        parts.update(marks)
+        self._learn_parts(parts)
+        known = self.parts
+        self.update(zip(plain, [known[a] + known[b] if b else known[a] for a, b in zip(letters, marks)]))
+        self.update(zip(other, self._encode([w.decode() for w in other])))
 
 
 @functools.lru_cache(maxsize=1)
-def _word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def _ids(path: str) -> WordIds | TextIds:
+    return WordIds(path) if WordIds.fits(path) else TextIds(path)
 
 
 def _default_tokenizer() -> str:
@@ -113,19 +163,17 @@ def _default_tokenizer() -> str:
 def pieces(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length and the CRC-32 of its ids.
 
-    ``tokenizer`` is a tokenizer file that every executor has; by default the installed public one.
+    ``tokenizer`` is a tokenizer file that every executor has; by default the installed public one. One whose file
+    doesn't promise that words can be encoded apart encodes whole texts.
     """
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _word_ids(tokenizer or _default_tokenizer())
+        ids = _ids(tokenizer or _default_tokenizer())
         for batch in batches:
             rows: list[tuple] = []
             texts = byte_texts(batch.column(1))
-            for at in range(0, len(texts), 64):
-                # bytes.split() divides at ASCII white space only.
-                split = [(text or b"").split() for text in texts[at:at + 64]]
-                ids.learn(set().union(*split))
-                for doc_id, words in zip(batch.column(0).slice(at, 64).to_pylist(), split):
-                    data = b"".join([ids[w] for w in words]) + END
+            for at in range(0, len(texts), 128):
+                for doc_id, data in zip(batch.column(0).slice(at, 128).to_pylist(), ids.encode([t or b"" for t in texts[at:at + 128]])):
+                    data += END
                     for k, begin in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[begin:begin + 4 * capacity]
                         rows.append((doc_id, k, begin // 4, len(part) // 4, zlib.crc32(part)))

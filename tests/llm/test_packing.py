@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from clickspan.llm.packing import WordIds, _default_tokenizer, pack, plan
+from clickspan.llm.packing import TextIds, WordIds, _default_tokenizer, pack, plan
 
 
 def laid(counts, capacity):
@@ -54,7 +54,7 @@ def ids():
     return WordIds(_default_tokenizer())
 
 
-@given(st.text(alphabet="aAéÉΣσς'’.,!? \t\n\x0b\x0c\r ́​中🙂Ⅷ½9s<|endoftext|>ßİ", max_size=40))
+@given(st.text(alphabet="aAéÉΣσς'’.,!? \t\n\x0b\x0c\r ́​中🙂Ⅷ½9s<|endoftext|>ßẞİ", max_size=40))
 @settings(max_examples=300, deadline=None)
 def test_words_give_the_text_s_ids(ids, text):
     split = text.encode().split()
@@ -89,5 +89,31 @@ def test_pieces_and_places(spark, ids):
     assert len(sequences) <= -(-sum(r["length"] for r in found) // 4096) + 1
 
 
+def test_other_tokenizers_encode_whole_texts(spark, ids):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert WordIds.fits(_default_tokenizer()) and not WordIds.fits(path)
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    texts = ["The  Quick\tbrown\n\nfox ", None, "", " É<|endoftext|> ß", "x" * 20_000, "word " * 9_000]
+    found = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer=path).collect()
+    want = []
+    for i, text in enumerate(texts):
+        all_ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+        for k in range(0, len(all_ids), 4096):
+            part = np.array(all_ids[k:k + 4096], dtype="<u4")
+            want.append((i, k // 4096, k, len(part), zlib.crc32(part.tobytes())))
+    assert sorted(tuple(r)[:5] for r in found) == sorted(want)
+
+
+def test_words_are_forgotten_and_learnt_again():
+    few = WordIds(_default_tokenizer(), most=50)
+    texts = [" ".join(f"wo{chr(97 + i % 26)}{chr(97 + i // 26)}rd{m}" for m in ("", ".", "!?")) for i in range(200)]
+    whole = TextIds(_default_tokenizer())
+    assert [x for at in range(0, 200, 7) for x in few.encode([t.encode() for t in texts[at:at + 7]])] == whole.encode([t.encode() for t in texts])
+
+
 def test_empty(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
