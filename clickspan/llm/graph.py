@@ -2,35 +2,52 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickspan.llm.tables import written
 
 
+def _least(labels: DataFrame, more: DataFrame) -> DataFrame:
+    return labels.unionByName(more).groupBy("id").agg(F.min("component").alias("component"))
+
+
+def _followed(labels: DataFrame, onward: DataFrame) -> DataFrame:
+    """``labels`` (id, component) whose component is led on by ``onward`` (id, component)."""
+    step = onward.select(F.col("id").alias("component"), F.col("component").alias("_onward"))
+    return labels.join(step, "component").select("id", F.col("_onward").alias("component"))
+
+
 def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(id, component) for every id in ``edges`` (a, b): the smallest id that can be reached.
 
-    In each round a node takes the smallest label of its neighbours and then the label of that label, so
-    labels travel along stars in one round and along chains in a few. Every round is written, which cuts
-    the lineage; it ends when the sum of all labels stays the same. Loops and repeated edges do no harm.
+    Every node points to its smallest neighbour, or to itself where that is larger, and follows the pointers of
+    its pointer until it points to a root. Then edges lead between roots, loops and repeats go, and the rest is
+    another, smaller graph. Stars take one round and chains one round of a few jumps; only nodes whose pointer
+    is no root yet are joined again. Every step is written, which cuts the lineage. Loops and repeated edges do
+    no harm.
     """
-    both = written(
-        edges.select(F.col("a").alias("id"), F.col("b").alias("near"))
-        .unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("near")))
-        .filter("id is not null and near is not null").distinct(), "edges")
-    labels = written(both.groupBy("id").agg(F.least("id", F.min("near")).alias("component")), "labels")
-    total = None
+    usable = edges.filter("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left, levels = written(usable, "edges"), []
     for _ in range(most_rounds):
-        now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        if now == total:
-            return labels
-        total = now
-        of_near = labels.select(F.col("id").alias("near"), F.col("component").alias("_c"))
-        heard = both.join(of_near, "near").groupBy("id").agg(F.min("_c").alias("_c"))
-        step = labels.join(heard, "id").select("id", F.least("component", "_c").alias("component"))
-        of_label = labels.select(F.col("id").alias("component"), F.col("component").alias("_j"))
-        labels = written(
-            step.join(of_label, "component", "left")
-            .select("id", F.least("component", F.coalesce("_j", "component")).alias("component")), "labels")
+        both = left.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
+            left.select(F.col("b").alias("id"), F.col("a").alias("component")))
+        labels = written(both.groupBy("id").agg(F.least("id", F.min("component")).alias("component")), "labels")
+        for _ in range(most_rounds):
+            # Nodes below a node that points on itself.
+            moved = written(_followed(labels, labels.filter("component < id")), "moved")
+            if moved.isEmpty():
+                break
+            labels = written(_least(labels, moved), "labels")
+        else:
+            raise RuntimeError(f"pointers did not settle in {most_rounds} rounds")
+        levels.append(labels)
+        named = [labels.select(F.col("id").alias(c), F.col("component").alias(f"_{c}")) for c in ("a", "b")]
+        between = left.join(named[0], "a").join(named[1], "b").filter("_a <> _b")
+        left = written(between.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "edges")
+        if left.isEmpty():
+            return levels[0] if len(levels) == 1 else written(
+                reduce(lambda known, level: _least(known, _followed(known, level)), levels), "labels")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
