@@ -236,7 +236,9 @@ def source_side(source: list[float], sink: list[float], edges: list[tuple[int, i
     """Nodes on the source side of a minimum cut; ``edges`` are undirected.
 
     What a node could send straight from source to sink is taken off first, so flow runs only from nodes
-    with more on the source's side to nodes with more on the sink's. Augmenting paths are shortest ones.
+    with more on the source's side to nodes with more on the sink's. Each such node sends along shortest paths of
+    its own until it has nothing left or no way. In the second case no way leads out of the nodes it reached, now or
+    later: they are on the source side, and no further search enters them.
     """
     spare = [a - b for a, b in zip(source, sink)]
     near: list[dict[int, float]] = [{} for _ in spare]
@@ -244,31 +246,34 @@ def source_side(source: list[float], sink: list[float], edges: list[tuple[int, i
         near[a][b] = near[a].get(b, 0.0) + capacity
         near[b][a] = near[b].get(a, 0.0) + capacity
     tiny = 1e-9
-    while True:
-        come: dict[int, int] = {i: i for i, s in enumerate(spare) if s > tiny}
-        queue, end = deque(come), -1
-        while queue and end < 0:
-            i = queue.popleft()
-            for j, capacity in near[i].items():
-                if capacity > tiny and j not in come:
-                    come[j] = i
-                    if spare[j] < -tiny:
-                        end = j
-                        break
-                    queue.append(j)
-        if end < 0:
-            return [i in come for i in range(len(spare))]
-        flow, i = -spare[end], end
-        while come[i] != i:
-            flow, i = min(flow, near[come[i]][i]), come[i]
-        flow = min(flow, spare[i])
-        spare[i] -= flow
-        spare[end] += flow
-        i = end
-        while come[i] != i:
-            near[come[i]][i] -= flow
-            near[i][come[i]] += flow
-            i = come[i]
+    closed = [False] * len(spare)
+    for start in range(len(spare)):
+        while spare[start] > tiny and not closed[start]:
+            come, queue, end = {start: start}, deque([start]), -1
+            while queue and end < 0:
+                i = queue.popleft()
+                for j, capacity in near[i].items():
+                    if capacity > tiny and j not in come and not closed[j]:
+                        come[j] = i
+                        if spare[j] < -tiny:
+                            end = j
+                            break
+                        queue.append(j)
+            if end < 0:
+                for i in come:
+                    closed[i] = True
+                break
+            flow, i = min(spare[start], -spare[end]), end
+            while i != start:
+                flow, i = min(flow, near[come[i]][i]), come[i]
+            spare[start] -= flow
+            spare[end] += flow
+            i = end
+            while i != start:
+                near[come[i]][i] -= flow
+                near[i][come[i]] += flow
+                i = come[i]
+    return closed
 
 
 def _softplus(x: float) -> float:

@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import pytest
 
@@ -85,6 +86,22 @@ def test_many_blocks_and_deep_pages():
     assert main_blocks("<div>" * 3000 + "<p>Some words of a paragraph that is long.</p>") == ["Some words of a paragraph that is long."]
 
 
+def test_alternating_blocks_take_linear_time():
+    def page(n):
+        story = "<p>A paragraph of the story that goes on for some words, with a full stop.</p>"
+        links = "<ul><li><a href='#'>Read this instead</a></li></ul>"
+        return f"<body><div>{(story + links) * n}</div></body>"
+
+    def seconds(n):
+        begin = time.perf_counter()
+        found = main_blocks(page(n))
+        assert len([b for b in found if b.startswith("A paragraph")]) == n
+        return time.perf_counter() - begin
+
+    seconds(200)
+    assert seconds(8000) < 10 * max(seconds(2000), 0.05)
+
+
 def test_table_of_pages(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, None), (None, "v", "", "y")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
