@@ -86,10 +86,11 @@ def host_rates(flags: DataFrame, rules: list[str], keys: list[str]) -> DataFrame
 
     The prior of a rule has the corpus rate as mean m. Its strength is m (1 - m) / v - 1 documents, where v
     is the variance between the hosts' rates (weighted by documents) less what chance alone gives; it is
-    held between 1 and ``10 ** 6``.
+    held between 1 and ``10 ** 6``. The counts are written first: their measured size decides whether they
+    are broadcast, and where they are not, adaptive execution can split the partition of a large host.
     """
-    hosts = flags.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(r).cast("long")).alias(f"_k_{r}") for r in rules])
+    hosts = written(flags.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(r).cast("long")).alias(f"_k_{r}") for r in rules]), "hosts")
     total = hosts.agg(
         F.sum("_n").alias("docs"), F.count(F.lit(1)).alias("hosts"),
         *[F.sum(f"_k_{r}").alias(f"k_{r}") for r in rules],
