@@ -14,7 +14,9 @@ The score is 1 / (1 + exp(-2 m)), m the smallest margin by which the chosen fami
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; so is every text when there is
 nothing to learn from; with one language only it is always predicted, with score 1; null languages are not
-learnt from; a null doc_id is never held out; equal rows give equal results; an empty table gives no row.
+learnt from, nor are texts without a letter; a null doc_id is never held out, and rows with null or repeated ids
+are learnt from like others, equal rows once; equal rows give equal results; a very long text is described by all
+of its n-grams; other columns are ignored, clashing ones too; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -139,9 +141,11 @@ def learn(docs: DataFrame, learnable: Column, families: dict[str, list[str]] | N
           per_language: int = 300) -> tuple[dict[str, list[str]], list[tuple[str, str, str]], np.ndarray]:
     """Languages by family, machines (group, first, second) and their weights, from the rows ``learnable``."""
     families = families or FAMILIES
-    rows = docs.filter(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.select("doc_id", "lang").withColumn("_n", place).filter(F.col("_n") <= per_language).drop("_n")
+    # Rows are told apart by id and text together, for ids may be null or repeat.
+    rows = docs.filter(learnable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn(
+        "_key", F.xxhash64("doc_id", "text"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy("_key"))
+    chosen = rows.select("_key", "lang").withColumn("_n", place).filter(F.col("_n") <= per_language).drop("_n").distinct()
     languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     known: dict[str, list[str]] = {}
     for language in languages:
@@ -181,7 +185,7 @@ def learn(docs: DataFrame, learnable: Column, families: dict[str, list[str]] | N
 
     # At most per_language ids a language: broadcast up to a bound, so that texts are not shuffled for it.
     small = F.broadcast(chosen) if per_language * len(languages) <= MOST_BROADCAST else chosen
-    sample = docs.join(small, ["doc_id", "lang"], "left_semi").filter(learnable)
+    sample = rows.join(small, ["_key", "lang"], "left_semi").dropDuplicates(["_key", "lang"])
     examples = sample.select("doc_id", "lang", "text").mapInArrow(
         describe, "machine int, label int, at array<long>, value array<double>")
     weights = np.zeros((DIMENSIONS, len(machines)))

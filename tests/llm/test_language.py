@@ -53,6 +53,12 @@ def test_one_language_and_none(spark):
     assert identify(empty, F.lit(True), ["doc_id"]).count() == 0
 
 
+def test_rows_without_ids_are_learnt_from(spark):
+    rows = docs(spark, list(WORDS)).filter("doc_id < 300").withColumn("doc_id", F.lit(None).cast("long"))
+    found = identify(rows.unionByName(rows.limit(1)), F.lit(True), ["doc_id", "lang"]).collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in found]) > 0.97
+
+
 def test_texts_do_not_touch_each_other():
     weights = np.random.Generator(np.random.PCG64(1)).normal(size=(1 << 14, 3))
     texts = [b"abc def", b"", b"x", "é ü ñ".encode(), b"  --  ", b"abc def"]
