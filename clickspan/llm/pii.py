@@ -54,8 +54,10 @@ GAP = r"(?<=[0-9]\)?)\x20(?=\(?[0-9][0-9().-]*+(?![A-Za-z_%+@]|[:/][0-9]))"
 UNSEEN = (
     rf"(?<![A-Za-z0-9._%+@()-])(?=\+?+(?:[().-]*+[0-9](?:\)?+{GAP})?+){{5}})\+?+(?:[0-9().-]++{GAP})++[0-9().-]*[0-9]"
     rf"|{RUN}")
-#: Code points before an occurrence in which its two words are looked for.
+#: Code points before an occurrence that are enough for its two words, where two whole words stand there; else
+#: they are looked for in all that stands before.
 REACH = 120
+TWO_WORDS = rf"{SPACE}[^\x20\x09-\x0D]+{SPACE}[^\x20\x09-\x0D]+[\x20\x09-\x0D]*\z"
 SETTLED = 1e-6
 
 
@@ -103,10 +105,16 @@ def _with_matches(rows: DataFrame, name: str, pattern: str, sign: str) -> DataFr
     spans = F.transform("_ends", lambda end, i: F.struct(
         (end - F.length(F.get("_found", i))).alias("start"), end.alias("end"), F.get("_found", i).alias("found"),
         # What stands before; a match just before it counts as a word.
-        F.concat(F.when(i > 0, F.lit("# ")).otherwise(F.lit("")), F.substring(F.get("_between", i), -REACH, REACH)).alias("before")))
+        F.concat(F.when(i > 0, F.lit("# ")).otherwise(F.lit("")), _before(F.get("_between", i))).alias("before")))
     return rows.withColumn(name, spans).drop("_found", "_between", "_lengths", "_blocks", "_ends")
 
 
+def _before(between: Column) -> Column:
+    """The end of a text that holds its last two words whole."""
+    tail = F.substring(between, -REACH, REACH)
+    return F.when((F.length(between) <= REACH) | tail.rlike(TWO_WORDS), tail).otherwise(between)
+
+
 def _checked(kind: str) -> Column:
     return F.filter(kind, lambda s: _holds(kind, s["found"]))
 
@@ -295,15 +303,26 @@ def redacted(docs: DataFrame) -> DataFrame:
     found = personal_data(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text"))
     spans = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     found = found.withColumn("_s", spans)
-    # How far the spans before reach; a span that begins earlier is only cut to what it adds.
-    reach = F.transform("_s", lambda s, i: F.coalesce(F.array_max(F.transform(F.slice("_s", 1, i), lambda x: x["end"])), F.lit(0).cast("long")))
-    found = found.withColumn("_r", reach)
-    parts = F.transform(F.arrays_zip("_s", "_r"), lambda z: F.when(
-        z["_s"]["start"] >= z["_r"], F.concat(
-            F.substring("text", z["_r"].cast("int") + 1, (z["_s"]["start"] - z["_r"]).cast("int")),
-            F.lit("["), F.upper(z["_s"]["kind"]), F.lit("]"))).otherwise(F.lit("")))
-    last = F.coalesce(F.array_max(F.transform("_s", lambda s: s["end"])), F.lit(0).cast("long"))
-    text = F.when(F.size("_s") > 0, F.concat(F.array_join(parts, ""), F.substring(
+    # How far the spans before reach; a span that begins earlier is only cut to what it adds. Spans go by blocks of
+    # 64: each has the furthest end before it and its stretch of the text, so no span looks at all others.
+    nothing = F.lit(0).cast("long")
+    end_of = lambda part: F.coalesce(F.array_max(F.transform(part, lambda s: s["end"])), nothing)
+    numbers = F.filter(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("_s") / 64).cast("int") - 1, F.lit(0))), lambda b: F.size("_s") > 0)
+    found = found.withColumn("_ends", F.transform(numbers, lambda b: end_of(F.slice("_s", b * 64 + 1, 64))))
+    found = found.withColumn("_reach", F.transform("_ends", lambda e, b: F.coalesce(F.array_max(F.slice("_ends", 1, b)), nothing)))
+    found = found.withColumn("_b", F.transform("_reach", lambda r, b: F.struct(
+        r.alias("from"), F.slice("_s", b * 64 + 1, 64).alias("s"),
+        F.substring("text", r.cast("int") + 1, F.greatest(end_of(F.slice("_s", b * 64 + 1, 64)) - r, nothing).cast("int")).alias("text"))))
+
+    def put(block: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            reach = F.greatest(block["from"], end_of(F.slice(block["s"], F.lit(1), i)))
+            between = F.substring(block["text"], (reach - block["from"] + 1).cast("int"), (s["start"] - reach).cast("int"))
+            return F.when(s["start"] >= reach, F.concat(between, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit(""))
+        return F.array_join(F.transform(block["s"], piece), "")
+
+    last = F.coalesce(F.array_max("_ends"), nothing)
+    text = F.when(F.size("_s") > 0, F.concat(F.array_join(F.transform("_b", put), ""), F.substring(
         "text", last.cast("int") + 1, F.length("text")))).otherwise(F.col("text"))
     new = {"text": text, "n_chars": F.when(F.size("_s") > 0, F.length(text).cast("long")).otherwise(
         F.col("_row")["n_chars"])} if "n_chars" in docs.columns else {"text": text}

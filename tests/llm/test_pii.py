@@ -110,6 +110,37 @@ def test_redaction(spark):
     assert got[6][0] == "[CARD]" or got[6][0] == "[EMAIL]"
 
 
+def test_redaction_of_many_spans(spark):
+    random.seed(8)
+    texts = []
+    for n in (1, 63, 64, 65, 128, 300):
+        pieces = []
+        for i in range(n):
+            pieces.append(random.choice(["🙂 word", "", "ä b", "x" * 90]))
+            pieces.append(random.choice([f"u{i}@mail.example.org", f"10.0.{i % 256}.7", "+1 (555) 123-4567", "4111111111111111@x.org"]))
+        texts.append(" ".join(pieces))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    places = {r["doc_id"]: sorted((s["start"], s["end"], s["kind"]) for s in [*r["base"], *r["added"]]) for r in personal_data(df).collect()}
+    got = {r["doc_id"]: r["text"] for r in redacted(df).collect()}
+    for d, text in enumerate(texts):
+        want, reach = "", 0
+        for start, end, kind in places[d]:
+            if start >= reach:
+                want += text[reach:start] + f"[{kind.upper()}]"
+            reach = max(reach, end)
+        assert got[d] == want + text[reach:]
+
+
+def test_words_longer_than_the_reach(spark):
+    """A pattern's words are whole, however long; else it never meets its count in the corpus."""
+    long = "w" * 150
+    rows = [(i, f"and {long} code a{i}@mail.example.org") for i in range(4)] + [(9, f"then {long} code 77123-45x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    added = {r["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in r["added"]] for r in personal_data(df).collect()}
+    begin = len(f"then {long} code ")
+    assert added == {**dict.fromkeys(range(4), []), 9: [(begin, begin + 9, "email")]}
+
+
 def test_repeated_rows_missing_ids_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a@b.co")] * 3 + [(None, "1.2.3.4")], "doc_id long, text string")
     got = personal_data(df).collect()
