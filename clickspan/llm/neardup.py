@@ -6,8 +6,8 @@ a group is what links connect.
 
 * A sketch has 256 buckets. A shingle's hash picks the bucket; of the smallest remaining value in a bucket
   the number of leading zeros (capped at 14) and four mantissa bits after the leading one are kept: a byte.
-* Equal sets (128-bit digest of the sorted shingles) are one node from here on, so that thousands of exact
-  copies cost one row each.
+* Equal sets (128-bit digest of the sorted shingles) are one node with a number of its own from here on, so that
+  thousands of exact copies cost one row each and null or repeated ids do no harm.
 * Bands of six registers meet in 42 hash tables. Empty registers borrow from others by a fixed probe order,
   so that short documents don't meet by emptiness. A pair at 0.85 misses all bands with probability 2e-9.
 * The Jaccard estimate, corrected for chance collisions of the compressed registers, sorts out pairs that
@@ -18,10 +18,12 @@ a group is what links connect.
   meet on their full sets. Buckets and groups are cut into chunks of 256 documents that meet chunk by
   chunk, so no task holds one whole.
 
-Cases: a document without words has an empty set, no link and itself as component; a null doc_id takes no
-part in links, it keeps the component of an equal text if there is one; doc_id identifies a document, so rows
-that repeat one are one document, of which one text is held against others if they differ; an empty table
-gives no row.
+Cases: a document without words has an empty set, no link and itself as component; rows with a null doc_id are
+linked like others, but give no component its number: a group of such rows only has a null component. A doc_id
+with several texts is linked by each of them, and each of its rows has the component of its own text. Repeated rows
+get a row each. A row is kept if its doc_id is the component's; in a group without ids the rows of one text are, and
+of rows without words all. Very long texts are whole sets. Other columns are ignored, clashing ones too; an empty
+table gives no row.
 """
 
 from __future__ import annotations
@@ -111,23 +113,23 @@ def likely(one: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray, pe
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the set and sketch of each row of (doc_id, text)."""
+    """doc_id, hash, n_shingles, digest of the set and sketch of each row of (doc_id, hash, text)."""
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in byte_texts(batch.column(1))]
+            texts = [t or b"" for t in byte_texts(batch.column(2))]
             for begin, end in blocks(texts):
                 sizes, digests, sketches = [], [], []
                 for shingles in shingle_sets(texts[begin:end]):
                     sizes.append(len(shingles))
                     digests.append(blake2b(shingles.tobytes(), digest_size=16).digest())
                     sketches.append(registers(shingles).tobytes())
+                own = batch.slice(begin, end - begin)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, end - begin).cast(pa.int64()), pa.array(sizes, pa.int64()),
-                     pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())],
-                    ["doc_id", "n_shingles", "digest", "sketch"])
+                    [own.column(0), own.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                     pa.array(sketches, pa.binary())], ["doc_id", "hash", "n_shingles", "digest", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        sign, "doc_id long, n_shingles long, digest binary, sketch binary")
+    return docs.select("doc_id", "hash", "text").mapInArrow(
+        sign, "doc_id long, hash binary, n_shingles long, digest binary, sketch binary")
 
 
 def _sketches(column: pa.Array) -> np.ndarray:
@@ -321,40 +323,70 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int = WIDT
     return pairs.join(a, "a").join(b, "b").select("a", "b", "t_a", "t_b").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+def _hashed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``hash``, 128 bits of the text."""
+    return docs.withColumn("hash", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+
+
+def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The written signatures of ``docs`` (doc_id, text), and for every digest with shingles the ``best`` row of its
+    group: the one with the smallest (doc_id, hash), null ids last.
+
+    Whatever rows are joined with is written first: copies that share a digest or a band key then stand on a side
+    that adaptive execution can split.
+    """
+    docs = _hashed(docs.select(F.col("doc_id").cast("long"), "text"))
     signed = written(signatures(docs), "signatures")
-    filled = signed.filter("n_shingles > 0 and doc_id is not null")
-    least = filled.groupBy("digest").agg(F.min("doc_id").alias("id"))
-    members = written(filled.select("doc_id", "n_shingles", "digest").join(least, "digest").select("doc_id", "n_shingles", "id"), "members")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("best")
     nodes = written(
-        filled.join(least.withColumnRenamed("id", "doc_id"), ["digest", "doc_id"], "left_semi")
-        .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["id"]), "nodes")
+        signed.filter("n_shingles > 0").groupBy("digest")
+        .agg(best, F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))  # equal sets, equal sketches
+        .withColumn("id", F.monotonically_increasing_id()), "nodes")
     bands = _bands(nodes)
-    shared = bands.groupBy("key").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    meeting = written(bands.join(shared.select("key", "least_id"), "key"), "meeting")  # key, id, band, least_id
+    shared = written(bands.groupBy("key").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+                     .select("key", "least_id"), "shared")
+    meeting = written(bands.join(shared, "key"), "meeting")  # key, id, band, least_id
+    wanted = written(
+        nodes.select("id", F.col("best.doc_id").alias("_doc"), F.col("best.hash").alias("_hash"))
+        .join(meeting.select("id").distinct(), "id", "left_semi"), "wanted")
     texts = written(
-        docs.withColumnRenamed("doc_id", "id").join(meeting.select("id").distinct(), "id", "left_semi")
+        docs.join(wanted, F.col("hash").eqNullSafe(F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
         .groupBy("id").agg(F.max("text").alias("text")), "texts")
     first = written(verified(_first_pairs(meeting, nodes, percent), texts, percent), "links")
     labels = components(first)
     groups = _open_groups(meeting, labels, nodes, percent)
     more = written(_open_links(groups, labels, texts, percent, WIDTH), "links")
     labels = components(labels.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more))
-    grouped = members.join(labels, "id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    alone = signed.filter("not (n_shingles > 0 and doc_id is not null)").select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return grouped.unionByName(alone).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    linked = nodes.select("id", "digest", "best").join(labels, "id", "left").select(
+        "digest", "best", F.coalesce("component", "id").alias("component"))
+    least = written(linked.groupBy("component").agg(F.min("best").alias("best")), "least")
+    return signed, written(linked.select("digest", "component").join(least, "component").select("digest", "best"), "classes")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
+    signed, classes = _classes(docs, percent)
+    none = F.col("best").isNull()
+    kept = F.when(none, F.lit(True)).when(F.col("best.none"), F.col("hash") == F.col("best.hash")).otherwise(
+        F.coalesce(F.col("doc_id") == F.col("best.doc_id"), F.lit(False)))
+    return signed.select("doc_id", "hash", "n_shingles", "digest").join(classes, "digest", "left").select(
+        "doc_id", "n_shingles", F.when(none, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"),
+        kept.alias("kept"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each group the smallest doc_id, and of equal rows one."""
-    kept = near_duplicates(docs, percent).filter("kept and doc_id is not null").select("doc_id").distinct()
-    left = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.unionByName(docs.filter("doc_id is null"))
+    """The rows of ``docs`` without near duplicates: of each group the row with the smallest doc_id, and of equal rows one.
+
+    Rows without words are in no group; of those equal in doc_id and text one stays.
+    """
+    signed, classes = _classes(docs, percent)
+    left = written(
+        classes.select("best.doc_id", "best.hash").unionByName(signed.filter("n_shingles = 0").select("doc_id", "hash"))
+        .distinct().select(F.col("doc_id").alias("_doc"), F.col("hash").alias("_hash")), "left")
+    rows = _hashed(docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long"), "text"))
+    return (
+        rows.join(left, F.col("hash").eqNullSafe(F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
+        .dropDuplicates(["doc_id", "hash"]).select("_row.*"))
 
 
 def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,10 +56,28 @@ def test_repeated_rows_and_missing_ids(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (9, "z"), (9, "z")]
     df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
     found = sorted((tuple(r) for r in near_duplicates(df).collect()), key=repr)
-    assert found == sorted([(5, 2, 2, False)] * 2 + [(2, 2, 2, True), (None, 2, None, True)] + [(9, 1, 9, True)] * 2, key=repr)
+    assert found == sorted([(5, 2, 2, False)] * 2 + [(2, 2, 2, True), (None, 2, 2, False)] + [(9, 1, 9, True)] * 2, key=repr)
     kept = one_of_each(df)
     assert kept.columns == df.columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == [2, 9, None]
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == [2, 9]
+
+
+def test_groups_without_ids_and_ids_with_several_texts(spark):
+    base = [f"w{i}" for i in range(200)]
+    one, two, other = " ".join(base), " ".join([*base[:-1], "new"]), " ".join(f"o{i}" for i in range(50))
+    rows = [(None, one), (None, one), (None, two), (None, None), (None, None), (None, "q"), (4, other), (4, "k l m"), (3, "k l m"), (8, " ")]
+    df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, hash string")
+    found = [tuple(r) for r in near_duplicates(df).collect()]
+    assert len(found) == len(rows)
+    assert sorted(r for r in found if r[0] is not None) == [(3, 1, 3, True), (4, 1, 3, False), (4, 46, 4, True), (8, 0, 8, True)]
+    assert sorted(r[1:] for r in found if r[0] is None)[:3] == [(0, None, True)] * 2 + [(1, None, True)]
+    # Of the group of three rows without ids those of one text are kept; of them one stays.
+    assert len({r[3] for r in found if r[0] is None and r[1] == 196}) == 2
+    kept = sorted(((r["doc_id"], r["text"]) for r in one_of_each(df).collect()), key=repr)
+    assert one_of_each(df).columns == df.columns
+    assert [k for k in kept if k[0] is not None] == [(3, "k l m"), (4, other), (8, " ")]
+    left = [k[1] for k in kept if k[0] is None]
+    assert len(left) == 3 and None in left and "q" in left and ({one, two} & set(left))
 
 
 def test_empty(spark):
