@@ -99,3 +99,36 @@ def test_empty(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
     assert docs.count() == 0
+
+
+def odd_rows():
+    """Nulls in every column, empty and very long texts, ties and repeated rows."""
+    def text(k):
+        return " ".join(f"t{k}w{i} is here" if i % 4 else f"t{k}w{i}." for i in range(40))
+    long = " ".join(f"long{i} word" for i in range(30_000))
+    rows = [(k, text(k), "en", "a" if k % 2 else "b", len(text(k))) for k in range(12)]
+    return [*rows, rows[3], rows[3], (None, text(20), None, None, None), (None, text(20), None, None, None), (21, text(20), "en", None, None),
+            (30, None, "en", "a", 0), (31, "", None, "b", 0), (32, " \n\t", "en", "a", None), (None, None, None, None, None),
+            (40, long, "en", "a", len(long)), (41, text(41) + " mail x@y.org or " + "z" * 300, "en", "c", 1)]
+
+
+def test_odd_rows_and_clashing_columns(spark, sf_dir):
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    more = ["size", "kept", "key", "hash", "digest", "base", "n_words", "_host"]
+    rows = [(*r, *[f"{c}-{r[0]}" for c in more]) for r in odd_rows()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in more))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+        kept[name] = docs.collect()
+        if name != "packing":
+            assert docs.columns == [*names, *more]
+            assert all(r[c] == f"{c}-{r['doc_id']}" for r in kept[name] for c in more)
+    ids = lambda name: sorted((r["doc_id"] for r in kept[name]), key=lambda d: (d is None, d or 0))
+    assert ids("quality") == [0, 1, 2, 3, 3, 3, *range(4, 12), 21, 40, 41, None, None]
+    assert ids("near_duplicates") == [*range(12), 21, 40, 41]
+    assert ids("personal_data") == ids("near_duplicates")
+    assert [r["text"].count("[EMAIL]") for r in kept["personal_data"] if r["doc_id"] == 41] == [1]
+    assert set(ids("mixing")) <= set(ids("personal_data"))
+    assert {r["doc_id"] for r in kept["packing"]} == set(ids("mixing"))
+    assert max(r["piece"] for r in kept["packing"]) > 0
