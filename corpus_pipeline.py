@@ -8,6 +8,12 @@ costs a stage's tasks at most. All stages but the last return the columns of ``d
 3. personal data: every span is replaced by its kind in brackets, and ``n_chars`` follows the text;
 4. mixing: documents are taken as often as their source's target asks, a row per copy;
 5. packing: every copy is cut into tokens and given its place in a sequence.
+
+Cases: null, empty and blank texts fail the quality rules; a null source is a host and a source of its own; rows
+with a null doc_id are judged, held against others and mixed like all, and go if they are a near copy of a row with
+an id; repeated rows are one after the second stage; ties are broken by doc_id, then by a hash of the text; very long
+texts are read whole and cut only into pieces at the end; further columns, clashing ones too, are handed on up to the
+last stage; an empty table gives no row.
 """
 
 from __future__ import annotations
