@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from clickspan.llm.batches import byte_texts, runs
 from clickspan.llm.hashing import blocks, mix, window_hashes, word_hashes
-from clickspan.llm.tables import table
+from clickspan.llm.tables import table, written
 
 ANCHOR = 12
 SLICE = 1 << 16
@@ -158,7 +158,9 @@ def repeated_windows(docs: DataFrame, width: int = 35, depth: int = 2, cells: in
                     ["key", "at", "h", "g"])
 
     found = docs.select("key", "text").mapInArrow(candidates, "key long, at int, h long, g int")
-    repeated = found.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "g")
+    # Written first: the places of a very common window then stand on a side that adaptive execution can split.
+    repeated = written(
+        found.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "g"), "repeated")
     return found.join(repeated, ["h", "g"]).select("key", "at")
 
 
