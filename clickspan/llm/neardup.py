@@ -345,7 +345,8 @@ def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     bands = _bands(nodes)
     shared = written(bands.groupBy("key").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("m")).filter("m > 1")
                      .select("key", "least_id"), "shared")
-    meeting = written(bands.join(shared, "key"), "meeting")  # key, id, band, least_id
+    # Joined by merge at every size: a table of keys grows with the documents, and hot keys are split only there.
+    meeting = written(bands.join(shared.hint("merge"), "key"), "meeting")  # key, id, band, least_id
     wanted = written(
         nodes.select("id", F.col("best.doc_id").alias("_doc"), F.col("best.hash").alias("_hash"))
         .join(meeting.select("id").distinct(), "id", "left_semi"), "wanted")
@@ -369,7 +370,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     none = F.col("best").isNull()
     kept = F.when(none, F.lit(True)).when(F.col("best.none"), F.col("hash") == F.col("best.hash")).otherwise(
         F.coalesce(F.col("doc_id") == F.col("best.doc_id"), F.lit(False)))
-    return signed.select("doc_id", "hash", "n_shingles", "digest").join(classes, "digest", "left").select(
+    return signed.select("doc_id", "hash", "n_shingles", "digest").join(classes.hint("merge"), "digest", "left").select(
         "doc_id", "n_shingles", F.when(none, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"),
         kept.alias("kept"))
 
