@@ -214,6 +214,24 @@ def delivery_outbox(events, spark, sf_dir):
     return campaigns.delivery_outbox(triggered(events, spark))
 
 
+CONTACTS = "SELECT * FROM VALUES ('app_0', 'email', 'ops@zero.example'), ('app_0', 'email', 'on-call@zero.example'), " \
+    "('app_2', 'email', 'two@two.example'), ('app_1', 'webhook', 'https://one.example/hook') AS t(app_id, channel, recipient)"
+
+
+@query("alert_outbox", EV + FIRED + f"""
+, contacts(app_id, recipient) AS (VALUES ('app_0', 'ops@zero.example'), ('app_0', 'on-call@zero.example'), ('app_2', 'two@two.example'))
+SELECT sha256(rule_id || '|email|' || coalesce(recipient, '') || '|' || epoch_ms(TIMESTAMP '{AS_OF}')) AS id, rule_id, app_id,
+  'email' AS channel, coalesce(recipient, '') AS recipient, round(val, 6) AS value, epoch_ms(TIMESTAMP '{AS_OF}') AS fired_at_ms,
+  CASE WHEN recipient IS NULL THEN 'failed' ELSE 'pending' END AS status,
+  CASE WHEN recipient IS NULL THEN 'no recipient' ELSE '' END AS error, TIMESTAMP '{AS_OF}' AS created_at
+FROM fired LEFT JOIN contacts USING (app_id)""")
+def alert_outbox(events, spark, sf_dir):
+    fired = alerts.evaluate_alerts(spark.sql(RULES), alerts.alert_metrics(events, WINDOWS, AS_OF, V), AS_OF)
+    rows = campaigns.alert_outbox(fired, spark.sql(RULES), spark.sql(CONTACTS))
+    body = F.from_json("payload", "value double, fired_at_ms bigint")
+    return rows.withColumn("value", body["value"]).withColumn("fired_at_ms", body["fired_at_ms"]).drop("payload")
+
+
 @query("campaign_stats", EV + """
 , d AS (SELECT campaign_id, CASE event_name WHEN 'signup' THEN 'sent' WHEN 'click' THEN 'clicked' WHEN 'view' THEN 'opened'
           WHEN 'purchase' THEN 'delivered' ELSE 'failed' END AS status FROM ev),

@@ -43,20 +43,21 @@ def session_screens(events, spark, sf_dir):
 
 
 @query("session_event_rows", EV + sessions_cte(21600) + """
-SELECT app_id, session_id, user_id, device_id, 'session_start' AS event_name, started_at AS event_time,
-       NULL::VARCHAR AS duration, NULL::VARCHAR AS n_events, entry_screen, NULL::VARCHAR AS exit_screen FROM summary
-UNION ALL
-SELECT app_id, session_id, user_id, device_id, 'session_end', ended_at, duration_s::VARCHAR, event_count::VARCHAR,
-       entry_screen, exit_screen FROM summary""")
+, records AS (
+  SELECT *, 'session_start' AS event_name, started_at AS event_time, false AS ended FROM summary
+  UNION ALL SELECT *, 'session_end', ended_at, true FROM summary)
+SELECT app_id, sha256(app_id || '|' || session_id || '|' || event_name) AS event_id, session_id, user_id, device_id, event_name,
+       event_time, event_time AS server_time, country_code, platform, '' AS app_version, '' AS os_family, '' AS browser, '' AS city,
+       NULL::DOUBLE AS revenue, '' AS campaign_id, '' AS install_source,
+       CASE WHEN ended THEN duration_s::VARCHAR END AS duration, CASE WHEN ended THEN event_count::VARCHAR END AS n_events,
+       entry_screen, CASE WHEN ended THEN exit_screen END AS exit_screen, CASE WHEN ended THEN 'timeout' END AS exit_reason
+FROM records""")
 def session_event_rows(events, spark, sf_dir):
-    rows = sessions.session_event_rows(sessions.session_summaries(events, "6 hours", vocabulary=V))
-    return rows.select(
-        "app_id", "session_id", "user_id", "device_id", "event_name", "event_time",
-        F.col("props")["session_duration_s"].alias("duration"),
-        F.col("props")["event_count"].alias("n_events"),
-        F.col("props")["entry_screen"].alias("entry_screen"),
-        F.col("props")["exit_screen"].alias("exit_screen"),
-    )
+    found = sessions.session_event_rows(sessions.session_summaries(events, "6 hours", vocabulary=V))
+    props = {"duration": "session_duration_s", "n_events": "event_count", "entry_screen": "entry_screen",
+             "exit_screen": "exit_screen", "exit_reason": "exit_reason"}
+    return found.select(
+        *[c for c in found.columns if c != "props"], *[F.col("props")[key].alias(name) for name, key in props.items()])
 
 
 @query("session_metrics", EV + sessions_cte(21600) + """
@@ -74,9 +75,9 @@ def bounce_rate(events, spark, sf_dir):
 
 
 @query("session_duration_histogram", EV + sessions_cte(21600) + """
-, b(bucket_no, bucket, lo, hi) AS (VALUES (0, '0-30s', -1, 30), (1, '30-60s', 30, 60), (2, '1-2m', 60, 120),
-  (3, '2-5m', 120, 300), (4, '5-10m', 300, 600), (5, '10-20m', 600, 1200), (6, '20-30m', 1200, 1800),
-  (7, '>30m', 1800, 1000000000)),
+, b(bucket_no, bucket, lo, hi) AS (VALUES (0, '0-30s', -1, 30), (1, '30-60s', 30, 60), (2, '1-2 min', 60, 120),
+  (3, '2-5 min', 120, 300), (4, '5-10 min', 300, 600), (5, '10-20 min', 600, 1200), (6, '20-30 min', 1200, 1800),
+  (7, '>30 min', 1800, 1000000000)),
 apps AS (SELECT DISTINCT app_id FROM summary)
 SELECT apps.app_id, bucket_no::BIGINT AS bucket_no, bucket, count(s.session_id) AS sessions
 FROM apps CROSS JOIN b LEFT JOIN summary s ON s.app_id = apps.app_id AND duration_s > lo AND duration_s <= hi

@@ -12,10 +12,12 @@ from clickspan.vocabulary import DEFAULT_VOCABULARY, Vocabulary
 
 
 def identity(device_fallback: bool) -> Column:
-    """User id; with the fallback, the device id where the user is unknown."""
-    if not device_fallback:
-        return F.col("user_id")
-    return F.when(not_blank("user_id"), F.col("user_id")).otherwise(F.col("device_id"))
+    """User id, null where the user is unknown; with the fallback, the device id there.
+
+    So a blank user is nobody wherever users are counted, in exact counts, sketches and bitmaps alike.
+    """
+    known = F.when(not_blank("user_id"), F.col("user_id"))
+    return known.otherwise(F.col("device_id")) if device_fallback else known
 
 
 def active_users(
@@ -63,7 +65,7 @@ def dau_wau_mau(events: DataFrame, device_fallback: bool = False) -> DataFrame:
     """
     user_days = events.select(
         "app_id", identity(device_fallback).alias("_user"), F.to_date("event_time").alias("_day")
-    ).distinct()
+    ).filter("_user is not null").distinct()
     following = F.lead("_day").over(Window.partitionBy("app_id", "_user").orderBy("_day"))
     windows = {"dau": 1, "wau": 7, "mau": 30}
     spans = user_days.withColumn("_next", following)
@@ -118,7 +120,7 @@ def dashboard_kpis(
     money = F.when(vocabulary.is_purchase(), vocabulary.revenue()).otherwise(F.lit(0.0))
     per_user = recent.groupBy("app_id", "user_id", day.alias("_day")).agg(
         F.count("*").alias("_events"), F.sum(money).alias("_revenue"),
-        F.max(vocabulary.is_open()).alias("_open"),
+        F.max(vocabulary.is_open() & not_blank("user_id")).alias("_open"),
     )
     is_today = F.col("_day") == today
     numbers = per_user.groupBy("app_id").agg(

@@ -11,6 +11,7 @@ from clickspan.functions.greedy import greedy
 from clickspan.functions.stats import safe_ratio
 from clickspan.functions.text import prop
 from clickspan.functions.time import TimeLike, scope, timestamp
+from clickspan.operators.active import identity
 from clickspan.operators.funnels import funnel_overall
 from clickspan.vocabulary import DEFAULT_VOCABULARY, Vocabulary
 
@@ -75,7 +76,7 @@ def alert_metrics(
     }))
     midnight = F.date_trunc("day", timestamp(as_of))
     dau = scope(events, start=midnight, end=as_of).filter(vocabulary.is_open()).groupBy("app_id").agg(
-        F.countDistinct("user_id").alias("dau")
+        F.countDistinct(identity(False)).alias("dau")
     ).withColumn("window_mins", F.explode(F.array(*[F.lit(w) for w in sorted(set(windows))])))
     parts.append(_long(dau, {"dau": F.col("dau")}))
     if sessions is not None:

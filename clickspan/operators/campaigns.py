@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickspan.functions.stats import safe_ratio
+from clickspan.functions.text import not_blank
 from clickspan.functions.time import TimeLike, timestamp
 from clickspan.operators.alerts import apply_cooldown
 
@@ -96,6 +97,34 @@ def delivery_outbox(notifications: DataFrame) -> DataFrame:
     )
 
 
+def alert_outbox(fired: DataFrame, rules: DataFrame, contacts: DataFrame) -> DataFrame:
+    """Outbox rows of alerts: one for each channel of the rule and each contact of the app on it.
+
+    ``contacts`` has app_id, channel and recipient. A channel without a contact gives a row that failed, with the
+    reason, so no alert vanishes. Ids repeat on replay.
+    """
+    payload = F.to_json(F.struct(
+        "rule_id", "app_id", "metric_name", "condition", "threshold", "value", "window_mins",
+        F.unix_millis("fired_at").alias("fired_at_ms"),
+    ))
+    channels = rules.select(F.col("id").alias("rule_id"), F.explode(F.array_distinct("channels")).alias("channel"))
+    known = contacts.filter(not_blank("recipient")).select("app_id", "channel", "recipient").distinct()
+    rows = fired.withColumn("payload", payload).join(channels, "rule_id").join(known, ["app_id", "channel"], "left")
+    missing = F.col("recipient").isNull()
+    key = F.concat_ws("|", "rule_id", "channel", F.coalesce("recipient", F.lit("")), F.unix_millis("fired_at"))
+    return rows.select(
+        F.sha2(key, 256).alias("id"), "rule_id", "app_id", "channel", F.coalesce("recipient", F.lit("")).alias("recipient"),
+        "payload", F.when(missing, "failed").otherwise("pending").alias("status"),
+        F.when(missing, "no recipient").otherwise("").alias("error"), F.col("fired_at").alias("created_at"),
+    )
+
+
+def undelivered(outbox: DataFrame, deliveries: DataFrame) -> DataFrame:
+    """Pending outbox rows that no delivery reports on, each id once however often it was appended."""
+    reported = deliveries.select("id").distinct()
+    return outbox.filter("status = 'pending'").dropDuplicates(["id"]).join(reported, "id", "left_anti")
+
+
 def campaign_stats(deliveries: DataFrame) -> DataFrame:
     """Deliveries per status and their rates against sent."""
     counts = deliveries.groupBy("campaign_id").agg(*[

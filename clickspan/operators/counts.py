@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clickspan.functions.text import PropertyFilter, all_filters, property_value
 from clickspan.functions.time import TimeLike, bucket, scope, seconds, timestamp
+from clickspan.operators.active import identity
 
 
 def event_count(
@@ -71,7 +72,7 @@ def event_breakdown(
     points = (
         rows.join(top, ["app_id", "property_value"])
         .groupBy("app_id", bucket("event_time", granularity).alias("bucket"), "property_value")
-        .agg(F.count("*").alias("event_count"), F.countDistinct("user_id").alias("unique_users"))
+        .agg(F.count("*").alias("event_count"), F.countDistinct(identity(False)).alias("unique_users"))
     )
     listed = F.sum("event_count").over(Window.partitionBy("app_id", "bucket"))
     return points.withColumn("percentage", 100.0 * F.col("event_count") / listed)
@@ -90,7 +91,7 @@ def realtime(
     recent = scope(events, start=start, end=end)
     per_user = recent.groupBy("app_id", "event_name", "user_id").agg(F.count("*").alias("_n"))
     users = per_user.groupBy("app_id").agg(
-        F.sum("_n").alias("_events"), F.countDistinct("user_id").alias("active_users")
+        F.sum("_n").alias("_events"), F.countDistinct(identity(False)).alias("active_users")
     )
     rank = Window.partitionBy("app_id").orderBy(F.desc("event_count"), "event_name")
     top = (

@@ -15,14 +15,21 @@ from pyspark.sql import functions as F
 from clickspan.functions.stats import safe_ratio
 from clickspan.functions.text import not_blank, prop
 from clickspan.functions.time import seconds
+from clickspan.schema import EVENT_COLUMNS
 from clickspan.vocabulary import DEFAULT_VOCABULARY, Vocabulary
 
 SESSION_KEYS = ("app_id", "device_id")
 
-# Histogram bounds in seconds: upper bound (inclusive) and label (fixed values).
+# Histogram buckets: upper bound in seconds (inclusive) and the label that results must carry (fixed values).
 DURATION_BUCKETS = [
-    (30, "0-30s"), (60, "30-60s"), (120, "1-2m"), (300, "2-5m"),
-    (600, "5-10m"), (1200, "10-20m"), (1800, "20-30m"), (None, ">30m"),
+    (30, "0-30s"),
+    (60, "30-60s"),
+    (120, "1-2 min"),
+    (300, "2-5 min"),
+    (600, "5-10 min"),
+    (1200, "10-20 min"),
+    (1800, "20-30 min"),
+    (None, ">30 min"),
 ]
 
 
@@ -190,8 +197,12 @@ def rank_in_session(events: DataFrame, chunk: str | int = "15 minutes") -> DataF
 
 
 def session_event_rows(summaries: DataFrame) -> DataFrame:
-    """Session start and end records as fact rows."""
-    base = ["app_id", "session_id", "user_id", "device_id"]
+    """Session start and end records in the layout of the fact table, so that they can be added to it.
+
+    A start has the time of the first event, an end that of the last one. What a session does not know is empty, its
+    revenue null.
+    """
+    base = ["app_id", "session_id", "user_id", "device_id", "country_code", "platform"]
     starts = summaries.select(
         *base, F.lit("session_start").alias("event_name"), F.col("started_at").alias("event_time"),
         F.create_map(F.lit("entry_screen"), F.col("entry_screen")).alias("props"),
@@ -206,10 +217,12 @@ def session_event_rows(summaries: DataFrame) -> DataFrame:
             F.lit("exit_reason"), F.col("exit_reason"),
         ).alias("props"),
     )
-    rows = starts.unionByName(ends)
-    return rows.withColumn(
-        "event_id", F.sha2(F.concat_ws("|", "app_id", "session_id", "event_name"), 256)
-    )
+    known = starts.unionByName(ends).withColumns({
+        "event_id": F.sha2(F.concat_ws("|", "app_id", "session_id", "event_name"), 256),
+        "server_time": F.col("event_time"), "revenue": F.lit(None).cast("double"),
+    })
+    unknown = [c for c in EVENT_COLUMNS if c not in known.columns]
+    return known.withColumns({c: F.lit("") for c in unknown}).select(*EVENT_COLUMNS)
 
 
 def session_metrics(summaries: DataFrame) -> DataFrame:

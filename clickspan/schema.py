@@ -57,6 +57,7 @@ CAMPAIGNS = (
     "trigger_conf map<string,string>, channel string, channel_conf map<string,string>, "
     "active boolean, segment_id string, cooldown_seconds int"
 )
+CONTACTS = "app_id string, channel string, recipient string"
 DELIVERIES = (
     "id string, campaign_id string, app_id string, user_id string, channel string, "
     "status string, sent_at timestamp"
@@ -77,6 +78,7 @@ DEFINITIONS = {
     "experiments": EXPERIMENTS,
     "alert_rules": ALERT_RULES,
     "campaigns": CAMPAIGNS,
+    "contacts": CONTACTS,
     "cohorts": COHORTS,
     "apps": APPS,
     "ip_ranges": IP_RANGES,

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from clickspan.operators.alerts import MINUTE, apply_cooldown, breached, minute_metrics, rule_values, session_minutes
+from clickspan.operators.campaigns import alert_outbox
 from clickspan.operators.funnels import funnel_overall
 from clickspan.sources.events import path_exists
 from clickspan.streaming.base import checkpoint_location
@@ -101,6 +102,7 @@ def alert_stream(
     events: Callable[[], DataFrame] | None = None,
     funnel_steps: list[str] | None = None,
     funnel_window: str | int = "7 days",
+    contacts: Callable[[], DataFrame] | None = None,
     trigger: str = "10 seconds",
     checkpoint: str | None = None,
     available_now: bool = False,
@@ -109,6 +111,7 @@ def alert_stream(
 
     A minute is closed ``delay_s`` after its end. Rules are read again at each tick. The funnel rate is no sum of
     minutes: with ``events`` and ``funnel_steps`` it is computed from the event table, at the last of the minutes.
+    With ``contacts`` the alerts also become outbox rows, a row for each channel and recipient.
     """
     def update(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -132,6 +135,9 @@ def alert_stream(
         known = _earlier(spark, f"{path}/sent", batch_id, SENT).filter(F.unix_seconds("fired_at") > since - cooldown_s)
         both = fired.select(*names, F.lit(True).alias("_new")).unionByName(known.select(*names, F.lit(False).alias("_new")))
         write_partials(apply_cooldown(both, cooldown_s).filter("_new").select(*names), batch_id, f"{path}/sent")
+        if contacts is not None:
+            sent = spark.read.schema(f"{SENT}, batch_id bigint").parquet(f"{path}/sent").filter(F.col("batch_id") == batch_id)
+            write_partials(alert_outbox(sent.drop("batch_id"), current, contacts()), batch_id, f"{path}/outbox")
         write_partials(spark.createDataFrame([(until,)], "until bigint"), batch_id, f"{path}/judged")
 
     location = checkpoint_location(ticks.sparkSession, "alerts", checkpoint)

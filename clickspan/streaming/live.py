@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
+from clickspan.operators.active import identity
 from clickspan.operators.campaigns import DEFAULT_COOLDOWN_S, delivery_outbox, match_campaigns
 from clickspan.plans.rollups import ROLLUPS
 from clickspan.schema import EVENTS
@@ -26,7 +27,7 @@ def realtime_stream(
     """Events per minute and active users over a sliding window."""
     spans = F.window("event_time", window, slide)
     grouped = with_watermark(events, delay=delay).groupBy("app_id", spans).agg(
-        F.count("*").alias("events"), F.approx_count_distinct("user_id").alias("active_users")
+        F.count("*").alias("events"), F.approx_count_distinct(identity(False)).alias("active_users")
     )
     minutes = (F.unix_seconds("window.end") - F.unix_seconds("window.start")) / 60
     return grouped.select(
@@ -38,11 +39,39 @@ def realtime_stream(
 def realtime_top_stream(
     events: DataFrame, window: str = "5 minutes", slide: str = "1 minute", delay: str = DELAY
 ) -> DataFrame:
-    """Counts per event over the same window; readers take the largest."""
+    """Counts per event over the same window."""
+    return _window_counts(events, window, slide, delay).select(
+        "app_id", "event_name", F.col("window.end").alias("window_end"), "event_count")
+
+
+def _window_counts(events: DataFrame, window: str, slide: str, delay: str) -> DataFrame:
     spans = F.window("event_time", window, slide)
-    return with_watermark(events, delay=delay).groupBy("app_id", "event_name", spans).agg(
-        F.count("*").alias("event_count")
-    ).select("app_id", "event_name", F.col("window.end").alias("window_end"), "event_count")
+    return with_watermark(events, delay=delay).groupBy("app_id", "event_name", spans).agg(F.count("*").alias("event_count"))
+
+
+def realtime_stats_stream(
+    events: DataFrame, top: int = 10, window: str = "5 minutes", slide: str = "1 minute", delay: str = DELAY, buckets: int = 64
+) -> DataFrame:
+    """The live view, a row per app and window: events per minute and the ``top`` events, largest first, ties by name.
+
+    Counts per event name are ranked inside ``buckets`` of names first, then the best of the buckets: no state row
+    holds more than a bucket's names, whatever names clients make up.
+    """
+    def largest(found: Column) -> Column:
+        ordered = F.array_sort(found, lambda a, b: F.when(a["event_count"] != b["event_count"], F.signum(b["event_count"] - a["event_count"]))
+                               .when(a["event_name"] < b["event_name"], -1).when(a["event_name"] > b["event_name"], 1).otherwise(0).cast("int"))
+        return F.slice(ordered, 1, top)
+
+    item = F.struct("event_name", "event_count")
+    bucketed = _window_counts(events, window, slide, delay).groupBy(
+        "app_id", "window", F.pmod(F.xxhash64("event_name"), F.lit(buckets)).alias("_bucket")
+    ).agg(F.sum("event_count").alias("_events"), largest(F.collect_list(item)).alias("_top"))
+    merged = bucketed.groupBy("app_id", "window").agg(
+        F.sum("_events").alias("_events"), largest(F.flatten(F.collect_list("_top"))).alias("top_events"))
+    minutes = (F.unix_seconds("window.end") - F.unix_seconds("window.start")) / 60
+    return merged.select(
+        "app_id", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+        (F.col("_events") / minutes).alias("events_per_minute"), "top_events")
 
 
 def write_partials(rows: DataFrame, batch_id: int, path: str) -> None:

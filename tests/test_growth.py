@@ -161,3 +161,18 @@ def test_a_session_over_midnight_belongs_to_its_first_day(spark):
     made += [event("open", at(days=1, minutes=m), user="u") for m in (-10, 5)] + [event("open", at(days=1, hours=5), user="u")]
     row = active.dashboard_kpis(events(spark, made), at(days=1, hours=20), V).first()
     assert (row["sessions"], row["sessions_change_pct"]) == (1, 0.0)
+
+
+def test_a_blank_user_is_nobody(spark):
+    """In exact counts, sketches, rollups and the dashboard alike; with the fallback a device counts."""
+    from clickspan.plans.rollups import ROLLUPS
+
+    made = [event("open", at(hours=h), user=u, device=d) for h, u, d in ((1, "u", "d1"), (2, "", "d2"), (3, "", "d3"), (4, None, "d4"), (5, "v", "d1"))]
+    frame = events(spark, made)
+    assert active.active_users(frame, vocabulary=V).first()["active_users"] == 2
+    assert active.active_users(frame, vocabulary=V, approximate=True).first()["active_users"] == 2
+    assert active.active_users(frame, vocabulary=V, device_fallback=True).first()["active_users"] == 5
+    assert rows(active.dau_wau_mau(frame), "dau", "wau", "mau") == [(2, 2, 2)]
+    assert active.dashboard_kpis(frame, at(hours=12), V).first()["dau"] == 2
+    rollup = ROLLUPS["dau_rollup"]
+    assert rollup.query(rollup.build(frame, V)).first().asDict()["dau"] == 2

@@ -71,6 +71,9 @@ def test_summary_fields(spark):
     records = sessions.session_event_rows(sessions.session_summaries(frame))
     end = records.filter("device_id = 'd' AND event_name = 'session_end'").first()
     assert end["props"]["session_duration_s"] == "95"
+    # The records have the layout of the fact table.
+    both = frame.unionByName(records)
+    assert both.columns == frame.columns and both.filter("event_name = 'session_start'").count() == len(found)
 
 
 def test_histogram_bounds(spark):
@@ -80,7 +83,7 @@ def test_histogram_bounds(spark):
         made += [event(time=at(), device=f"d{i}"), event(time=at(seconds=d), device=f"d{i}")]
     got = sessions.session_duration_histogram(sessions.session_summaries(events(spark, made), "2 hours"))
     assert {r["bucket"]: r["sessions"] for r in got.collect()} == {
-        "0-30s": 2, "30-60s": 2, "1-2m": 0, "2-5m": 0, "5-10m": 0, "10-20m": 0, "20-30m": 1, ">30m": 1}
+        "0-30s": 2, "30-60s": 2, "1-2 min": 0, "2-5 min": 0, "5-10 min": 0, "10-20 min": 0, "20-30 min": 1, ">30 min": 1}
 
 
 def session(names, session_id, start=0, step=1, **fields):

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clickspan.catalogue.alerts import CAMPAIGNS
@@ -11,6 +12,7 @@ from clickspan.catalogue.ingest import IP_RANGES
 from clickspan.operators import campaigns, funnels, ingest, sessions
 from clickspan.plans.ingest import ingest_batch
 from clickspan.plans.rollups import ROLLUPS
+from clickspan.schema import CONTACTS
 from clickspan.sources import manifest
 from clickspan.sources.testdata import TEST_VOCABULARY as V
 from clickspan.sources.testdata import load_events, raw_envelopes
@@ -344,6 +346,21 @@ def test_realtime_stream(spark, batch, tmp_path):
     assert rows(got) == rows(want.select("app_id", "window.start", "n", "u"))
 
 
+def test_realtime_top_events(spark, batch, tmp_path):
+    stream = as_stream(spark, batch, str(tmp_path / "in"), 2)
+    out = drain(live.realtime_stats_stream(stream, 3, "1 day", "6 hours", buckets=2), "top", tmp_path)
+    spans = F.window("event_time", "1 day", "6 hours")
+    counts = batch.groupBy("app_id", spans, "event_name").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("app_id", "window").orderBy(F.desc("n"), "event_name"))
+    want = counts.withColumn("place", place).filter("place <= 3").select("app_id", "window.start", "place", "event_name", "n")
+    got = out.filter(F.col("window_start") < F.lit("2024-05-01").cast("timestamp"))
+    listed = got.select("app_id", "window_start", F.posexplode("top_events").alias("place", "e")).select(
+        "app_id", "window_start", F.col("place") + 1, "e.event_name", "e.event_count")
+    assert rows(listed) == rows(want)
+    per_minute = counts.groupBy("app_id", "window.start").agg(F.sum("n").alias("n"))
+    assert rows(got.select("app_id", "window_start", F.round(F.col("events_per_minute") * 1440).cast("bigint"))) == rows(per_minute)
+
+
 RULE = "id string, app_id string, metric_name string, condition string, threshold double, window_mins int, active boolean"
 
 
@@ -388,9 +405,18 @@ def test_alerts_see_silence_and_catch_up(spark, tmp_path):
     clock = ticks(spark, str(tmp_path / "clock2"), [base + 60 * m + 60 for m in (1, 2, 3, 10)])
     again = str(tmp_path / "again")
     drained(alerts.minute_stream(as_stream(spark, minute_events(spark, base, minutes), str(tmp_path / "in2"), 2), again, vocabulary=V, checkpoint=str(tmp_path / "m2"), available_now=True).start())
-    drained(alerts.alert_stream(clock, lambda: table, again, cooldown_s=180, checkpoint=str(tmp_path / "c2"), available_now=True).start())
+    to_tell = table.withColumn("channels", F.array(F.lit("email"), F.lit("webhook")))
+    contacts = spark.createDataFrame([("a", "email", "x@a"), ("a", "email", "y@a"), ("b", "webhook", "https://b")], CONTACTS)
+    drained(alerts.alert_stream(clock, lambda: to_tell, again, cooldown_s=180, contacts=lambda: contacts, checkpoint=str(tmp_path / "c2"), available_now=True).start())
     sent = sorted(int(r["fired_at"].timestamp() - base) // 60 for r in spark.read.parquet(f"{again}/sent").filter("rule_id = 'gone'").collect())
     assert sent == [1, 4, 7, 10]
+    outbox = spark.read.parquet(f"{again}/outbox")
+    told = {(r["rule_id"], r["channel"], r["recipient"], r["status"]) for r in outbox.collect()}
+    assert {t[1:] for t in told if t[0] == "gone"} == {("email", "", "failed"), ("webhook", "https://b", "pending")}
+    assert {t[1:] for t in told if t[0] == "few"} == {("email", "x@a", "pending"), ("email", "y@a", "pending"), ("webhook", "", "failed")}
+    reported = outbox.filter("rule_id = 'gone' and status = 'pending'").select("id").limit(1)
+    left = campaigns.undelivered(outbox.unionByName(outbox), reported)
+    assert left.count() == outbox.filter("status = 'pending'").count() - 1
 
 
 def test_alert_stream_knows_every_metric(spark, batch, tmp_path):
