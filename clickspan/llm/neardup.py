@@ -338,17 +338,19 @@ def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     docs = _hashed(docs.select(F.col("doc_id").cast("long"), "text"))
     signed = written(signatures(docs), "signatures")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("best")
-    nodes = written(
+    sets = written(
         signed.filter("n_shingles > 0").groupBy("digest")
         .agg(best, F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))  # equal sets, equal sketches
-        .withColumn("id", F.monotonically_increasing_id()), "nodes")
+        .withColumn("id", F.monotonically_increasing_id()), "sets")
+    # A table of its own, so that Spark knows the sketches' size: of columns of a wider table it only guesses it, and
+    # would broadcast sketches far beyond its limit.
+    nodes = written(sets.select("id", "n", "sketch"), "nodes")
     bands = _bands(nodes)
     shared = written(bands.groupBy("key").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("m")).filter("m > 1")
                      .select("key", "least_id"), "shared")
-    # Joined by merge at every size: a table of keys grows with the documents, and hot keys are split only there.
-    meeting = written(bands.join(shared.hint("merge"), "key"), "meeting")  # key, id, band, least_id
+    meeting = written(bands.join(shared, "key"), "meeting")  # key, id, band, least_id
     wanted = written(
-        nodes.select("id", F.col("best.doc_id").alias("_doc"), F.col("best.hash").alias("_hash"))
+        sets.select("id", F.col("best.doc_id").alias("_doc"), F.col("best.hash").alias("_hash"))
         .join(meeting.select("id").distinct(), "id", "left_semi"), "wanted")
     texts = written(
         docs.join(wanted, F.col("hash").eqNullSafe(F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
@@ -358,7 +360,7 @@ def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     groups = _open_groups(meeting, labels, nodes, percent)
     more = written(_open_links(groups, labels, texts, percent, WIDTH), "links")
     labels = components(labels.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more))
-    linked = nodes.select("id", "digest", "best").join(labels, "id", "left").select(
+    linked = sets.select("id", "digest", "best").join(labels, "id", "left").select(
         "digest", "best", F.coalesce("component", "id").alias("component"))
     least = written(linked.groupBy("component").agg(F.min("best").alias("best")), "least")
     return signed, written(linked.select("digest", "component").join(least, "component").select("digest", "best"), "classes")
@@ -370,7 +372,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     none = F.col("best").isNull()
     kept = F.when(none, F.lit(True)).when(F.col("best.none"), F.col("hash") == F.col("best.hash")).otherwise(
         F.coalesce(F.col("doc_id") == F.col("best.doc_id"), F.lit(False)))
-    return signed.select("doc_id", "hash", "n_shingles", "digest").join(classes.hint("merge"), "digest", "left").select(
+    return signed.select("doc_id", "hash", "n_shingles", "digest").join(classes, "digest", "left").select(
         "doc_id", "n_shingles", F.when(none, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"),
         kept.alias("kept"))
 
