@@ -353,7 +353,8 @@ def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         sets.select("id", F.col("best.doc_id").alias("_doc"), F.col("best.hash").alias("_hash"))
         .join(meeting.select("id").distinct(), "id", "left_semi"), "wanted")
     texts = written(
-        docs.join(wanted, F.col("hash").eqNullSafe(F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+        # Never broadcast: the wanted rows grow with the documents. Texts go through one shuffle at every size.
+        docs.join(wanted.hint("merge"), F.col("hash").eqNullSafe(F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
         .groupBy("id").agg(F.max("text").alias("text")), "texts")
     first = written(verified(_first_pairs(meeting, nodes, percent), texts, percent), "links")
     labels = components(first)
