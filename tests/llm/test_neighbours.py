@@ -74,7 +74,7 @@ def test_recall_on_test_vectors(spark):
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()
     ids, x = np.array([r[0] for r in table]), np.array([r[1] for r in table], dtype=float)
     got = {}
-    for r in neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, least=0).collect():
+    for r in neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0).collect():
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     hits = total = 0
     for i in np.flatnonzero(ids % 20 == 0):
