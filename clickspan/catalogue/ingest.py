@@ -185,10 +185,9 @@ def flatten_props(events, spark, sf_dir):
 @query("limit_props", EV + """
 SELECT event_id, 50::BIGINT AS n_keys, 10::BIGINT AS dropped, 'key_01' AS first_key, 'key_50' AS last_key, least(1024, 20 * k) AS value_length FROM ev""")
 def limit_props(events, spark, sf_dir):
-    names = F.transform(F.sequence(F.lit(60), F.lit(1)), lambda i: F.concat(F.lit("key_"), F.lpad(i.cast("string"), 2, "0")))
-    wide = F.map_from_entries(F.transform(names, lambda n: F.struct(
-        n.alias("key"),
-        F.when(n == "key_07", F.repeat(F.lit("x"), F.col("props")["k"].cast("int") * 20)).otherwise(n).alias("value"))))
+    long = F.repeat(F.lit("x"), F.col("props")["k"].cast("int") * 20)
+    names = [f"key_{i:02d}" for i in range(60, 0, -1)]
+    wide = F.create_map(*[part for n in names for part in (F.lit(n), long if n == "key_07" else F.lit(n))])
     limited = events.select("event_id", ingest.limit_props(wide, 50, 256, 1024).alias("l")).select(
         "event_id", "l.dropped", F.col("l.props").alias("p"))
     keys = F.sort_array(F.map_keys("p"))

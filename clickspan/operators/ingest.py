@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import pairwise
 
 import numpy as np
@@ -354,17 +354,28 @@ def limit_props(props: Column, max_keys: int, max_key: int, max_value: int) -> C
 
     Nothing calls this on its own: the ingest chain keeps all properties.
     """
-    entries = F.transform(F.slice(F.sort_array(F.map_entries(props)), 1, max_keys), lambda e: F.struct(
-        F.substring(e["key"], 1, max_key).alias("key"),
-        F.substring(e["value"], 1, max_value).alias("value"),
-    ))
-    # Keys are sorted, so keys that become equal by cutting are neighbours: the first one stays.
-    distinct = F.filter(entries, lambda e, i: (i == 0) | (F.get(entries, i - 1)["key"] != e["key"]))
-    limited = F.map_from_entries(distinct)
-    return F.struct(
-        F.when(props.isNotNull(), limited).alias("props"),
-        F.when(props.isNotNull(), F.size(props) - F.size(distinct)).cast("bigint").alias("dropped"),
-    )
+    def limited(known: Column) -> Column:
+        entries = F.transform(F.slice(F.sort_array(F.map_entries(known)), 1, max_keys), lambda e: F.struct(
+            F.substring(e["key"], 1, max_key).alias("key"),
+            F.substring(e["value"], 1, max_value).alias("value"),
+        ))
+        # Keys are sorted, so keys that become equal by cutting are neighbours: the first one stays.
+        distinct = _named(entries, lambda cut: F.filter(cut, lambda e, i: (i == 0) | (F.get(cut, i - 1)["key"] != e["key"])))
+        return _named(distinct, lambda kept: F.struct(
+            F.when(known.isNotNull(), F.map_from_entries(kept)).alias("props"),
+            F.when(known.isNotNull(), F.size(known) - F.size(kept)).cast("bigint").alias("dropped"),
+        ))
+
+    return _named(props, limited)
+
+
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once a row.
+
+    An expression that a lambda function mentions is computed again for each element; a variable of an outer lambda
+    function is not.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def extract_attribution(events: DataFrame) -> DataFrame:

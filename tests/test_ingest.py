@@ -162,6 +162,16 @@ def test_flatten_and_limit(spark):
     assert nothing == (None, None)
 
 
+def test_limit_reads_properties_once(spark):
+    """The entries are not sorted again for each entry."""
+    wide = {f"k{i:05d}": str(i) for i in range(20_000)}
+    frame = spark.createDataFrame([(wide,)], "p map<string,string>")
+    limited = ingest.limit_props(F.col("p"), 15_000, 256, 1024)
+    assert str(limited).count("map_entries") == 1
+    kept, dropped = frame.select(limited.alias("l")).select("l.*").first()
+    assert len(kept) == 15_000 and kept["k14999"] == "14999" and dropped == 5_000
+
+
 def test_nothing_is_lost_on_the_way(spark):
     """Many properties, ids used again by another tenant, several events in a message."""
     props = {f"k{i:02d}": "v" * 2000 for i in range(60)} | {"install_source": "ad", "utm_source": "x", "campaign_id": "c"}
