@@ -335,14 +335,17 @@ def normalize_platform(platform: Column) -> Column:
 def flatten_props(props: Column) -> Column:
     """Any JSON value as text: null is empty, numbers are plain decimals, nested values are JSON."""
     def text(_key: Column, value: Column) -> Column:
-        as_text = F.try_variant_get(value, "$", "string")
         plain = F.regexp_replace(
             F.try_variant_get(value, "$", "double").cast("decimal(38,12)").cast("string"),
             r"\.?0+$", "",
         )
-        # Only a number can need rewriting, and only when it prints with an exponent.
-        scientific = F.contains(as_text, F.lit("E")) & (F.schema_of_variant(value) == "DOUBLE")
-        return F.coalesce(F.when(scientific, plain), as_text, F.lit(""))
+
+        def plainly(as_text: Column) -> Column:
+            # Only a number can need rewriting, and only when it prints with an exponent.
+            scientific = F.contains(as_text, F.lit("E")) & (F.schema_of_variant(value) == "DOUBLE")
+            return F.coalesce(F.when(scientific, plain), as_text, F.lit(""))
+
+        return _named(F.try_variant_get(value, "$", "string"), plainly)
 
     return F.coalesce(
         F.transform_values(props, text), F.create_map().cast("map<string,string>")

@@ -160,26 +160,29 @@ def raw_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     raw = read_raw(spark, sf_dir).withColumn("ms", F.unix_millis("ts"))
     user, k = F.col("user_id"), F.col("k")
-    wide = F.map_concat(
-        F.map_from_entries(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.struct(
-            F.concat(F.lit("a"), F.lpad(i.cast("string"), 2, "0")), F.concat(k.cast("string"), F.lit("-"), i.cast("string"))))),
-        F.create_map(F.lit("install_source"), pick(SOURCES, k % 5), F.lit("utm_source"), F.lit("x")),
-    )
-    event = F.struct(
-        F.col("event_id").cast("string").alias("event_id"), F.col("event_type").alias("event_name"),
-        F.col("ms").alias("event_time"), wide.alias("props"),
-        F.struct(F.lit("1.0").alias("version"), F.lit("web").alias("platform")).alias("app"),
-    )
-    days = raw.groupBy(user, (k % 2).alias("d"), F.floor(F.col("ms") / 86_400_000).alias("day")).agg(
-        F.collect_list(event).alias("events"), F.max("ms").alias("server_ts"))
-    copies = F.explode(F.array(*[
-        F.struct(F.lit(app).alias("app"), F.lit(later).alias("later")) for app, later in (("app_", 0), ("app_", 5000), ("b_", 0))]))
+    # The properties are added behind the shuffle, which makes a partition many times larger than what adaptive execution
+    # would measure there: their number is the configured one.
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slim = raw.select("user_id", (k % 2).alias("d"), F.floor(F.col("ms") / 86_400_000).alias("day"), "event_id", "event_type", "ms", "k")
+    days = slim.repartition(partitions, "user_id", "d", "day").groupBy("user_id", "d", "day").agg(F.collect_list(F.struct("event_id", "event_type", "ms", "k")).alias("sent"), F.max("ms").alias("server_ts"))
+
+    def event(row: Column) -> Column:
+        wide = [part for i in range(1, 61) for part in (F.lit(f"a{i:02d}"), F.concat(row["k"].cast("string"), F.lit(f"-{i}")))]
+        return F.struct(
+            row["event_id"].cast("string").alias("event_id"), row["event_type"].alias("event_name"), row["ms"].alias("event_time"),
+            F.create_map(*wide, F.lit("install_source"), pick(SOURCES, row["k"] % 5), F.lit("utm_source"), F.lit("x")).alias("props"),
+            F.struct(F.lit("1.0").alias("version"), F.lit("web").alias("platform")).alias("app"))
+
     batch = F.struct(
         F.concat(F.lit("d_"), user, F.lit("_"), F.col("d")).alias("device_id"),
-        F.concat(F.lit("u_"), user).alias("user_id"), F.col("events"))
-    message = F.struct(
-        batch.alias("batch"), F.lit("8.8.4.4:1").alias("remote_addr"),
-        F.concat(F.col("c.app"), (user % 3).cast("string")).alias("authenticated_app"),
-        (F.col("server_ts") + F.col("c.later")).alias("server_ts"))
-    return days.select("*", copies.alias("c")).select(
-        F.to_json(message).alias("value"), F.timestamp_millis(F.col("server_ts") + F.col("c.later")).alias("timestamp"))
+        F.concat(F.lit("u_"), user).alias("user_id"), F.transform("sent", event).alias("events"))
+    copies = F.explode(F.array(*[
+        F.struct(F.lit(app).alias("app"), F.lit(later).alias("later")) for app, later in (("app_", 0), ("app_", 5000), ("b_", 0))]))
+    received = F.col("server_ts") + F.col("c.later")
+    around = F.to_json(F.struct(
+        F.lit("8.8.4.4:1").alias("remote_addr"),
+        F.concat(F.col("c.app"), (user % 3).cast("string")).alias("authenticated_app"), received.alias("server_ts")))
+    # The copies differ in what stands around the batch, which is written once.
+    return days.select("user_id", "server_ts", F.to_json(batch).alias("batch")).select("*", copies.alias("c")).select(
+        F.concat(F.lit('{"batch":'), "batch", F.lit(","), F.substring(around, 2, 2**31 - 1)).alias("value"),
+        F.timestamp_millis(received).alias("timestamp"))

@@ -10,6 +10,7 @@ from clickspan.functions.text import ip_to_hex
 from clickspan.operators import ingest
 from clickspan.plans.ingest import ingest_batch
 from clickspan.sources import events as store
+from clickspan.sources.testdata import raw_batches
 from tests.helpers import at, event, events, rows
 
 T = 1_700_000_000_000
@@ -172,6 +173,12 @@ def test_limit_reads_properties_once(spark):
     assert len(kept) == 15_000 and kept["k14999"] == "14999" and dropped == 5_000
 
 
+def test_properties_are_read_once_and_not_shuffled_to_be_sent(spark, sf_dir):
+    assert str(ingest.flatten_props(F.col("p"))).count("'string'") + str(ingest.flatten_props(F.col("p"))).count(", string)") == 1
+    below = raw_batches(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().split("Aggregate", 1)[1]
+    assert "collect_list" in below and "map_" not in below
+
+
 def test_nothing_is_lost_on_the_way(spark):
     """Many properties, ids used again by another tenant, several events in a message."""
     props = {f"k{i:02d}": "v" * 2000 for i in range(60)} | {"install_source": "ad", "utm_source": "x", "campaign_id": "c"}
