@@ -23,13 +23,14 @@ class Ingested:
 def ingest_batch(raw: DataFrame, ip_ranges: DataFrame) -> Ingested:
     """Parse, split off dead letters, validate, deduplicate and enrich raw messages.
 
-    Copies go before the enrichment, which then works on each event once.
+    Copies go before the enrichment, which then works on each event once and neither adds nor loses one: the report
+    counts without it.
     """
     usable, dead = ingest.dead_letter_split(raw)
     received = ingest.explode_batches(usable)
     valid, rejected = ingest.validate(received)
     events = ingest.located(ingest.first_received(ingest.timed(valid)), ip_ranges)
-    return Ingested(events, rejected, dead, ingest.ingest_report(received, events))
+    return Ingested(events, rejected, dead, ingest.ingest_report_once(received))
 
 
 def with_session_ids(events: DataFrame, gap: str | int = "30 minutes") -> DataFrame:

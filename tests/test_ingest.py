@@ -193,6 +193,18 @@ def test_nothing_is_lost_on_the_way(spark):
     assert rows(store.new_rows(done, stored), "app_id", "event_id") == [("b", "1")]
 
 
+def test_report_reads_messages_once(spark, tmp_path):
+    """Copies, rejected events, an id used again by another tenant, and a hashed id, in one pass."""
+    bad = one(event_id="3", event_time=T - 8 * 86_400_000)
+    values = [message([one(event_id="1"), one(event_id="2"), bad]), message([one(event_id="1")], server=T + 5),
+              message([one(event_id="1")], app="b"), message([one(event_id="")], app="b"), message([one(event_id="")], app="b"),
+              message([one(event_id="9")], app="c", device="")]
+    raw(spark, values).write.parquet(str(tmp_path / "raw"))
+    report = ingest_batch(spark.read.parquet(str(tmp_path / "raw")), spark.createDataFrame([], RANGES)).report
+    assert rows(report) == [("a", 4, 2, 2), ("b", 3, 2, 1), ("c", 1, 0, 1)]
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
 @pytest.mark.parametrize("text,digits", [
     ("2001:db8::1", "20010db8000000000000000000000001"), ("::", "0" * 32), ("::ffff:1.2.3.4", "0" * 20 + "ffff01020304"),
     ("1:2:3:4:5:6:7:8", "00010002000300040005000600070008"), ("FE80::A", "fe80" + "0" * 27 + "a"), ("1.2.3.4", "0" * 20 + "ffff01020304"), ("1.2.3", None),
