@@ -20,13 +20,19 @@ def _followed(labels: DataFrame, onward: DataFrame) -> DataFrame:
     return labels.join(step, "component").select("id", F.col("_onward").alias("component"))
 
 
+def _jumped(labels: DataFrame, pointers: DataFrame) -> DataFrame:
+    """``labels`` (id, component) with every component led on by ``pointers``, and whether it ``moved``."""
+    step = pointers.filter("component < id").select(F.col("id").alias("component"), F.col("component").alias("_onward"))
+    return labels.join(step, "component", "left").select(
+        "id", F.coalesce("_onward", "component").alias("component"), F.col("_onward").isNotNull().alias("moved"))
+
+
 def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(id, component) for every id in ``edges`` (a, b): the smallest id that can be reached.
 
     Every node points to its smallest neighbour, or to itself where that is larger, and follows the pointers of
-    its pointer until it points to a root. Then edges lead between roots, loops and repeats go, and the rest is
-    another, smaller graph. Stars take one round and chains one round of a few jumps; only nodes whose pointer
-    is no root yet are joined again. Every step is written, which cuts the lineage. Loops and repeated edges do
+    its pointer, twice in a written step, until it points to a root. Then edges lead between roots, loops and repeats go, and the rest is
+    another, smaller graph. Stars take one round and chains one round of a few jumps. Every step is written, which cuts the lineage. Loops and repeated edges do
     no harm.
     """
     usable = edges.filter("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -36,11 +42,10 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
             left.select(F.col("b").alias("id"), F.col("a").alias("component")))
         labels = written(both.groupBy("id").agg(F.least("id", F.min("component")).alias("component")), "labels")
         for _ in range(most_rounds):
-            # Nodes below a node that points on itself.
-            moved = written(_followed(labels, labels.filter("component < id")), "moved")
-            if moved.isEmpty():
+            labels = written(_jumped(_jumped(labels, labels).drop("moved"), labels), "labels")
+            settled, labels = labels.filter("moved").isEmpty(), labels.drop("moved")
+            if settled:
                 break
-            labels = written(_least(labels, moved), "labels")
         else:
             raise RuntimeError(f"pointers did not settle in {most_rounds} rounds")
         levels.append(labels)

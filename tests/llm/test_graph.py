@@ -2,7 +2,9 @@ import random
 
 import pytest
 
+from clickspan.llm import graph
 from clickspan.llm.graph import components
+from clickspan.llm.tables import written
 
 
 def plain(edges):
@@ -47,3 +49,11 @@ def test_loops_repeats_nulls_and_nothing(spark):
     assert found(spark, [(1, 1), (2, 3), (3, 2), (2, 3)]) == [(1, 1), (2, 2), (3, 2)]
     assert components(spark.createDataFrame([(None, 1), (4, 5)], "a long, b long")).count() == 2
     assert found(spark, []) == []
+
+
+def test_steps_written(spark, monkeypatch):
+    """Pointers that lead to a root in three jumps settle in one written step."""
+    steps = []
+    monkeypatch.setattr(graph, "written", lambda df, name: steps.append(name) or written(df, name))
+    assert found(spark, [(1, 2), (2, 3), (3, 4)]) == [(1, 1), (2, 1), (3, 1), (4, 1)]
+    assert steps == ["edges", "labels", "labels", "edges"] or steps == ["edges", "labels", "labels", "labels", "edges"]
